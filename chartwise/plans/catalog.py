@@ -43,4 +43,6 @@ def load_all() -> None:
     """Import every plan module so the registry is complete."""
     from chartwise.plans import (  # noqa: F401
         cohort_plans,
+        timeline_plans,
+        observation_plans,
     )
