@@ -8,7 +8,10 @@ counts per group supplies the running offset of earlier slices. A group
 holding a third of all rows is spread over many slices like any other.
 
 The order columns must make the order total (add a unique tie-break),
-which also makes the positions reproducible when a task is re-run.
+which also makes the positions reproducible when a task is re-run. The
+sliced rows are materialised once in the shared checkpoint folder before
+counting: range boundaries are sampled from shuffle output whose order
+varies, so two evaluations could disagree on which slice a row is in.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.operators.joins import join_derived
+from chartwise.operators.joins import materialise
+
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row offset in the low 33 bits
 
@@ -37,12 +41,15 @@ def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | No
         .withColumn("_slice", F.shiftright("_mid", _LOCAL_BITS))
         .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
     )
+    sliced = materialise(sliced)
     counts = sliced.groupBy("_slice", *group).agg(
         F.count("*").alias("_n"), F.min("_local").alias("_first")
     )
     w = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_slice", *group, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    joined = join_derived(sliced, offsets, ["_slice", *group], "inner")
+    # The offsets side has one row per (slice, group); AQE broadcasts it
+    # from its measured size.
+    joined = sliced.join(offsets, ["_slice", *group], "inner")
     return joined.withColumn(out, (F.col("_before") + F.col("_local") - F.col("_first")).cast("bigint")).drop(
         "_mid", "_slice", "_local", "_first", "_before"
     )
@@ -68,7 +75,9 @@ def running(df: DataFrame, value: str, order, group=(), how: str = "sum", out: s
     order_cols = _as_cols(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     agg = {"sum": F.sum, "max": F.max}[how]
-    sliced = df.repartitionByRange(n, *_as_cols(group), *order_cols).withColumn("_slice", F.spark_partition_id())
+    sliced = materialise(
+        df.repartitionByRange(n, *_as_cols(group), *order_cols).withColumn("_slice", F.spark_partition_id())
+    )
     frame = (Window.unboundedPreceding, 0 if inclusive else -1)
     local = sliced.withColumn(
         "_local", agg(value).over(Window.partitionBy("_slice", *group).orderBy(*order_cols).rowsBetween(*frame))
@@ -76,7 +85,7 @@ def running(df: DataFrame, value: str, order, group=(), how: str = "sum", out: s
     totals = sliced.groupBy("_slice", *group).agg(agg(value).alias("_tot"))
     prior = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_slice", *group, agg("_tot").over(prior).alias("_prior"))
-    joined = join_derived(local, totals, ["_slice", *group], "inner")
+    joined = local.join(totals, ["_slice", *group], "inner")
     if how == "sum":
         combined = F.coalesce(F.col("_prior"), F.lit(0)) + F.coalesce(F.col("_local"), F.lit(0))
     else:

@@ -45,4 +45,5 @@ def load_all() -> None:
         cohort_plans,
         timeline_plans,
         observation_plans,
+        split_plans,
     )
