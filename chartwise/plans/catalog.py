@@ -46,4 +46,5 @@ def load_all() -> None:
         timeline_plans,
         observation_plans,
         split_plans,
+        prediction_plans,
     )
