@@ -47,4 +47,5 @@ def load_all() -> None:
         observation_plans,
         split_plans,
         prediction_plans,
+        text_plans,
     )
