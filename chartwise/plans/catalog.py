@@ -48,4 +48,5 @@ def load_all() -> None:
         split_plans,
         prediction_plans,
         text_plans,
+        classify_plans,
     )
