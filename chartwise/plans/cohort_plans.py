@@ -101,3 +101,11 @@ def cohort_sizes(t):
     no = cohort.not_readmitted(fx.patients(t), fx.icustays(t), "A").agg(F.count("*").alias("not_readmitted"))
     # both sides are single-row aggregates; join them on a constant key
     return yes.withColumn("_k", F.lit(1)).join(no.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@query("chart_preview", """
+SELECT event_id, subject_id, charttime, itemid, valuenum FROM fx_chartevents ORDER BY event_id LIMIT 10""", ids="A13")
+def chart_preview(t):
+    """First ten chart events in event order (a preview; the limit is the feature)."""
+    from chartwise.sources.files import preview
+    return preview(fx.chartevents(t), ["event_id"], 10)
