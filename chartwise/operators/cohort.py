@@ -4,7 +4,8 @@ The reference expresses this as one SQL text with CTEs and ``IN``
 subqueries. Here each step is a ``DataFrame -> DataFrame`` function:
 
 * ``age_band``            patients whose age text casts into [lo, hi]   (B2, C1)
-* ``sequenced_stays``     stay number and previous discharge per subject (E1, E2)
+* ``sequenced_stays``     stay number and previous discharge per subject (E1, E2),
+                          slice-parallel positions plus a (subject, n − 1) join
 * ``stay_gaps``           days between a discharge and the next admission (E3, B4)
 * ``readmitted_stays``    variant A: subjects with a second stay, stays 1..2 (C2, B5)
                           variant B: any stay with a previous discharge    (C3, D3)
@@ -22,11 +23,12 @@ and measured before a broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartwise.functions.time import epoch_seconds, epoch_whole_seconds
 from chartwise.operators.joins import join_derived, sized
+from chartwise.operators.ranking import positions
 
 # The 33 chart item ids the reference keeps, in its order.
 CHART_ITEMS = (
@@ -44,19 +46,24 @@ def age_band(patients: DataFrame, lo: int = AGE_LOW, hi: int = AGE_HIGH) -> Data
     return patients.where(age.between(lo, hi)).select("subject_id")
 
 
-def _stay_order():
-    # stay_id breaks ties on equal admission times (the reference leaves them open)
-    return Window.partitionBy("subject_id").orderBy("intime", "stay_id")
-
-
 def sequenced_stays(stays: DataFrame, cohort_ids: DataFrame) -> DataFrame:
-    """Stays of cohort subjects with ``record_seq`` and ``previous_outtime`` (E1, E2)."""
-    w = _stay_order()
-    s = join_derived(stays, cohort_ids, "subject_id", "left_semi")
-    return s.select(
+    """Stays of cohort subjects with ``record_seq`` and ``previous_outtime`` (E1, E2).
+
+    ``row_number``/``lag`` over each subject's stays, computed without a
+    per-subject window: positions come from range slices of
+    (subject, intime, stay_id) — stay_id breaks ties on equal admission
+    times, which the reference leaves open — and the previous discharge is
+    an equi join on (subject, position − 1), whose keys are unique, so a
+    subject with a third of all stays is spread over many tasks.
+    """
+    s = join_derived(stays, cohort_ids, "subject_id", "left_semi").select(
+        "subject_id", "hadm_id", "stay_id", "intime", "outtime")
+    ranked = positions(s, ["intime", "stay_id"], group=["subject_id"], out="_pos")
+    prev = ranked.select("subject_id", (F.col("_pos") + 1).alias("_pos"), F.col("outtime").alias("previous_outtime"))
+    return ranked.join(prev, ["subject_id", "_pos"], "left").select(
         "subject_id", "hadm_id", "stay_id", "intime", "outtime",
-        F.row_number().over(w).cast("bigint").alias("record_seq"),
-        F.lag("outtime", 1).over(w).alias("previous_outtime"),
+        (F.col("_pos") + 1).cast("bigint").alias("record_seq"),
+        "previous_outtime",
     )
 
 

@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartwise.operators.joins import join_derived
-from chartwise.operators.ranking import positions
+from chartwise.operators.ranking import first_by, positions
 
 
 def value_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -116,11 +116,11 @@ def validation_split(obs: DataFrame, t_val: float, max_val_samples: int = 1, t_v
     before = kept.where(F.col("t") <= F.lit(t_val))
     after = kept.where(_after(t_val, t_val_from))
     if t_closest is not None:
-        w = Window.partitionBy("id").orderBy(F.abs(F.col("t") - F.lit(t_closest)), "value_0", "t")
-        after = after.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        after = first_by(after, ["id"], [F.abs(F.col("t") - F.lit(t_closest)), "value_0", "t"])
     else:
-        w = Window.partitionBy("id").orderBy("t")
-        after = after.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_val_samples).drop("_rn")
+        # first n per id in time order; slice-parallel, so one id with a
+        # third of the rows is ranked by many tasks ((id, t) is unique)
+        after = positions(after, ["t"], group=["id"], out="_rn").where(F.col("_rn") < max_val_samples).drop("_rn")
     out = {"ids": ids, "before": before, "after": after}
     for name, table in dict(extra).items():
         out[name] = join_derived(table, ids, "id", "left_semi")
@@ -128,9 +128,8 @@ def validation_split(obs: DataFrame, t_val: float, max_val_samples: int = 1, t_v
 
 
 def last_before_cut(before: DataFrame) -> DataFrame:
-    """Last row per id in time order (``keep='last'``)."""
-    w = Window.partitionBy("id").orderBy(F.col("t").desc())
-    return before.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Last row per id in time order (``keep='last'``), as a combinable max."""
+    return first_by(before, ["id"], ["t"], last=True)
 
 
 def reindex(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

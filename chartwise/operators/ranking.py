@@ -91,3 +91,20 @@ def running(df: DataFrame, value: str, order, group=(), how: str = "sum", out: s
     else:
         combined = F.greatest(F.col("_prior"), F.col("_local"))  # greatest skips NULLs
     return joined.withColumn(out, combined).drop("_slice", "_local", "_prior")
+
+
+def first_by(df: DataFrame, group, order, last: bool = False) -> DataFrame:
+    """One row per ``group``: the row that sorts first (or last) by ``order``.
+
+    A map-side-combinable ``min``/``max`` over ``struct(order..., row)``
+    instead of ``row_number() OVER (PARTITION BY group)``: a group holding a
+    third of all rows is reduced in every task before the shuffle.
+    ``order`` entries may be column names or expressions (aliased).
+    """
+    group = list(group)
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*[F.col(c) for c in df.columns]).alias("_row")
+    pick = F.max if last else F.min
+    best = df.groupBy(*group).agg(pick(F.struct(*keys, row)).alias("_best"))
+    return best.select(*[F.col(f"_best._row.{c}").alias(c) for c in df.columns])
