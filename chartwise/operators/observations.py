@@ -210,3 +210,42 @@ def observed_per_row(obs: DataFrame, keys=("id", "tick", "t")) -> DataFrame:
         F.transform(seen, lambda e: e["f"]).alias("obs_features"),
         F.size(seen).alias("length"),
     )
+
+
+def sample_index(before: DataFrame, after: DataFrame, cov: DataFrame, labels: DataFrame) -> DataFrame:
+    """One record per id: label, covariates, and the extent of its path and held-out rows (C9).
+
+    The reference's sample nests an id's whole series in one object. Here
+    the series stay in the keyed ``before``/``after`` tables and the record
+    carries counts and time bounds (all combinable aggregates), so an id
+    with a third of all rows never becomes one giant row.
+    """
+    cov_cols = [c for c in cov.columns if c != "id"]
+    path = before.groupBy("id").agg(F.count("*").alias("n_path"), F.min("t").alias("t_first"),
+                                    F.max("t").alias("t_last"))
+    held = after.groupBy("id").agg(F.count("*").alias("n_val"), F.min("t").alias("t_val_first"))
+    c = cov.select("id", F.array(*[F.col(x).cast("double") for x in cov_cols]).alias("cov"))
+    y = labels.select("id", F.col("label").cast("double").alias("y"))
+    return (path.join(y, "id", "left").join(c, "id", "left").join(held, "id", "left")
+            .withColumn("n_val", F.coalesce("n_val", F.lit(0))))
+
+
+def rows_of(df: DataFrame, id_value) -> DataFrame:
+    """All rows of one id (B14); for many ids use a semi join or ``sample_index``."""
+    return df.where(F.col("id") == F.lit(id_value))
+
+
+def align_to(reference: DataFrame, other: DataFrame, key: str = "id", order: str = "pos") -> dict[str, DataFrame]:
+    """Reorder ``other`` to follow ``reference``'s ``order`` on ``key`` (C11).
+
+    ``aligned`` carries the reference position; ``check`` counts keys present
+    on one side only (both must be 0, the reference's permutation assert).
+    """
+    ref = reference.select(key, order)
+    aligned = ref.join(other, key, "inner")
+    both = ref.withColumn("_r", F.lit(1)).join(other.select(key).withColumn("_o", F.lit(1)), key, "full_outer")
+    check = both.agg(
+        F.count(F.when(F.col("_o").isNull(), 1)).alias("missing_in_other"),
+        F.count(F.when(F.col("_r").isNull(), 1)).alias("missing_in_reference"),
+    )
+    return {"aligned": aligned, "check": check}

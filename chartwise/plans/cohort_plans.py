@@ -70,7 +70,7 @@ def cohort_lookback_b(t):
     return cohort.readmission_lookback(fx.patients(t), fx.icustays(t), fx.chartevents(t), "B")
 
 
-@query("readmitted_stays_a", _stays_sql(_READMIT_A), ids="C2 E1 E2 E3 B5")
+@query("readmitted_stays_a", _stays_sql(_READMIT_A), ids="C2 E1 E2 E3 B5 B7")
 def readmitted_stays_a(t):
     return _rounded(cohort.readmitted_stays(fx.icustays(t), fx.patients(t), "A"))
 

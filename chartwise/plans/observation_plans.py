@@ -62,7 +62,7 @@ def _split(t, **kw):
     return ob.validation_split(fx.obs(t), T_VAL, extra=extra, **kw)
 
 
-@query("validation_ids", f"WITH {_VAL_IDS} SELECT id FROM val_ids", ids="G2 I4")
+@query("validation_ids", f"WITH {_VAL_IDS} SELECT id FROM val_ids", ids="G2 I4 B7")
 def validation_ids(t):
     return _split(t, max_val_samples=MAX_VAL_SAMPLES)["ids"]
 
@@ -165,3 +165,52 @@ FROM ({_LONG_SQL}) AS l GROUP BY id, tick, t""", ids="D8 H22")
 def observed_per_row(t):
     df = ob.observed_per_row(fx.obs(t))
     return round_doubles(df).withColumn("obs_values", F.transform("obs_values", lambda v: F.round(v, 6)))
+
+
+@query("sample_index", f"""WITH {_VAL_IDS},
+b AS (SELECT id, count(*) AS n_path, min(t) AS t_first, max(t) AS t_last FROM fx_obs
+      WHERE id IN (SELECT id FROM val_ids) AND t <= {T_VAL} GROUP BY id),
+a AS (SELECT id, count(*) AS n_val, min(t) AS t_val_first FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS rn FROM fx_obs
+        WHERE id IN (SELECT id FROM val_ids) AND t > {T_VAL}) AS x WHERE rn <= {MAX_VAL_SAMPLES} GROUP BY id)
+SELECT b.id, b.n_path, round(b.t_first, 6) AS t_first, round(b.t_last, 6) AS t_last,
+       CAST(l.label AS DOUBLE) AS y, [round(c.cov_0, 6), round(c.cov_1, 6)] AS cov,
+       coalesce(a.n_val, 0) AS n_val, round(a.t_val_first, 6) AS t_val_first
+FROM b LEFT JOIN fx_labels AS l ON b.id = l.id LEFT JOIN fx_cov AS c ON b.id = c.id LEFT JOIN a ON b.id = a.id""",
+       ids="C9 B14 C6")
+def sample_index(t):
+    s = _split(t, max_val_samples=MAX_VAL_SAMPLES)
+    out = ob.sample_index(s["before"], s["after"], s["cov"], s["labels"])
+    out = round_doubles(out).withColumn("cov", F.transform("cov", lambda v: F.round(v, 6)))
+    return out.select("id", "n_path", "t_first", "t_last", "y", "cov", "n_val", "t_val_first")
+
+
+_ALIGN = f"""{_VAL_IDS},
+v AS (SELECT id, row_number() OVER (ORDER BY id, t) - 1 AS pos FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS rn FROM fx_obs
+        WHERE id IN (SELECT id FROM val_ids) AND t >= {T_VAL_FROM}) AS x WHERE rn = 1),
+l AS (SELECT id, t, value_0 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) AS rn FROM fx_obs
+        WHERE id IN (SELECT id FROM val_ids) AND t <= {T_VAL}) AS y WHERE rn = 1)"""
+
+
+def _aligned(t):
+    s = ob.validation_split(fx.obs(t), T_VAL, max_val_samples=1, t_val_from=T_VAL_FROM)
+    from chartwise.operators.ranking import positions
+    val = positions(s["after"].select("id", "t"), ["id", "t"], out="pos")
+    last = ob.last_before_cut(s["before"]).select("id", "t", "value_0")
+    return ob.align_to(val, last)
+
+
+@query("last_aligned_to_val", f"""WITH {_ALIGN.strip()}
+SELECT v.pos, l.id, round(l.t, 6) AS t, round(l.value_0, 6) AS value_0 FROM v JOIN l ON v.id = l.id""",
+       ids="C11 E8 C10")
+def last_aligned_to_val(t):
+    return round_doubles(_aligned(t)["aligned"].select("pos", "id", "t", "value_0"))
+
+
+@query("alignment_check", f"""WITH {_ALIGN.strip()}
+SELECT count(CASE WHEN l.id IS NULL THEN 1 END) AS missing_in_other,
+       count(CASE WHEN v.id IS NULL THEN 1 END) AS missing_in_reference FROM v FULL OUTER JOIN l ON v.id = l.id""",
+       ids="C11")
+def alignment_check(t):
+    return _aligned(t)["check"]
