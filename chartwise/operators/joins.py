@@ -61,3 +61,17 @@ def join_derived(big: DataFrame, small: DataFrame, on, how: str = "inner",
 def join_literal(big: DataFrame, literal: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join with a table whose rows are fixed in code (bounded by construction)."""
     return big.join(F.broadcast(literal), on, how)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a CPU-heavy row expansion (tokenising whole texts) every core.
+
+    When a scan yields fewer partitions than the cluster has task slots
+    (a few large files), hash-repartition on ``key`` (deterministic on
+    retry); otherwise return ``df`` unchanged — at cluster scale the scan
+    already has thousands of partitions and no shuffle is added.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df

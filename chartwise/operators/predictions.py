@@ -65,8 +65,9 @@ def grid_check(obs: DataFrame, T: float) -> DataFrame:
 
 def first_per_tick(pred: DataFrame) -> DataFrame:
     """One prediction per (id, tick, k): the lowest ``seq`` (before the update)."""
-    best = pred.groupBy("id", "tick", "k").agg(F.min(F.struct("seq", "mean", "logvar")).alias("_p"))
-    return best.select("id", "tick", "k", F.col("_p.mean").alias("mean"), F.col("_p.logvar").alias("logvar"))
+    # min_by keeps fixed-width buffers, so this stays a hash aggregate
+    return pred.groupBy("id", "tick", "k").agg(
+        F.min_by("mean", "seq").alias("mean"), F.min_by("logvar", "seq").alias("logvar"))
 
 
 def nearest_ticks(evals: DataFrame, pred_ticks: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chartwise.operators.joins import spread
+
 # The 26 stop words, in the reference's order.
 STOP_WORDS = (
     "the", "a", "an", "and", "or", "of", "in", "on", "at", "to", "for",
@@ -31,6 +33,7 @@ STOP_WORDS = (
 UNKNOWN = "Unknown"
 TOP_K = 3
 WORD_BUCKETS = 64
+POS_BITS = 24
 
 # Python's \w is Unicode-aware; the JVM's is ASCII-only, so the class is spelt out.
 NON_WORD = r"[^\p{L}\p{N}_\s]"
@@ -58,10 +61,12 @@ def _year(works: DataFrame) -> DataFrame:
 
 def top_words(works: DataFrame, k: int = TOP_K, buckets: int = WORD_BUCKETS) -> DataFrame:
     """``author, year, rank, word, n`` for the top ``k`` words per (author, year)."""
-    w = words(_year(works), "title", ["author", "year", "work_id"])
-    counts = w.groupBy("author", "year", "word").agg(
-        F.count("*").alias("n"), F.min(F.struct("work_id", "pos")).alias("first")
-    )
+    w = words(spread(_year(works), "work_id"), "title", ["author", "year", "work_id"])
+    # first occurrence (work, position) packed into one BIGINT so the
+    # aggregate stays a hash aggregate (a struct minimum forces a sort
+    # aggregate); positions below 2^24 words per text
+    first = F.col("work_id") * F.lit(1 << POS_BITS) + F.col("pos")
+    counts = w.groupBy("author", "year", "word").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     order = [F.col("n").desc(), F.col("first"), F.col("word")]
     bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
     local = Window.partitionBy("author", "year", "_b").orderBy(*order)

@@ -16,7 +16,7 @@ sp AS (SELECT author, year, work_id,
 tok AS (SELECT author, year, work_id, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos FROM sp),
 kept AS (SELECT author, year, work_id, pos, upper(substr(w, 1, 1)) || substr(w, 2) AS word FROM tok
          WHERE w <> '' AND w NOT IN ({_STOPS}) AND length(w) > 2),
-cnt AS (SELECT author, year, word, count(*) AS n, min(work_id * 100000000 + pos) AS first FROM kept GROUP BY author, year, word),
+cnt AS (SELECT author, year, word, count(*) AS n, min(work_id * 16777216 + pos) AS first FROM kept GROUP BY author, year, word),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY author, year ORDER BY n DESC, first, word) AS rank FROM cnt) AS r
         WHERE rank <= {tx.TOP_K})"""
 
