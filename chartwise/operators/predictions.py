@@ -104,8 +104,13 @@ def eval_table(evals_wide: DataFrame, pred: DataFrame, n_features: int) -> DataF
     ``evals_wide`` is wide observations (id, tick, value_k, mask_k);
     output ``id, eval_tick, matched_tick, k, x, m, mean, logvar``.
     """
-    first = first_per_tick(pred)
-    match = nearest_ticks(evals_wide, first)
+    # The search needs only the distinct prediction ticks; the "before the
+    # update" dedup runs only on the rows of the matched ticks.
+    match = nearest_ticks(evals_wide, pred.select("id", "tick").distinct())
+    wanted = match.select("id", F.col("matched_tick").alias("tick")).distinct()
+    # plain semi join: materialising ``wanted`` first would run the whole
+    # search twice; AQE picks the strategy from the measured sides
+    first = first_per_tick(pred.join(wanted, ["id", "tick"], "left_semi"))
     long = evals_wide.select(
         "id", "tick",
         F.posexplode(F.arrays_zip(

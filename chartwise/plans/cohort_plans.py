@@ -98,9 +98,8 @@ def cohort_sizes(t):
     """Distinct readmitted and non-readmitted subjects (the two recorded counts)."""
     yes = cohort.readmitted_stays(fx.icustays(t), fx.patients(t), "A").agg(
         F.countDistinct("subject_id").alias("readmitted"))
-    no = cohort.not_readmitted(fx.patients(t), fx.icustays(t), "A").agg(F.count("*").alias("not_readmitted"))
-    # both sides are single-row aggregates; join them on a constant key
-    return yes.withColumn("_k", F.lit(1)).join(no.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    no = cohort.not_readmitted(fx.patients(t), fx.icustays(t), "A").agg(F.count("*")).scalar()
+    return yes.select("readmitted", no.alias("not_readmitted"))
 
 
 @query("chart_preview", """
