@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chartwise.operators.joins import join_derived
 from chartwise.operators.ranking import positions
 
 
@@ -50,9 +51,9 @@ def folds(ids: DataFrame, n_folds: int = 5, test_size: float = 0.1, val_size: fl
 
 def stratified(df: DataFrame, label: str = "label", test_size: float = 0.25, seed: int = 42) -> DataFrame:
     """Adds ``split`` (train/test) with round(test_size · n_class) test rows per class."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class
+    counts = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class, measured before broadcast
     keyed = df.withColumn("_h", hash_key("id", seed))
-    ranked = positions(keyed, ["_h", "id"], group=[label], out="_rank").join(F.broadcast(counts), label)
+    ranked = join_derived(positions(keyed, ["_h", "id"], group=[label], out="_rank"), counts, label)
     n_test = F.floor(F.lit(float(test_size)) * F.col("_n") + F.lit(0.5))
     return ranked.withColumn("split", F.when(F.col("_rank") < n_test, "test").otherwise("train")).drop(
         "_h", "_rank", "_n"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwise.functions.time import epoch_seconds, parse_double, parse_timestamp
-from chartwise.operators.joins import join_derived, join_literal
+from chartwise.operators.joins import join_derived
 
 
 def coerce_events(raw: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def labelled_events(raw: DataFrame, items: DataFrame) -> DataFrame:
     ev = coerce_events(raw)
     ev = join_derived(ev, _last_event_time(ev), "subject_id", "left")
     hours = F.floor((epoch_seconds(F.col("_last")) - epoch_seconds(F.col("charttime"))) / 3600).cast("double")
-    ev = join_literal(ev.withColumn("itemid", F.col("itemid").cast("string")), label_map(items), "itemid", "left")
+    # the item dimension may come from a file (A4): measured before any broadcast
+    ev = join_derived(ev.withColumn("itemid", F.col("itemid").cast("string")), label_map(items), "itemid", "left")
     return ev.select(
         "subject_id",
         hours.alias("timeline"),
@@ -63,7 +64,7 @@ def item_series(raw: DataFrame, items: DataFrame) -> DataFrame:
     ev = ev.withColumn(
         "time_diff_hours", (epoch_seconds(F.col("_last")) - epoch_seconds(F.col("charttime"))) / 3600.0
     ).withColumn("itemid", F.col("itemid").cast("string"))
-    ev = join_literal(ev, items.select("itemid", "pos", "label"), "itemid", "left")
+    ev = join_derived(ev, items.select("itemid", "pos", "label"), "itemid", "left")
 
     keys = ["subject_id", "itemid"]
     stats = ev.groupBy(*keys).agg(
