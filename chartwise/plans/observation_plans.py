@@ -52,7 +52,7 @@ def obs_float32(t):
     return ob.to_float32(fx.obs(t), keep=("id", "tick"))
 
 
-@query("default_covariates", "SELECT DISTINCT id, 0.0 AS cov FROM fx_obs", ids="D7")
+@query("default_covariates", "SELECT DISTINCT id, CAST(0.0 AS DOUBLE) AS cov FROM fx_obs", ids="D7")
 def default_covariates(t):
     return ob.default_table(fx.obs(t), "cov")
 
