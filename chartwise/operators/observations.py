@@ -50,7 +50,8 @@ def pack(df: DataFrame, keys=("id", "t"), value_prefix: str = "value_", mask_pre
 def from_arrays(df: DataFrame, n_features: int, keys=("id", "t")) -> DataFrame:
     """Array form → wide; a row whose arrays differ in size raises (shape assert)."""
     ok = (F.size("values") == F.lit(n_features)) & (F.size("mask") == F.lit(n_features))
-    checked = df.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("values/mask shape mismatch"))))
+    # a filter, not a column: an unused column would be pruned with its check
+    checked = df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("values/mask shape mismatch"))))
     return checked.select(
         *keys,
         *[F.col("values")[i].alias(f"value_{i}") for i in range(n_features)],

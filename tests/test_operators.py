@@ -123,8 +123,9 @@ def test_covariate_check_counts(spark):
 
 
 def test_from_arrays_shape_mismatch_raises(spark):
-    df = spark.createDataFrame([(1, 0.0, [1.0, 2.0], [1.0])], "id bigint, t double, values array<double>, mask array<double>")
-    with pytest.raises(Exception):
+    df = spark.createDataFrame([(1, 0.0, [1.0, 2.0, 3.0], [1.0, 1.0, 0.0])],
+                               "id bigint, t double, values array<double>, mask array<double>")
+    with pytest.raises(Exception, match="shape mismatch"):
         observations.from_arrays(df, 2).collect()
 
 
