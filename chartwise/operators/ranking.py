@@ -29,11 +29,34 @@ def _as_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of each row within ``group`` by ``order``."""
+def hash_slice(hex_col: str, n: int) -> Column:
+    """Order-preserving slice of a hex digest column: its 6-digit prefix scaled to 0..n-1."""
+    return F.floor(F.conv(F.substring(F.col(hex_col), 1, 6), 16, 10).cast("double") * n / float(16 ** 6)).cast("int")
+
+
+def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | None = None,
+              hash_ordered: bool = False) -> DataFrame:
+    """Add ``out`` = 0-based position of each row within ``group`` by ``order``.
+
+    ``hash_ordered``: the first order column is a hex digest (md5), so a
+    slice is a pure function of the row (``hash_slice``), evenly filled,
+    and nothing needs to be materialised; ranks are taken per
+    (group, slice) and offset by the counts of earlier slices.
+    """
     group = list(group)
     order_cols = _as_cols(order)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if hash_ordered:
+        first = order[0]
+        sliced = df.withColumn("_slice", hash_slice(first, n))
+        local = Window.partitionBy(*group, "_slice").orderBy(*order_cols)
+        sliced = sliced.withColumn("_local", (F.row_number().over(local) - 1).cast("bigint"))
+        counts = sliced.groupBy("_slice", *group).agg(F.count("*").alias("_n"))
+        w = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select("_slice", *group, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+        joined = sliced.join(offsets, ["_slice", *group], "inner")
+        return joined.withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint")).drop(
+            "_slice", "_local", "_before")
     sliced = (
         df.repartitionByRange(n, *_as_cols(group), *order_cols)
         .sortWithinPartitions(*_as_cols(group), *order_cols)

@@ -40,7 +40,7 @@ def folds(ids: DataFrame, n_folds: int = 5, test_size: float = 0.1, val_size: fl
     n = _count(distinct)
     per_fold = distinct.select("id", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold"))
     keyed = per_fold.withColumn("_h", hash_key("id", F.lit(seed) + F.col("fold")))
-    ranked = positions(keyed, ["_h", "id"], group=["fold"], out="_rank")
+    ranked = positions(keyed, ["_h", "id"], group=["fold"], out="_rank", hash_ordered=True)
     n_test = F.ceil(F.lit(float(test_size)) * n)
     n_val = F.ceil(F.lit(float(val_size)) * (n - n_test))
     split = (
@@ -53,16 +53,16 @@ def stratified(df: DataFrame, label: str = "label", test_size: float = 0.25, see
     """Adds ``split`` (train/test) with round(test_size · n_class) test rows per class."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))  # one row per class, measured before broadcast
     keyed = df.withColumn("_h", hash_key("id", seed))
-    ranked = join_derived(positions(keyed, ["_h", "id"], group=[label], out="_rank"), counts, label)
+    ranked = join_derived(positions(keyed, ["_h", "id"], group=[label], out="_rank", hash_ordered=True), counts, label)
     n_test = F.floor(F.lit(float(test_size)) * F.col("_n") + F.lit(0.5))
     return ranked.withColumn("split", F.when(F.col("_rank") < n_test, "test").otherwise("train")).drop(
         "_h", "_rank", "_n"
     )
 
 
-def thirds(df: DataFrame, order, out: str = "part") -> DataFrame:
+def thirds(df: DataFrame, order, out: str = "part", hash_ordered: bool = False) -> DataFrame:
     """Contiguous thirds in ``order``: size n div 3, the remainder joins the last."""
-    ranked = positions(df, order, out="_pos")
+    ranked = positions(df, order, out="_pos", hash_ordered=hash_ordered)
     size = F.greatest(F.floor(_count(df) / 3), F.lit(1))
     return ranked.withColumn(out, F.least(F.floor(F.col("_pos") / size), F.lit(2)).cast("int")).drop("_pos")
 
@@ -73,7 +73,7 @@ def batches(assign: DataFrame, batch_size: int = 500, seed: int = 0, group=("fol
     ``pos_in_batch`` is the id's position in its batch (the batch index map).
     """
     keyed = assign.withColumn("_h", hash_key("id", seed))
-    ranked = positions(keyed, ["_h", "id"], group=list(group), out="_pos")
+    ranked = positions(keyed, ["_h", "id"], group=list(group), out="_pos", hash_ordered=True)
     return ranked.select(
         *group, "id",
         F.floor(F.col("_pos") / batch_size).cast("bigint").alias("batch"),

@@ -14,7 +14,7 @@ def _run(t):
     classes = fx.classes(t)
     split = sp.stratified(classes.select("id", "label"), "label", STRAT_TEST, STRAT_SEED)
     train = split.where("split = 'train'").withColumn("_h", sp.hash_key("id", STRAT_SEED))
-    thirds = sp.thirds(train, ["_h", "id"])
+    thirds = sp.thirds(train, ["_h", "id"], hash_ordered=True)
     return cl.ensemble_run(classes, split, thirds)
 
 

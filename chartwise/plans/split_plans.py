@@ -136,4 +136,4 @@ SELECT id, label, CAST(least(floor(p / greatest(floor(n / 3), 1)), 2) AS INTEGER
 def train_thirds(t):
     train = sp.stratified(fx.classes(t).select("id", "label"), "label", STRAT_TEST, STRAT_SEED).where("split = 'train'")
     keyed = train.withColumn("_h", sp.hash_key("id", STRAT_SEED))
-    return sp.thirds(keyed, ["_h", "id"]).select("id", "label", "part")
+    return sp.thirds(keyed, ["_h", "id"], hash_ordered=True).select("id", "label", "part")

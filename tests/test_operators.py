@@ -290,3 +290,12 @@ def test_fold_sink_partition_pruning(spark, scratch):
 def test_preview_total_order(spark):
     df = spark.range(0, 100)
     assert [r.id for r in files.preview(df, ["id"], 3).collect()] == [0, 1, 2]
+
+
+def test_hash_ordered_positions_match_row_number(spark):
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 7 == 0, 1).otherwise(0).alias("g"), F.col("id"),
+        F.md5(F.col("id").cast("string")).alias("_h"))
+    got = ranking.positions(df, ["_h", "id"], group=["g"], out="pos", slices=13, hash_ordered=True)
+    expected = df.selectExpr("g", "id", "row_number() OVER (PARTITION BY g ORDER BY _h, id) - 1 AS pos")
+    assert rows(got, "g", "id", "pos") == rows(expected, "g", "id", "pos")
