@@ -93,7 +93,8 @@ def soft_vote(models: BalancedModels, df: DataFrame) -> DataFrame:
     return p.withColumn("p_mean", mean).withColumn("pred", (F.col("p_mean") > 0.5).cast("int"))
 
 
-def single_accuracy(models: BalancedModels, which: str, test: DataFrame) -> float:
+def single_accuracy(models: BalancedModels, which: str, test: DataFrame) -> DataFrame:
+    """Per test row: 1.0 when the model's class-1 probability picks the label."""
     s = models.proba(test.select("id", "label", "features"), which)
     return s.select(((F.col(f"p_{which}") > 0.5).cast("int") == F.col("label")).cast("double").alias("ok"))
 

@@ -3,9 +3,7 @@
 A side derived from the data (a cohort's id set, a per-subject maximum)
 is broadcast only after it has been materialised once in the shared
 checkpoint folder and its size measured; above the limit the join stays
-a shuffle join, which AQE can still split when a key is skewed. Literal
-dimension tables (item list, stop words, alias map) have a size fixed by
-the code and are broadcast directly.
+a shuffle join, which AQE can still split when a key is skewed.
 """
 
 from __future__ import annotations
@@ -58,11 +56,6 @@ def join_derived(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(F.broadcast(mat) if fits else mat, on, how)
 
 
-def join_literal(big: DataFrame, literal: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a table whose rows are fixed in code (bounded by construction)."""
-    return big.join(F.broadcast(literal), on, how)
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a CPU-heavy row expansion (tokenising whole texts) every core.
 

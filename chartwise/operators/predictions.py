@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwise.functions.stats import gaussian_upper_tail
-from chartwise.operators.joins import join_derived
 from chartwise.operators.ranking import positions
 
 
@@ -160,6 +159,3 @@ def band(evals: DataFrame, features=(0, 1, 2), width: float = 3.0) -> DataFrame:
         F.col("x").alias("actual"),
     )
 
-
-def eval_rows_with_keys(evals_wide: DataFrame, keys: DataFrame) -> DataFrame:
-    return join_derived(evals_wide, keys, "id", "left_semi")
