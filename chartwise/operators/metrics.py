@@ -19,6 +19,7 @@ best) use the slice-parallel ``ranking.running``.
 * ``metric_log``         wide metrics → (run, step, tag, value)           (A12)
 * ``report``             accuracy, confusion, per-class P/R/F1, averages  (D22–D24)
 * ``class_weights``      n / (k · n_c)                                    (D25)
+* ``batch_total_loss``   (Σ loss + λ · Σ class BCE) / batch size           (D17)
 """
 
 from __future__ import annotations
@@ -221,3 +222,20 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     w = class_weights(df, label).select(label, F.col("weight").alias(out))
     return join_derived(df, w, label, "inner")
+
+
+def batch_total_loss(id_loss: DataFrame, class_logits: DataFrame, labels: DataFrame, assign: DataFrame,
+                     lam: float = 1.0) -> DataFrame:
+    """Per batch: (Σ observation loss + λ · Σ BCE of the class logits) / batch size (D17).
+
+    ``id_loss`` (id, loss), ``class_logits`` (id, logit), ``labels`` (id, label),
+    ``assign`` (id, batch); all per-id sums are combined before the shuffle.
+    """
+    bce = class_logits.join(labels, "id").select(
+        "id", st.bce_with_logits(F.col("logit"), F.col("label").cast("double")).alias("_bce"))
+    per_id = assign.select("id", "batch").join(id_loss.select("id", "loss"), "id", "left").join(bce, "id", "left")
+    return per_id.groupBy("batch").agg(
+        F.count("*").alias("batch_size"),
+        ((F.coalesce(F.sum("loss"), F.lit(0.0)) + F.lit(float(lam)) * F.coalesce(F.sum("_bce"), F.lit(0.0)))
+         / F.count("*")).alias("total_loss"),
+    )

@@ -310,3 +310,38 @@ SELECT label, count(*) AS n_c, round((SELECT count(*) FROM fx_classes) / ((SELEC
        AS weight FROM fx_classes GROUP BY label""", ids="D25")
 def class_weights(t):
     return round_doubles(mt.class_weights(fx.classes(t)))
+
+
+def _fold0_train_sql() -> str:
+    from chartwise.plans.split_plans import _BATCHES, _FOLDS
+    return f"{_FOLDS.strip()}, {_BATCHES.strip()}, a AS (SELECT id, batch FROM assign WHERE fold = 0 AND split = 'train')"
+
+
+_FOLD0_TRAIN = _fold0_train_sql()
+LAMBDA = 1.0  # weight of the class loss in the batch total (a training parameter)
+
+
+@query("batch_total_loss", f"""
+WITH lg AS ({_long_all_sql('fx_obs')}),
+pre AS (SELECT id, tick, k, mean AS mu0, logvar AS lv0 FROM fx_pred WHERE seq = 0),
+post AS (SELECT id, tick, k, mean AS mu1, logvar AS lv1 FROM fx_pred WHERE seq = 1),
+j AS (SELECT lg.*, mu0, lv0, mu1, lv1 FROM lg JOIN pre USING (id, tick, k) JOIN post USING (id, tick, k)),
+il AS (SELECT id, sum(0.5 * (pow(x - mu0, 2) / exp(lv0) + lv0 + {C2}) * m)
+                 + {MIXING} * sum((ln(0.01) - ln(exp(0.5 * lv1)) + (pow(exp(0.5 * lv1), 2) + pow(mu1 - x, 2)) / (2.0 * 0.01 * 0.01) - 0.5) * m)
+                 AS loss FROM j GROUP BY id),
+cl AS (SELECT p.id, greatest(z, 0) - z * l.label + ln(1 + exp(-abs(z))) AS bce
+       FROM (SELECT id, (mean - 100) / 50 AS z FROM fx_pred WHERE seq = 0 AND k = 0 AND tick = 480) AS p
+       JOIN fx_labels AS l ON p.id = l.id),
+{_FOLD0_TRAIN}
+SELECT a.batch, count(*) AS batch_size,
+       round((coalesce(sum(il.loss), 0) + {LAMBDA} * coalesce(sum(cl.bce), 0)) / count(*), 2) AS total_loss
+FROM a LEFT JOIN il ON a.id = il.id LEFT JOIN cl ON a.id = cl.id GROUP BY a.batch""", ids="D17 D18")
+def batch_total_loss(t):
+    from chartwise.plans.split_plans import _train0
+    o = _long_all(fx.obs(t))
+    id_loss = mt.observation_losses(o, fx.pred(t), MIXING)
+    p = fx.pred(t)
+    logits = p.where("seq = 0 AND k = 0 AND tick = 480").select("id", ((F.col("mean") - 100) / 50).alias("logit"))
+    out = mt.batch_total_loss(id_loss, logits, fx.labels(t), _train0(t), LAMBDA)
+    # the summed KL terms reach ~1e8: compared on 2 decimals
+    return out.select("batch", "batch_size", F.round("total_loss", 2).alias("total_loss"))

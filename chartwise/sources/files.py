@@ -10,6 +10,7 @@
 * ``jdbc_reader``          query a database through Spark's JDBC source    (A7)
 * ``write_per_subject``    one directory per subject, NULL values dropped  (A10)
 * ``preview``              first rows in a total order, and the shape      (A13)
+* ``append_metric_log``    (run, step, tag, value) rows appended to Parquet (A12)
 """
 
 from __future__ import annotations
@@ -134,3 +135,8 @@ def preview(df: DataFrame, order, n: int = 10) -> DataFrame:
 
 def shape(df: DataFrame) -> tuple[int, int]:
     return df.count(), len(df.columns)
+
+
+def append_metric_log(log: DataFrame, path: str) -> None:
+    """Append (run, step, tag, value) rows to a Parquet metric log (A12)."""
+    log.write.mode("append").parquet(path)

@@ -299,3 +299,13 @@ def test_hash_ordered_positions_match_row_number(spark):
     got = ranking.positions(df, ["_h", "id"], group=["g"], out="pos", slices=13, hash_ordered=True)
     expected = df.selectExpr("g", "id", "row_number() OVER (PARTITION BY g ORDER BY _h, id) - 1 AS pos")
     assert rows(got, "g", "id", "pos") == rows(expected, "g", "id", "pos")
+
+
+def test_metric_log_append_sink(spark, scratch):
+    wide = spark.createDataFrame([(0, 1, -0.5, 2.0)], "run int, step int, val_metric double, loss double")
+    path = os.path.join(scratch, "log")
+    files.append_metric_log(metrics.metric_log(wide), path)
+    files.append_metric_log(metrics.metric_log(wide.withColumn("step", F.lit(2))), path)
+    back = spark.read.parquet(path)
+    assert rows(back, "step", "tag", "value") == [(1, "loss", 2.0), (1, "val_metric", -0.5),
+                                                  (2, "loss", 2.0), (2, "val_metric", -0.5)]
