@@ -11,7 +11,7 @@ from chartwise.operators import observations as ob
 from chartwise.operators import predictions as pr
 from chartwise.plans.catalog import query
 from chartwise.plans.observation_plans import MAX_VAL_SAMPLES, T_VAL
-from chartwise.plans.timeline_plans import round_doubles
+from chartwise.plans.timeline_plans import round_doubles, round_sig, round_sig_sql
 from chartwise.sources import fixtures as fx
 
 # Horizon and step of the reference's MIMIC run (T = 48, dt = 0.1).
@@ -168,17 +168,14 @@ s AS (SELECT id,
   sum((ln(0.01) - ln(sqrt(abs(lv1) + 1e-5)) + (pow(sqrt(abs(lv1) + 1e-5), 2) + pow(mu1 - x, 2)) / (2.0 * 0.01 * 0.01) - 0.5) * m)
     AS kl_post_var,
   sum(m) AS num_obs FROM j GROUP BY id)
-SELECT id, round(loss_pre, 6) AS loss_pre, round(loss_pre_noconst, 6) AS loss_pre_noconst,
-       round(loss_pre_var, 6) AS loss_pre_var, round(kl_post, 4) AS kl_post, round(kl_post_var, 4) AS kl_post_var,
-       num_obs, round(loss_pre + {MIXING} * kl_post, 4) AS loss FROM s""", ids="D14 D15 D16 D17 H17")
+SELECT id, {round_sig_sql('loss_pre')} AS loss_pre, {round_sig_sql('loss_pre_noconst')} AS loss_pre_noconst, {round_sig_sql('loss_pre_var')} AS loss_pre_var, {round_sig_sql('kl_post')} AS kl_post, {round_sig_sql('kl_post_var')} AS kl_post_var,
+       num_obs, {round_sig_sql(f'loss_pre + {MIXING} * kl_post')} AS loss FROM s""", ids="D14 D15 D16 D17 H17")
 def observation_losses(t):
     o = _long_all(fx.obs(t))
     out = mt.observation_losses(o, fx.pred(t), MIXING)
-    # KL terms are ~1e5 per observation: compare them on 4 decimals
-    r6 = ["loss_pre", "loss_pre_noconst", "loss_pre_var"]
-    return out.select("id", *[F.round(c, 6).alias(c) for c in r6],
-                      F.round("kl_post", 4).alias("kl_post"), F.round("kl_post_var", 4).alias("kl_post_var"),
-                      "num_obs", F.round("loss", 4).alias("loss"))
+    # per-id sums reach ~1e9 (KL with σ = 0.01): compared on 10 significant digits
+    cols = ["loss_pre", "loss_pre_noconst", "loss_pre_var", "kl_post", "kl_post_var"]
+    return out.select("id", *[round_sig(c).alias(c) for c in cols], "num_obs", round_sig("loss").alias("loss"))
 
 
 _AUC = """
@@ -334,7 +331,7 @@ cl AS (SELECT p.id, greatest(z, 0) - z * l.label + ln(1 + exp(-abs(z))) AS bce
        JOIN fx_labels AS l ON p.id = l.id),
 {_FOLD0_TRAIN}
 SELECT a.batch, count(*) AS batch_size,
-       round((coalesce(sum(il.loss), 0) + {LAMBDA} * coalesce(sum(cl.bce), 0)) / count(*), 2) AS total_loss
+       {round_sig_sql(f"((coalesce(sum(il.loss), 0) + {LAMBDA} * coalesce(sum(cl.bce), 0)) / count(*))")} AS total_loss
 FROM a LEFT JOIN il ON a.id = il.id LEFT JOIN cl ON a.id = cl.id GROUP BY a.batch""", ids="D17 D18")
 def batch_total_loss(t):
     from chartwise.plans.split_plans import _train0
@@ -343,5 +340,5 @@ def batch_total_loss(t):
     p = fx.pred(t)
     logits = p.where("seq = 0 AND k = 0 AND tick = 480").select("id", ((F.col("mean") - 100) / 50).alias("logit"))
     out = mt.batch_total_loss(id_loss, logits, fx.labels(t), _train0(t), LAMBDA)
-    # the summed KL terms reach ~1e8: compared on 2 decimals
-    return out.select("batch", "batch_size", F.round("total_loss", 2).alias("total_loss"))
+    # the summed KL terms reach ~1e8: compared on 10 significant digits
+    return out.select("batch", "batch_size", round_sig("total_loss").alias("total_loss"))

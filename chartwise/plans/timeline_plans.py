@@ -9,6 +9,20 @@ from chartwise.plans.catalog import query
 from chartwise.sources import fixtures as fx
 
 
+def round_sig(c, digits: int = 10):
+    """Round to ``digits`` significant digits (large sums whose last digits
+    depend on summation order); ``round_sig_sql`` is the oracle twin."""
+    x = F.col(c) if isinstance(c, str) else c
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - F.lit(digits - 1))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x / p, 0) * p)
+
+
+def round_sig_sql(x: str, digits: int = 10) -> str:
+    x = f"({x})"
+    p = f"pow(10.0, floor(log10(abs({x}))) - {digits - 1})"
+    return f"(CASE WHEN {x} = 0 THEN 0.0 ELSE round({x} / {p}, 0) * {p} END)"
+
+
 def round_doubles(df, places: int = 6):
     """Round every DOUBLE column (oracle comparison on 6 decimals)."""
     return df.select(*[
