@@ -56,3 +56,29 @@ def test_flagship_plan_keeps_events_unshuffled(spark):
     assert "hashpartitioning(subject_id" not in plan  # no per-subject shuffle of the events
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in \
         df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def _plan(spark, df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_counts_and_tick_dedup_stay_hash_aggregates(spark):
+    from chartwise.operators import predictions, text
+    from chartwise.sources import fixtures as fx
+    from chartwise.sources.tables import Tables
+
+    t = Tables(spark, SF)
+    words = text.top_words(fx.works(t))
+    assert "SortAggregate" not in _plan(spark, words)
+    dedup = predictions.first_per_tick(fx.pred(t))
+    plan = _plan(spark, dedup)
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_variant_b_has_no_per_subject_window(spark):
+    df = entry.queries()["readmitted_stays_b"](spark, SF)
+    plan = _plan(spark, df)
+    # stay numbers come from slice positions, not row_number() over each subject's stays
+    assert "row_number() windowspecdefinition(subject_id" not in plan
+    assert "lag(" not in plan
