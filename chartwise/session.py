@@ -74,8 +74,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CHARTWISE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
-        # materialised sides are checkpoints: remove them once unreferenced
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
