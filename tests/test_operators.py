@@ -309,3 +309,20 @@ def test_metric_log_append_sink(spark, scratch):
     back = spark.read.parquet(path)
     assert rows(back, "step", "tag", "value") == [(1, "loss", 2.0), (1, "val_metric", -0.5),
                                                   (2, "loss", 2.0), (2, "val_metric", -0.5)]
+
+
+def test_sequenced_stays_hot_subject_matches_window(spark):
+    # subject 1 holds ~90 % of the stays; equal admission times tie-break on stay_id
+    base = spark.range(0, 1500).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 2).otherwise(1).alias("subject_id"),
+        F.col("id").alias("hadm_id"), (F.col("id") + 1000).alias("stay_id"),
+        (F.lit(dt.datetime(2020, 1, 1)) + F.make_dt_interval(days=(F.col("id") % 97).cast("int"))).alias("intime"),
+    ).withColumn("outtime", F.when(F.col("hadm_id") % 11 == 0, None).otherwise(F.col("intime") + F.expr("INTERVAL 1 DAY")))
+    ids = base.select("subject_id").distinct()
+    got = cohort.sequenced_stays(base, ids)
+    exp = base.selectExpr(
+        "subject_id", "stay_id",
+        "CAST(row_number() OVER (PARTITION BY subject_id ORDER BY intime, stay_id) AS BIGINT) AS record_seq",
+        "lag(outtime) OVER (PARTITION BY subject_id ORDER BY intime, stay_id) AS previous_outtime")
+    assert rows(got, "subject_id", "stay_id", "record_seq", "previous_outtime") == \
+        rows(exp, "subject_id", "stay_id", "record_seq", "previous_outtime")
