@@ -326,3 +326,15 @@ def test_sequenced_stays_hot_subject_matches_window(spark):
         "lag(outtime) OVER (PARTITION BY subject_id ORDER BY intime, stay_id) AS previous_outtime")
     assert rows(got, "subject_id", "stay_id", "record_seq", "previous_outtime") == \
         rows(exp, "subject_id", "stay_id", "record_seq", "previous_outtime")
+
+
+def test_first_by_hot_group_matches_window(spark):
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 9 == 0, F.col("id") % 4 + 1).otherwise(0).alias("id"),
+        (F.col("id") * 0.1).alias("t"), (F.col("id") % 13).cast("double").alias("value_0"))
+    near = ranking.first_by(df, ["id"], [F.abs(F.col("t") - 44.0), "value_0", "t"])
+    last = ranking.first_by(df, ["id"], ["t"], last=True)
+    exp_near = df.selectExpr("*", "row_number() OVER (PARTITION BY id ORDER BY abs(t - 44.0), value_0, t) AS rn").where("rn = 1")
+    exp_last = df.selectExpr("*", "row_number() OVER (PARTITION BY id ORDER BY t DESC) AS rn").where("rn = 1")
+    assert rows(near, "id", "t", "value_0") == rows(exp_near, "id", "t", "value_0")
+    assert rows(last, "id", "t", "value_0") == rows(exp_last, "id", "t", "value_0")
