@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwise.llm import exact_dedup, packing
+from chartwise.llm import bpe, exact_dedup, minhash, packing, repeats, token_counts
 from chartwise.llm.common import table
 
 JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,31 @@ def _query(fn):
     return fn
 
 
+@_query
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), RANK_FILE), 256).alias("decoded_sha256"))
+
+
+@_query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@_query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = token_counts.counts(table(spark, sf_dir, "documents"), RANK_FILE)
+    return c.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"), "fitting_bytes")
+
+
+@_query
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @_query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), JSON_FILE, RANK_FILE)
