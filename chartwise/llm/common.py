@@ -48,6 +48,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """A fresh path under the shared ``spark.checkpoint.dir``, removed at the end of the process."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chartwise-{uuid.uuid4().hex}"
+    _saved[path] = spark
+    return path
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
 
@@ -55,9 +62,8 @@ def save(df: DataFrame) -> DataFrame:
     outlive a lost executor; ``drop`` or the end of the process removes them.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chartwise-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
-    _saved[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out

@@ -81,7 +81,8 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     names = name_texts(docs, block_bytes).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_g")
     named = save(rows.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")))
                  .select("doc_id", "text_sha256", "level", "name"))
-    groups = named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # saved, so that the join below has plain shuffles on both sides and a large group of copies can be split
+    groups = save(named.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

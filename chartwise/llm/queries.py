@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwise.llm import bpe, exact_dedup, minhash, packing, repeats, token_counts
+from chartwise.llm import bpe, exact_dedup, minhash, packing, quality, repeats, secret_scan, token_counts, warc
 from chartwise.llm.common import table
 
 JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,22 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(bpe.decode(F.col("ids"), RANK_FILE), 256).alias("decoded_sha256"))
 
 
+@_query
+def op3_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "record_id")
+
+
+@_query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), words=4, percent=80)

@@ -45,9 +45,9 @@ from chartwise.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
 GRAM = 128
-PIECE_BYTES = 2 << 20  # bytes worked on at a time
-SHARD_BYTES = 2 << 20
-SPLIT_OVER = 2048
+PIECE_BYTES = 256 << 10  # bytes worked on at a time (about 20 arrays of 8 bytes each)
+SHARD_BYTES = 512 << 10
+SPLIT_OVER = 1024
 _POS = np.uint64((1 << 24) - 1)
 _OTHER = mix(BYTE)
 
