@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwise.llm import bpe, exact_dedup, minhash, packing, quality, repeats, secret_scan, token_counts, warc
+from chartwise.llm import bpe, exact_dedup, kmeans_tree, minhash, packing, quality, repeats, secret_scan, token_counts, warc
 from chartwise.llm.common import table
 
 JSON_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,11 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 @_query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
