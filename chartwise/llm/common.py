@@ -85,6 +85,12 @@ def _drop_all() -> None:
             return
 
 
+def boxed(docs: DataFrame, **more) -> DataFrame:
+    """``docs`` as one struct column ``_row`` beside the named expressions, so that no column of its can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("_row"), *[e.alias(name) for name, e in more.items()])
+
+
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and its n+1 offsets, without copying; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

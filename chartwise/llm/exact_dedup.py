@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import drop, nz, save
+from chartwise.llm.common import boxed, drop, nz, save
 
 BLOCK_BYTES = 8192
 
@@ -90,5 +90,5 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_s")).distinct()
-    mine = docs.withColumn("_t", F.sha2(nz().cast("binary"), 256))
-    return mine.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_s")), "left_semi").drop("_t")
+    rows = boxed(docs, _doc=F.col("doc_id"), _t=F.sha2(nz().cast("binary"), 256))
+    return rows.join(kept, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_s")), "left_semi").select("_row.*")

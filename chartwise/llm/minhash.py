@@ -7,14 +7,16 @@ probability J, so similar documents retain nearly the same values.
 
 1. Documents with the same shingle set are one class from here on; its
    representative has the smallest id.
-2. Inverted lists: every two neighbouring retained values (of the first
-   RETAINED) are a key; documents with a key in common are candidates. At
-   J = 0.8 a pair has no key in common with probability about 1e-9; sets
-   of at most RETAINED values are listed whole, and two sets with J >= 0.8
-   then always share a key.
+2. Inverted lists: every three neighbouring retained values are a key;
+   documents with a key in common are candidates. Single values would put
+   all documents that share a passage into one list; three in a row rarely
+   are neighbours in two documents that are not alike. At J = 0.8 a pair
+   shares no three in a row of K with probability below 1e-7; sets of at
+   most K values are listed whole, and two such sets with J >= 0.8 always
+   share a key (sets of at most five values also list pairs).
 3. Union sketch: the K smallest values of both sketches together, and how
-   many of them both hold, estimate J. Pairs below LEAST_ESTIMATE of 0.8
-   (six standard deviations away) are dropped.
+   many of them both hold, estimate J. Pairs below LEAST_ESTIMATE
+   (six standard deviations below 0.8) are dropped.
 4. The full shingle sets confirm the rest exactly.
 
 Lists are not expanded into all pairs. First each member is paired with
@@ -38,13 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import chunks, drop, lower, mix, save, ship, span_hashes, text_bytes, word_spans
+from chartwise.llm.common import boxed, chunks, drop, lower, mix, save, ship, span_hashes, text_bytes, word_spans
 from chartwise.llm.components import components
 
-K = 64
-RETAINED = 33
-LEAST_ESTIMATE = 0.42
-CHUNK_BYTES = 1 << 20
+K = 48
+LEAST_ESTIMATE = 0.45
+CHUNK_BYTES = 256 << 10
 _M = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                              0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2F2BE8E9A9C1E9B5)]
 
@@ -103,11 +104,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         run, "doc_id long, n_shingles long, sig_a long, sig_b long, sketch array<long>")
 
 
-def _estimated(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose union sketch and set sizes allow the threshold."""
     s = sketch.select("doc_id", "n_shingles", "sketch")
     both = (pairs.join(s.toDF("u", "nu", "su"), "u").join(s.toDF("v", "nv", "sv"), "v")
-            .filter("100 * least(nu, nv) >= 80 * greatest(nu, nv)"))
+            .filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"))
 
     def run(batches):
         for batch in batches:
@@ -165,21 +166,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sketched = save(sketches(docs, words))
-    classes = (sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "sig_a", "sig_b")
-               .agg(F.min("doc_id").alias("rep")))
+    # saved, so that the join below has plain shuffles on both sides and a large class can be split
+    classes = save(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "sig_a", "sig_b")
+                   .agg(F.min("doc_id").alias("rep")))
     member = save(sketched.join(classes, ["n_shingles", "sig_a", "sig_b"], "left")
                   .select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(rep, doc_id))").alias("rep"),
                           F.expr("if(doc_id = rep, sketch, null)").alias("sketch")))
     drop(sketched)
+    drop(classes)
     # a repeated id can stand for two classes; one sketch row per id is enough to find its partners
     reps = save(member.filter("sketch is not null").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]))
-    # one key per two neighbouring retained values
-    first = f"slice(sketch, 1, least(size(sketch), {RETAINED}) - 1)"
-    second = f"slice(sketch, 2, least(size(sketch), {RETAINED}) - 1)"
-    keyed = reps.filter("size(sketch) > 1").select(
-        "doc_id", F.explode(F.expr(f"zip_with({first}, {second}, (a, b) -> xxhash64(a, b))")).alias("key"))
+    keyed = reps.filter("size(sketch) > 1").select("doc_id", "n_shingles", F.explode(F.expr(
+        "concat(transform(sequence(1, greatest(size(sketch) - 2, 1)),"
+        "   i -> xxhash64(element_at(sketch, i), element_at(sketch, i + 1), try_element_at(sketch, i + 2))),"
+        " if(size(sketch) <= 5, transform(sequence(1, size(sketch) - 1),"
+        "   i -> xxhash64(element_at(sketch, i), element_at(sketch, i + 1))), cast(array() as array<bigint>)))")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-    lists = save(keyed.join(shared, "key").select("key", "doc_id", "hub"))
+    lists = save(keyed.join(shared, "key").select("key", "doc_id", "n_shingles", "hub"))
     # first pass: the list's first member, and the next one in the list (dealt in blocks of ids so that no list is one task)
     star = lists.filter("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
     w = Window.partitionBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id")
@@ -187,19 +190,21 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     overlap = star.union(chain).groupBy("u", "v").agg(F.count("*").alias("shared"))
     # of a member's pairs, those with most shared keys first; the others wait for the second pass
     top = overlap.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("shared"), "u"))).filter("r <= 3")
-    linked = confirmed(_estimated(top.select("u", "v"), reps), docs, words, percent)
+    linked = confirmed(_estimated(top.select("u", "v"), reps, percent), docs, words, percent)
     roots = save(components(linked))
     # second pass: pairs across components, from lists that still span more than one
     placed = lists.join(roots.toDF("doc_id", "root"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        "key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
     counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    spanning = save(placed.join(largest, "key").select("key", "doc_id", "root", (F.col("root") != F.col("top.root")).alias("minor")))
-    x = spanning.filter("minor").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    y = spanning.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), "minor")
-    across = (x.join(y, "key").filter("rx <> ry and (not minor or x < y)")
-              .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-    more = confirmed(_estimated(across, reps), docs, words, percent)
+    spanning = save(placed.join(largest, "key").select(
+        "key", "doc_id", "n_shingles", "root", (F.col("root") != F.col("top.root")).alias("minor")))
+    x = spanning.filter("minor").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n_shingles").alias("nx"))
+    y = spanning.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("n_shingles").alias("ny"), "minor")
+    across = (x.join(y, (x["key"] == y["key"]) & F.expr(
+        f"rx <> ry and (not minor or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"))
+        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+    more = confirmed(_estimated(across, reps, percent), docs, words, percent)
     drop(lists)
     drop(spanning)
     edges = linked.union(more).union(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
@@ -212,4 +217,4 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group (the smallest id), with the columns of ``docs``."""
     kept = near_groups(docs, words, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return boxed(docs, _doc=F.col("doc_id")).join(kept, F.col("_doc").eqNullSafe(F.col("_id")), "left_semi").select("_row.*")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import chunks, lower, mix, ship, span_hashes, text_bytes
+from chartwise.llm.common import boxed, chunks, lower, mix, ship, span_hashes, text_bytes
 
 BUCKETS = 1 << 14
 LABELLED = 50_000
@@ -163,7 +163,8 @@ def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents above the cutoff, with the columns of ``docs``."""
     ratio, least = fit(docs, labels)
-    return weighted(docs, ratio).filter(F.col("_key") >= least).select(*docs.columns)
+    rows = boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    return weighted(rows, ratio).filter(F.col("_key") >= least).select("_row.*")
 
 
 def top_k(docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ Three patterns give the base findings: assignments to a password-like
 name, access keys, and long runs of hex digits. Two first-order Markov
 models over characters add to them: one of random strings, trained on the
 values the patterns found, one of ordinary identifiers, trained on words
-of the documents. A run of 20 or more characters of the value alphabet is
+of up to 19 characters that no pattern found. A run of 20 or more characters of the value alphabet is
 reported as ``markov`` if the log-likelihood ratio of the two models
 exceeds a threshold and it overlaps no base finding.
 
@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import nz, save
+from chartwise.llm.common import boxed, nz, save
 
 KINDS = ("assign", "access", "hex", "markov")
 # fixed patterns of the base findings
@@ -39,10 +39,12 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # a run of 16 or more from its first AKIA
 HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_]{5,18}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SAMPLE = 20_000
 SAMPLE_DOCS = 2_000
 FALSE_SHARE = 0.999
+FALL_BACK = 100.0
 MASK = "[SECRET]"
 _SIDE = len(ALPHABET) + 1
 
@@ -93,25 +95,31 @@ def samples(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(s, random, held): labelled strings, half of them held out."""
     values = scanned.select(F.explode("base.v").alias("s")).filter(F.length("s") >= 8)
     lowest = docs.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
-    words = (docs.join(F.broadcast(lowest), F.col("doc_id") == F.col("_id"), "left_semi")
-             .select(F.explode(F.regexp_extract_all(nz(), F.lit(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9_]{5,}"), F.lit(0))).alias("s")))
+    words = (docs.select("doc_id", "text").join(F.broadcast(lowest), F.col("doc_id") == F.col("_id"), "left_semi")
+             .select(F.explode(F.regexp_extract_all(nz(), F.lit(WORD), F.lit(0))).alias("s")))
 
     def lowest_hash(strings, random):
         one = strings.distinct().orderBy(F.xxhash64("s"), "s").limit(SAMPLE)
         return one.select("s", F.lit(random).alias("random"), (F.pmod(F.xxhash64("s", F.lit(3)), F.lit(2)) == 0).alias("held"))
 
-    return lowest_hash(values, True).union(lowest_hash(words, False))
+    return lowest_hash(values, True).union(lowest_hash(words.join(values.distinct(), "s", "left_anti"), False))
 
 
 def train(sample: DataFrame) -> tuple[list[float], float]:
     """Log-likelihood ratio of every pair of characters (by place), and the threshold on a string's sum."""
     counted = (sample.filter("not held").select("random", F.explode(_pairs(F.col("s"))).alias("p"))
                .groupBy("random", "p").count().collect())  # at most two rows per pair of alphabet characters
-    tables = {r: [[1.0] * _SIDE for _ in range(_SIDE)] for r in (True, False)}
-    for r in counted:
-        tables[r["random"]][r["p"] // _SIDE][r["p"] % _SIDE] += r["count"]
-    logs = {r: [[math.log(x / sum(row)) for x in row] for row in t] for r, t in tables.items()}
-    ratio = [a - b for x, y in zip(logs[True], logs[False], strict=True) for a, b in zip(x, y, strict=True)]
+    logs = {}
+    for random in (True, False):
+        table = [[0.0] * _SIDE for _ in range(_SIDE)]
+        for r in counted:
+            if r["random"] == random:
+                table[r["p"] // _SIDE][r["p"] % _SIDE] = float(r["count"])
+        # pairs that are rare after their first character fall back on how common the second is
+        single = [1.0 + sum(row[k] for row in table) for k in range(_SIDE)]
+        whole = sum(single)
+        logs[random] = [math.log((row[k] + FALL_BACK * single[k] / whole) / (sum(row) + FALL_BACK)) for row in table for k in range(_SIDE)]
+    ratio = [a - b for a, b in zip(logs[True], logs[False], strict=True)]
     held = sample.filter("held and not random").select(score(F.col("s"), ratio).alias("r"))
     most = held.agg(F.percentile("r", FALSE_SHARE)).first()[0]  # exact; at most SAMPLE rows
     return ratio, max(0.0, most or 0.0)
@@ -153,8 +161,9 @@ def redact(docs: DataFrame) -> DataFrame:
     spans = findings(docs).filter("size(base) + size(added) > 0").dropDuplicates(["doc_id", "_h"]).select(
         F.col("doc_id").alias("_id"), F.col("_h").alias("_g"),
         F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["ab"].alias("a"), x["bb"].alias("b")))).alias("_s"))
-    both = docs.withColumn("_h", F.xxhash64(nz())).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    raw = F.col("text").cast("binary")
+    rows = boxed(docs, _doc=F.col("doc_id"), _text=F.col("text"), _h=F.xxhash64(nz()))
+    both = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    raw = F.col("_text").cast("binary")
 
     def piece(a, b):
         return F.substring(raw, a + 1, b - a).cast("string")
@@ -166,8 +175,9 @@ def redact(docs: DataFrame) -> DataFrame:
                 F.concat(state["out"], F.array(piece(state["at"], x["a"]), F.lit(MASK)))).alias("out"))
 
     masked = F.aggregate("_s", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add,
-                         lambda s: F.concat(F.array_join(s["out"], ""), piece(s["at"], F.octet_length("text"))))
-    out = both.withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(masked))
+                         lambda s: F.concat(F.array_join(s["out"], ""), piece(s["at"], F.octet_length("_text"))))
+    out = both.select("_row", F.when(F.col("_s").isNull(), F.col("_text")).otherwise(masked).alias("_text"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_row.text").eqNullSafe(F.col("_text")), F.col("_row.n_chars")).otherwise(F.length("_text").cast("long"))
+    return out.select(*[(changed[c] if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
