@@ -22,9 +22,12 @@ probability J, so similar documents retain nearly the same values.
 Lists are not expanded into all pairs. First each member is paired with
 the list's first member and with its neighbours in the list; confirmed
 links give components. Lists within one component are then finished.
-In the others only pairs across components remain, and only members
-outside a list's largest component look for partners: a group of n copies
-costs about n pairs instead of n * n.
+In the others only pairs across components remain. Lists of up to
+LIST_LIMIT members give them one by one. Longer lists (one passage in very
+many documents, large families of copies) are joined to clusters, whose
+members are compared in blocks of about BLOCK_SHINGLES: a task holds two
+blocks, drops pairs by component, size and retained values, confirms the
+others on full sets, and returns only links that join components.
 
 Cases: null text or text without words has no shingles and no links; with
 fewer than ``words`` words the whole sequence is the only shingle; rows
@@ -46,6 +49,8 @@ from chartwise.llm.components import components
 K = 48
 LEAST_ESTIMATE = 0.45
 CHUNK_BYTES = 256 << 10
+LIST_LIMIT = 32
+BLOCK_SHINGLES = 300_000
 _M = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
                              0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2F2BE8E9A9C1E9B5)]
 
@@ -127,6 +132,17 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(doc_id, set) of the documents whose doc_id is in ``needed``."""
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), words)))],
+                                             names=["doc_id", "set"])
+
+    return (docs.select(F.col("doc_id").cast("long"), "text").join(needed.distinct(), "doc_id", "left_semi")
+            .dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set array<long>"))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B|, on full sets.
 
@@ -134,15 +150,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     their pairs; a document with many partners is dealt out by pair.
     """
     pairs = save(pairs)
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-
-    def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), words)))],
-                                             names=["doc_id", "set"])
-
-    full = save(docs.select(F.col("doc_id").cast("long"), "text").join(needed, "doc_id", "left_semi")
-                .dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set array<long>"))
+    full = save(full_sets(docs, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")), words))
 
     def check(batches):
         for batch in batches:
@@ -163,6 +171,71 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return out
 
 
+def _linked_in_blocks(t: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links that join components among the (at most two) blocks of a table of doc_id, root, block, set."""
+    ids, root, block = (t.column(c).to_numpy() for c in ("doc_id", "root", "block"))
+    order = np.argsort(block, kind="stable")
+    ids, root, block = ids[order], root[order].copy(), block[order]
+    column = t.column("set")
+    sets = [column[int(i)].values.to_numpy().view(np.uint64) for i in order]
+    size = np.array([len(x) for x in sets])
+    second = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+    least = [x[:K] for x in sets]
+    # retained values of the second block, with their owners
+    owner = np.repeat(np.arange(second, len(ids)), [len(x) for x in least[second:]])
+    value = np.concatenate(least[second:])
+    at = np.argsort(value, kind="stable")
+    owner, value = owner[at], value[at]
+    links = []
+    for i in range(second if second else len(ids)):
+        lo, hi = np.searchsorted(value, least[i], "left"), np.searchsorted(value, least[i], "right")
+        n = hi - lo
+        where = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+        common = np.bincount(owner[where], minlength=len(ids))
+        ok = (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (root != root[i])
+        ok &= common >= LEAST_ESTIMATE * np.minimum(K, np.maximum(size, size[i]))
+        ok[: second if second else i + 1] = False
+        for j in np.flatnonzero(ok):
+            if root[i] == root[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (size[i] + size[j] - both):
+                links.append((int(ids[i]), int(ids[j])))
+                a, b = min(root[i], root[j]), max(root[i], root[j])
+                root[root == b] = a
+    return links
+
+
+def _across_long_lists(long: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components within the clusters that long lists form; ``long``: key, doc_id, n_shingles, root."""
+    hub = long.groupBy("key").agg(F.min("doc_id").alias("hub"))
+    clusters = components(long.join(hub, "key").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))).toDF("doc_id", "cluster")
+    # documents linkable by size lie in the same or in neighbouring size classes
+    member = save(long.select("doc_id", "n_shingles", "root").distinct().join(clusters, "doc_id", "left").select(
+        "doc_id", "root", F.coalesce("cluster", "doc_id").alias("cluster"), "n_shingles",
+        F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent))).alias("s")))
+    count = member.groupBy("cluster", "s").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n"))
+    sized = member
+    for name, step in (("same", 0), ("up", 1), ("down", -1)):
+        sized = sized.join(count.select("cluster", (F.col("s") - step).alias("s"), F.col("n").alias(name)), ["cluster", "s"], "left")
+    sized = sized.withColumn("h", F.pmod(F.xxhash64("doc_id"), "same"))
+    tasks = F.expr(
+        "concat(transform(sequence(0L, same - 1), x -> struct(s AS s1, least(h, x) AS h1, s AS s2, greatest(h, x) AS h2)),"
+        " if(up is null, array(), transform(sequence(0L, coalesce(up, 1L) - 1), x -> struct(s AS s1, h AS h1, s + 1 AS s2, x AS h2))),"
+        " if(down is null, array(), transform(sequence(0L, coalesce(down, 1L) - 1), x -> struct(s - 1 AS s1, x AS h1, s AS s2, h AS h2))))")
+    full = full_sets(docs, member.select("doc_id"), words)
+    dealt = sized.join(full, "doc_id").select(
+        "cluster", F.explode(tasks).alias("t"), "doc_id", "root", F.struct("s", "h").alias("own"), "set").select(
+        "cluster", "t.*", "doc_id", "root",
+        F.when((F.col("own.s") == F.col("t.s1")) & (F.col("own.h") == F.col("t.h1")), 0).otherwise(1).alias("block"), "set")
+
+    def compare(t: pa.Table) -> pa.Table:
+        links = _linked_in_blocks(t, percent)
+        return pa.table({"u": pa.array([min(x) for x in links], pa.int64()), "v": pa.array([max(x) for x in links], pa.int64())})
+
+    return save(dealt.groupBy("cluster", "s1", "h1", "s2", "h2").applyInArrow(compare, "u long, v long"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sketched = save(sketches(docs, words))
@@ -195,16 +268,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     # second pass: pairs across components, from lists that still span more than one
     placed = lists.join(roots.toDF("doc_id", "root"), "doc_id", "left").select(
         "key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
-    counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    spanning = save(placed.join(largest, "key").select(
-        "key", "doc_id", "n_shingles", "root", (F.col("root") != F.col("top.root")).alias("minor")))
-    x = spanning.filter("minor").select("key", F.col("doc_id").alias("x"), F.col("root").alias("rx"), F.col("n_shingles").alias("nx"))
-    y = spanning.select("key", F.col("doc_id").alias("y"), F.col("root").alias("ry"), F.col("n_shingles").alias("ny"), "minor")
-    across = (x.join(y, (x["key"] == y["key"]) & F.expr(
-        f"rx <> ry and (not minor or x < y) and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)"))
-        .select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
-    more = confirmed(_estimated(across, reps, percent), docs, words, percent)
+    spans = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last")
+    spanning = save(placed.join(spans.select("key", "n"), "key"))
+    short = spanning.filter(F.col("n") <= LIST_LIMIT)
+    x, y = (short.select("key", F.col("doc_id").alias(c), F.col("root").alias("r" + c), F.col("n_shingles").alias("n" + c)) for c in "xy")
+    across = (x.join(y, "key").filter(f"x < y and rx <> ry and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+              .select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
+    more = confirmed(_estimated(across, reps, percent), docs, words, percent).union(
+        _across_long_lists(spanning.filter(F.col("n") > LIST_LIMIT), docs, words, percent))
     drop(lists)
     drop(spanning)
     edges = linked.union(more).union(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))

@@ -38,7 +38,8 @@ from chartwise.llm import tokens
 from chartwise.llm.common import ship
 
 LIMIT = 1024
-CACHED_WORDS = 400_000  # matches (and pairs of tokens) a worker remembers before it starts afresh
+CACHED_WORDS = 1_000_000  # matches a worker remembers; the frequent ones come early
+CACHED_PAIRS = 500_000
 _LATE = {b"'re", b"'ve", b"'ll"}
 
 
@@ -68,9 +69,9 @@ class PrefixCounter:
         key = (left, right)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= CACHED_WORDS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
+            known = self.merged(left + right) == ([left, right] if left else [right])
+            if len(self.pairs) < CACHED_PAIRS:
+                self.pairs[key] = known
         return known
 
     def prefixes(self, raw: bytes) -> bytes:
@@ -94,10 +95,8 @@ class PrefixCounter:
     def word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
             got = self.prefixes(word.encode())
-            if len(word) <= 64:
+            if len(word) <= 64 and len(self.words) < CACHED_WORDS:
                 self.words[word] = got
         return got
 

@@ -189,8 +189,11 @@ def test_near_edges(edge, nothing):
     assert left.columns == edge.columns and 17 not in {r.doc_id for r in left.collect()}
 
 
-def test_near_chain_of_edits(spark):
+@pytest.mark.parametrize("limit", [32, 2])
+def test_near_chain_of_edits(spark, monkeypatch, limit):
     """A family whose ends are far apart, linked only step by step, beside texts that share a long passage."""
+    monkeypatch.setattr(minhash, "LIST_LIMIT", limit)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 30 * limit)
     rng = np.random.default_rng(3)
     words = [f"v{k}" for k in range(500)]
     now, rows = list(rng.choice(words, 120)), []
