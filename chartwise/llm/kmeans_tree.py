@@ -11,12 +11,14 @@ queued, and leaves are visited in the order they come off the queue.
 How many leaves: sample queries are answered exactly and by the tree,
 and the number of visits is raised until the recall reaches TARGET.
 
-Queries and rows meet by (leaf, block). A leaf's rows are dealt to blocks
-of about BLOCK_ROWS by a hash, its queries to blocks likewise, and every
-pair of blocks is one task's group: a leaf that holds a third of all rows
-is many bounded groups. Distances are differences in double precision on
-the original vectors; each group returns its ten best per query, and a
-second aggregation the ten best of those.
+Queries and rows meet by (shard, block). A shard is a run of neighbouring
+leaves with about BLOCK_ROWS rows; a leaf with more is a shard of its own,
+its rows dealt to blocks by a hash. A shard's queries are dealt to blocks
+likewise, and every pair of blocks is one group: a leaf that holds a third
+of all rows is many bounded groups. Within a group a query is compared
+with the rows of the leaves it visits. Distances are differences in double
+precision on the original vectors; each group returns its ten best per
+query, and a second aggregation the ten best of those.
 
 Cases: vectors that are null, empty, zero, hold null or non-finite
 numbers, or have another length than most take no part; fewer than ten
@@ -44,7 +46,7 @@ LEAF_ROWS = 256
 LEAST_LEAF_SAMPLE = 8
 TARGET = 0.95
 PROBES = 200
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 BLOCK_QUERIES = 512
 SEED = 11
 
@@ -177,43 +179,55 @@ def search(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, target: f
             x = np.stack(b.column(1).to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held.value.assign(x))], names=["id", "v", "leaf"])
 
+    placed = save(rows.mapInArrow(place, "id long, v array<double>, leaf long"))
+    # one number per leaf: runs of leaves become shards
+    size = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}
+    shard_of = spark.sparkContext.broadcast(_shards([size.get(k, 0) for k in range(tree.leaves)]))
+
     def route(batches):
         for b in batches:
-            ids, vs, leaves = [], [], []
+            out: list[list] = [[], [], [], []]
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
-                found = held.value.visit(v, visits)
-                ids += [i] * len(found)
-                vs += [v] * len(found)
-                leaves += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float64())), pa.array(leaves, pa.int64())],
-                                             names=["id", "v", "leaf"])
-
-    kind = "id long, v array<double>, leaf long"
-    placed = save(rows.mapInArrow(place, kind))
-    routed = save(rows.filter(is_query).mapInArrow(route, kind))
-    row_blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("rb"))
-    query_blocks = routed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qb"))
-    blocks = F.broadcast(row_blocks.join(query_blocks, "leaf"))  # one row per leaf
-    x = placed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("id"), "rb").alias("r"),
-                                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("q"), "id", "v")
-    y = routed.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rb") - 1)).alias("r"),
-                                           F.pmod(F.xxhash64("id", F.lit(5)), "qb").alias("q"), "id", "v")
+                by_shard: dict[int, list[int]] = {}
+                for leaf in held.value.visit(v, visits):
+                    by_shard.setdefault(int(shard_of.value[leaf]), []).append(leaf)
+                for shard, leaves in by_shard.items():
+                    for col, x in zip(out, (i, v, shard, leaves), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))],
+                names=["id", "v", "shard", "leaves"])
+
+    routed = save(rows.filter(is_query).mapInArrow(route, "id long, v array<double>, shard long, leaves array<long>"))
+    number = F.split(F.lit(",".join(map(str, shard_of.value))), ",").cast("array<bigint>")
+    dealt = placed.withColumn("shard", F.get(number, F.col("leaf").cast("int")))
+    row_blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / (2 * BLOCK_ROWS)).alias("rb"))
+    query_blocks = routed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("qb"))
+    blocks = F.broadcast(row_blocks.join(query_blocks, "shard"))  # one row per shard, at most one per leaf
+    first = F.lit(0).cast("long")
+    x = dealt.join(blocks, "shard").select("shard", F.pmod(F.xxhash64("id"), "rb").alias("r"),
+                                           F.explode(F.sequence(first, F.col("qb") - 1)).alias("q"), "leaf", "id", "v")
+    y = routed.join(blocks, "shard").select("shard", F.explode(F.sequence(first, F.col("rb") - 1)).alias("r"),
+                                            F.pmod(F.xxhash64("id", F.lit(5)), "qb").alias("q"), "leaves", "id", "v")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids = left["id"].to_numpy()
+        left = left.sort_values("leaf", kind="stable")
+        leaf, ids = left["leaf"].to_numpy(), left["id"].to_numpy()
         points = np.stack(left["v"].to_numpy())
         out = []
-        for q, v in zip(right["id"].to_numpy(), right["v"].to_numpy(), strict=True):
-            score = np.sqrt(((points - v) ** 2).sum(axis=1))
-            score[ids == q] = np.inf
-            best = np.lexsort((ids, score))[:neighbours] if len(ids) <= 4 * neighbours else _first(ids, score, neighbours)
-            best = best[score[best] < np.inf]
-            out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "score": score[best]}))
-        return pd.concat(out)
-
-    found = x.groupBy("leaf", "r", "q").cogroup(y.groupBy("leaf", "r", "q")).applyInPandas(
+        for q, v, leaves in zip(right["id"], right["v"], right["leaves"], strict=True):
+            lo, hi = np.searchsorted(leaf, leaves, "left"), np.searchsorted(leaf, leaves, "right")
+            at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])
+            at = at[ids[at] != q]
+            if len(at):
+                score = np.sqrt(((points[at] - v) ** 2).sum(axis=1))
+                best = _first(ids[at], score, neighbours)
+                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    found = x.groupBy("shard", "r", "q").cogroup(y.groupBy("shard", "r", "q")).applyInPandas(
         compare, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, neighbours).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("rank", "b")).select(
@@ -223,6 +237,17 @@ def search(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, target: f
 
 def _first(ids, score, k):
     """Places of the k smallest (score, id)."""
-    edge = np.partition(score, k - 1)[k - 1]
+    edge = np.partition(score, k - 1)[k - 1] if len(score) > k else np.inf
     at = np.flatnonzero(score <= edge)
     return at[np.lexsort((ids[at], score[at]))[:k]]
+
+
+def _shards(sizes: list[int]) -> list[int]:
+    """Shard number of every leaf: runs of leaves with up to BLOCK_ROWS rows."""
+    out, shard, held = [], 0, 0
+    for n in sizes:
+        if held and held + n > BLOCK_ROWS:
+            shard, held = shard + 1, 0
+        out.append(shard)
+        held += n
+    return out
