@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartwise.functions.time import epoch_seconds, epoch_whole_seconds
-from chartwise.operators.joins import join_derived, sized
+from chartwise.operators.joins import Derived, join_derived
 from chartwise.operators.ranking import positions
 
 # The 33 chart item ids the reference keeps, in its order.
@@ -103,9 +103,8 @@ def readmitted_stays_a(stays: DataFrame, cohort_ids: DataFrame) -> DataFrame:
     """
     s = join_derived(stays, cohort_ids, "subject_id", "left_semi")
     key = lambda: F.struct("intime", "stay_id", "hadm_id", "outtime")
-    first = s.groupBy("subject_id").agg(F.min(key()).alias("first"))
-    first, fits = sized(first)
-    later = s.join(F.broadcast(first) if fits else first, "subject_id").where(
+    first = Derived(s.groupBy("subject_id").agg(F.min(key()).alias("first")))
+    later = join_derived(s, first, "subject_id").where(
         F.struct("intime", "stay_id") > F.struct(F.col("first.intime"), F.col("first.stay_id"))
     )
     second = later.groupBy("subject_id").agg(

@@ -10,61 +10,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chartwise.session import ensure_checkpoint_dir
+from chartwise import scratch
 
-# Largest derived side that is broadcast (bytes, estimated from row count
-# and schema widths). Spark's own hard limit is 8 GB; executors hold a copy.
+# Largest derived side that is broadcast, and how much larger rows are in
+# memory than in the compressed files their size is taken from.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-
-_WIDTH = {
-    T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
-    T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
-}
-
-
-def row_bytes(schema: T.StructType) -> int:
-    """Rough in-memory width of one row (strings and arrays counted at 32)."""
-    total = 8
-    for f in schema.fields:
-        total += _WIDTH.get(type(f.dataType), 32)
-    return total
+MEMORY_FACTOR = 8
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once to the shared folder and cut its lineage (see ``scratch``)."""
+    return scratch.save(df)
 
-    Survives executor loss (reliable storage, not local disk) and lets the
-    caller count rows without recomputing the plan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+class Derived:
+    """A derived join side, materialised once, and whether its measured size may be broadcast."""
 
-def sized(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES) -> tuple[DataFrame, bool]:
-    """Materialise a derived side and report whether it may be broadcast."""
-    mat = materialise(df)
-    n = mat.count()
-    return mat, n * row_bytes(mat.schema) <= limit_bytes
+    def __init__(self, df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES):
+        self.df = materialise(df)
+        self.fits = scratch.written_bytes(self.df) * MEMORY_FACTOR <= limit_bytes
 
+    def side(self) -> DataFrame:
+        return F.broadcast(self.df) if self.fits else self.df
 
-def join_derived(big: DataFrame, small: DataFrame, on, how: str = "inner",
+
+def join_derived(big: DataFrame, small, on, how: str = "inner",
                  limit_bytes: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Join ``big`` with a data-derived ``small`` side, broadcasting it only if measured small."""
-    mat, fits = sized(small, limit_bytes)
-    return big.join(F.broadcast(mat) if fits else mat, on, how)
+    """Join ``big`` with a data-derived ``small`` side, broadcasting it only if measured small.
+
+    A side used by several joins is passed as ``Derived`` and written once.
+    """
+    small = small if isinstance(small, Derived) else Derived(small, limit_bytes)
+    return big.join(small.side(), on, how)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a CPU-heavy row expansion (tokenising whole texts) every core.
+    """Give a CPU-heavy row expansion (tokenising whole texts) every core, however few files it comes from.
 
-    When a scan yields fewer partitions than the cluster has task slots
-    (a few large files), hash-repartition on ``key`` (deterministic on
-    retry); otherwise return ``df`` unchanged — at cluster scale the scan
-    already has thousands of partitions and no shuffle is added.
+    A hash repartition on ``key`` is deterministic on retry; adaptive
+    execution sizes its partitions.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots, key)
-    return df
+    return df.repartition(key)

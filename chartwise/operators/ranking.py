@@ -34,6 +34,17 @@ def hash_slice(hex_col: str, n: int) -> Column:
     return F.floor(F.conv(F.substring(F.col(hex_col), 1, 6), 16, 10).cast("double") * n / float(16 ** 6)).cast("int")
 
 
+def slice_count(df: DataFrame) -> int:
+    """Slices for sorting ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    advisory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    # generated or cached leaves can report the largest size there is
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // advisory), 1_000_000))
+
+
 def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | None = None,
               hash_ordered: bool = False) -> DataFrame:
     """Add ``out`` = 0-based position of each row within ``group`` by ``order``.
@@ -45,7 +56,7 @@ def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | No
     """
     group = list(group)
     order_cols = _as_cols(order)
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or slice_count(df)
     if hash_ordered:
         first = order[0]
         sliced = df.withColumn("_slice", hash_slice(first, n))
@@ -78,12 +89,6 @@ def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | No
     )
 
 
-def dense_index(df: DataFrame, key: str, order=None, out: str = "new_id") -> DataFrame:
-    """Map each distinct ``key`` to 0..n-1 in ``order`` (default: the key itself)."""
-    keys = df.select(key, *(order or [])).distinct() if order else df.select(key).distinct()
-    return positions(keys, order or [key], out=out)
-
-
 def running(df: DataFrame, value: str, order, group=(), how: str = "sum", out: str = "running",
             inclusive: bool = False, slices: int | None = None) -> DataFrame:
     """Running ``sum`` or ``max`` of ``value`` over ``order`` within ``group``.
@@ -96,7 +101,7 @@ def running(df: DataFrame, value: str, order, group=(), how: str = "sum", out: s
     """
     group = list(group)
     order_cols = _as_cols(order)
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or slice_count(df)
     agg = {"sum": F.sum, "max": F.max}[how]
     sliced = materialise(
         df.repartitionByRange(n, *_as_cols(group), *order_cols).withColumn("_slice", F.spark_partition_id())

@@ -15,9 +15,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,28 +31,49 @@ def register_views(frames: dict[str, DataFrame]) -> None:
 
 
 def read_subject_folder(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """All ``*.parquet`` under ``folder`` stacked by column name (one scan, not a loop)."""
-    if not os.path.isdir(folder) and "://" not in folder:
+    """All ``*.parquet`` under ``folder`` stacked by column name (one scan, not a loop).
+
+    The schema is given, so no footer is read for it: columns a file lacks
+    are NULL, others are not read. No folder, or none with such files, is
+    an empty table.
+    """
+    if not paths_of(spark, folder):
         return spark.createDataFrame([], schema)
-    try:
-        df = (spark.read.option("mergeSchema", True).option("pathGlobFilter", "*.parquet")
-              .option("recursiveFileLookup", False).parquet(folder))
-    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException on an empty folder
-        if "Unable to infer schema" in str(e) or "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
-                       else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder)
+
+
+def paths_of(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a path or glob, asked from the file system it belongs to (not the driver's disk)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return [f.getPath().toString() for f in found or []]
 
 
 ITEM_SCHEMA = T.StructType([T.StructField("itemid", T.StringType()), T.StructField("label", T.StringType())])
 
 
 def read_dimension(spark: SparkSession, path: str, schema: T.StructType = ITEM_SCHEMA) -> DataFrame:
-    """Dimension CSV read with its key as text; a missing file gives an empty table."""
-    if not os.path.exists(path) and "://" not in path:
-        return spark.createDataFrame([], schema)
-    return spark.read.option("header", True).schema(schema).csv(path)
+    """Dimension CSV with its key as text and ``pos``, its load order; a missing file gives an empty table.
+
+    ``pos`` orders rows by file name and then by place in the file: files
+    are read whole (dimensions are small), so a row's running number within
+    its task is its place.
+    """
+    full = T.StructType([*schema.fields, T.StructField("pos", T.LongType())])
+    if not paths_of(spark, path):
+        return spark.createDataFrame([], full)
+    rows = spark.read.option("header", True).schema(schema).csv(path).select(
+        *schema.names, F.input_file_name().alias("_file"), F.input_file_block_start().alias("_start"),
+        F.monotonically_increasing_id().alias("_id"))
+    # a dimension is small: one row per item, so one task may number it
+    w = Window.orderBy("_file", "_start", "_id")
+    return rows.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).select(*schema.names, "pos")
+
+
+def _number(c: str):
+    """Text as a double; what is no number, and NaN, is NULL."""
+    v = F.col(c).try_cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def _check_columns(df: DataFrame, first: str, second: str | None = None, what: str = "table") -> DataFrame:
@@ -70,13 +89,14 @@ def read_observation_files(spark: SparkSession, obs_path: str, cov_path: str | N
                            label_path: str | None = None) -> dict[str, DataFrame]:
     """Observations (ID, Time, Value_*, Mask_*), covariates and labels with a checked contract.
 
-    Columns are typed on read (``ID`` bigint, the rest double) and renamed
-    to the library's lower-case names; the path given is the path read.
+    Columns are typed on read (``ID`` bigint, the rest double, NaN as NULL)
+    and renamed to the library's names (``Time`` becomes ``t``); the path
+    given is the path read.
     """
     def typed(path):
         raw = spark.read.option("header", True).csv(path)
         return raw.select(*[
-            (F.col(c).try_cast("bigint") if c == "ID" else F.col(c).try_cast("double")).alias(c.lower())
+            (F.col(c).try_cast("bigint") if c == "ID" else _number(c)).alias("t" if c == "Time" else c.lower())
             for c in raw.columns
         ]), raw
 
@@ -94,26 +114,27 @@ def read_observation_files(spark: SparkSession, obs_path: str, cov_path: str | N
     return out
 
 
-def jdbc_reader(spark: SparkSession, url: str, query: str, user: str | None = None,
-                password: str | None = None, driver: str | None = None, fetchsize: int = 10000,
-                partition_column: str | None = None, lower: int | None = None, upper: int | None = None,
-                partitions: int | None = None):
-    """A configured (not yet loaded) JDBC reader for ``query``.
+def jdbc_options(url: str, query: str, user: str | None = None, password: str | None = None,
+                 driver: str | None = None, fetchsize: int = 10000, partition_column: str | None = None,
+                 lower: int | None = None, upper: int | None = None, partitions: int | None = None) -> dict[str, str]:
+    """Options of Spark's JDBC source for ``query``.
 
     With a numeric ``partition_column`` and bounds the read is split over
     ``partitions`` parallel connections instead of one. Credentials come
     from the caller, never from code.
     """
-    r = spark.read.format("jdbc").option("url", url).option("fetchsize", fetchsize)
+    o = {"url": url, "fetchsize": fetchsize, "user": user, "password": password, "driver": driver}
     if partition_column:
-        r = (r.option("dbtable", f"({query}) AS q").option("partitionColumn", partition_column)
-             .option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions or 8))
+        o |= {"dbtable": f"({query}) AS q", "partitionColumn": partition_column, "lowerBound": lower,
+              "upperBound": upper, "numPartitions": partitions or 8}
     else:
-        r = r.option("query", query)
-    for key, value in (("user", user), ("password", password), ("driver", driver)):
-        if value is not None:
-            r = r.option(key, value)
-    return r
+        o["query"] = query
+    return {k: str(v) for k, v in o.items() if v is not None}
+
+
+def jdbc_reader(spark: SparkSession, url: str, query: str, **options):
+    """A configured (not yet loaded) JDBC reader (see ``jdbc_options``)."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, query, **options))
 
 
 def write_per_subject(df: DataFrame, path: str, key: str = "subject_id", order: str = "charttime",
