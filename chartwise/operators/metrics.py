@@ -24,7 +24,7 @@ best) use the slice-parallel ``ranking.running``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwise.functions import stats as st
@@ -37,35 +37,34 @@ def _ratio(num, den):
 
 
 def masked_summary(ev: DataFrame) -> DataFrame:
-    m = F.col("m")
+    """Likelihood and error over observed values that have a prediction; ``num_unmatched`` counts those without."""
+    matched = F.when(F.col("mean").isNotNull() & F.col("logvar").isNotNull(), F.col("m"))
     nll = st.gaussian_nll(F.col("x"), F.col("mean"), F.col("logvar"))
     return ev.agg(
-        F.sum(m).alias("num_obs"),
-        _ratio(F.sum(nll * m), F.sum(m)).alias("loglik"),
-        _ratio(F.sum(F.pow(F.col("x") - F.col("mean"), 2) * m), F.sum(m)).alias("mse"),
+        F.sum("m").alias("num_obs"),
+        F.coalesce(F.sum(F.when(matched.isNull(), F.col("m"))), F.lit(0.0)).alias("num_unmatched"),
+        _ratio(F.sum(nll * matched), F.sum(matched)).alias("loglik"),
+        _ratio(F.sum(F.pow(F.col("x") - F.col("mean"), 2) * matched), F.sum(matched)).alias("mse"),
     )
 
 
 def masked_corr(ev: DataFrame) -> DataFrame:
-    """Per feature k: ``corr_reference`` and ``corr_pearson``."""
+    """Per feature k: ``corr_reference`` and ``corr_pearson``, in one aggregation (m is 0 or 1).
+
+    Both are made of moments about the masked means, which merge without
+    cancellation: a sum about another centre c is n * (moment + (mean - c)^2).
+    """
     x, h, m = F.col("x"), F.col("mean"), F.col("m")
-    means = ev.groupBy("k").agg(
-        _ratio(F.sum(x), F.sum(m)).alias("_mt"), _ratio(F.sum(h), F.sum(m)).alias("_mh"),
-        _ratio(F.sum(x * m), F.sum(m)).alias("_pt"), _ratio(F.sum(h * m), F.sum(m)).alias("_ph"),
-    )
-    j = ev.join(F.broadcast(means), "k")  # one row per feature
-    out = j.groupBy("k").agg(
-        F.sum((x - F.col("_mt")) * (h - F.col("_mh")) * m).alias("_num"),
-        F.sqrt(F.sum(F.pow(x - F.col("_mt"), 2) * m)).alias("_d1"),
-        F.sqrt(F.sum(F.pow(h - F.col("_mh"), 2) * m)).alias("_d2"),
-        F.sum((x - F.col("_pt")) * (h - F.col("_ph")) * m).alias("_pnum"),
-        F.sqrt(F.sum(F.pow(x - F.col("_pt"), 2) * m)).alias("_pd1"),
-        F.sqrt(F.sum(F.pow(h - F.col("_ph"), 2) * m)).alias("_pd2"),
-    )
-    return out.select(
+    on = (m == 1) & x.isNotNull() & h.isNotNull()
+    xm, hm = F.when(on, x), F.when(on, h)
+    g = ev.where(h.isNotNull()).groupBy("k").agg(
+        F.sum(m).alias("n"), F.sum(x).alias("sx"), F.sum(h).alias("sh"), F.avg(xm).alias("ax"), F.avg(hm).alias("ah"),
+        F.var_pop(xm).alias("vx"), F.var_pop(hm).alias("vh"), F.covar_pop(xm, hm).alias("c"))
+    dx, dh = F.col("ax") - _ratio(F.col("sx"), F.col("n")), F.col("ah") - _ratio(F.col("sh"), F.col("n"))
+    return g.select(
         "k",
-        _ratio(F.col("_num"), F.col("_d1") * F.col("_d2")).alias("corr_reference"),
-        _ratio(F.col("_pnum"), F.col("_pd1") * F.col("_pd2")).alias("corr_pearson"),
+        _ratio(F.col("c") + dx * dh, F.sqrt(F.col("vx") + dx * dx) * F.sqrt(F.col("vh") + dh * dh)).alias("corr_reference"),
+        _ratio(F.col("c"), F.sqrt("vx") * F.sqrt("vh")).alias("corr_pearson"),
     )
 
 
@@ -76,18 +75,28 @@ def corr_summary(corr: DataFrame, column: str = "corr_reference") -> DataFrame:
 
 def observation_losses(obs_long: DataFrame, pred: DataFrame, mixing: float = 1e-4,
                        obs_noise_std: float = 0.01) -> DataFrame:
-    """Per id: pre-update losses against ``seq`` 0 and KL against ``seq`` 1."""
-    pre = pred.where("seq = 0").select("id", "tick", "k", F.col("mean").alias("mu0"), F.col("logvar").alias("lv0"))
-    post = pred.where("seq = 1").select("id", "tick", "k", F.col("mean").alias("mu1"), F.col("logvar").alias("lv1"))
-    j = obs_long.join(pre, ["id", "tick", "k"]).join(post, ["id", "tick", "k"])
+    """Per id: pre-update losses against ``seq`` 0 and KL against ``seq`` 1.
+
+    Every observed value counts in ``num_obs``; those that lack one of the
+    two predictions have no loss and are counted in ``num_unmatched``.
+    """
+    both = pred.where("seq IN (0, 1)").groupBy("id", "tick", "k").agg(*[
+        F.max(F.when(F.col("seq") == s, F.col(c))).alias(f"{a}{s}") for s in (0, 1) for c, a in (("mean", "mu"), ("logvar", "lv"))])
+    j = obs_long.join(both, ["id", "tick", "k"], "left")
     x, m = F.col("x"), F.col("m")
+    found = F.col("mu0").isNotNull() & F.col("lv0").isNotNull() & F.col("mu1").isNotNull() & F.col("lv1").isNotNull()
+
+    def total(loss):
+        return F.coalesce(F.sum(F.when(found, loss * m)), F.lit(0.0))
+
     per_id = j.groupBy("id").agg(
-        F.sum(st.obs_loss_logvar(x, F.col("mu0"), F.col("lv0")) * m).alias("loss_pre"),
-        F.sum(st.obs_loss_logvar(x, F.col("mu0"), F.col("lv0"), constant=False) * m).alias("loss_pre_noconst"),
-        F.sum(st.obs_loss_var(x, F.col("mu0"), F.col("lv0")) * m).alias("loss_pre_var"),
-        F.sum(st.gaussian_kl(F.col("mu1"), st.sigma_from_logvar(F.col("lv1")), x, obs_noise_std) * m).alias("kl_post"),
-        F.sum(st.gaussian_kl(F.col("mu1"), st.sigma_from_var(F.col("lv1")), x, obs_noise_std) * m).alias("kl_post_var"),
+        total(st.obs_loss_logvar(x, F.col("mu0"), F.col("lv0"))).alias("loss_pre"),
+        total(st.obs_loss_logvar(x, F.col("mu0"), F.col("lv0"), constant=False)).alias("loss_pre_noconst"),
+        total(st.obs_loss_var(x, F.col("mu0"), F.col("lv0"))).alias("loss_pre_var"),
+        total(st.gaussian_kl(F.col("mu1"), st.sigma_from_logvar(F.col("lv1")), x, obs_noise_std)).alias("kl_post"),
+        total(st.gaussian_kl(F.col("mu1"), st.sigma_from_var(F.col("lv1")), x, obs_noise_std)).alias("kl_post_var"),
         F.sum(m).alias("num_obs"),
+        F.coalesce(F.sum(F.when(~found, m)), F.lit(0.0)).alias("num_unmatched"),
     )
     return per_id.withColumn("loss", F.col("loss_pre") + F.lit(mixing) * F.col("kl_post"))
 
@@ -143,15 +152,18 @@ def histogram(values: DataFrame, column: str, bins: int = 1000) -> dict[str, Dat
         F.min("v").alias("min"), F.max("v").alias("max"), F.count("*").alias("num"),
         F.sum("v").alias("sum"), F.sum(F.col("v") * F.col("v")).alias("sum_squares"),
     )
-    rng = summary.select(
+    # one struct as a scalar: the range is computed once, by one scan
+    rng = summary.select(F.when(F.col("num") > 0, F.struct(
         F.when(F.col("min") == F.col("max"), F.col("min") - 0.5).otherwise(F.col("min")).alias("lo"),
         F.when(F.col("min") == F.col("max"), F.col("max") + 0.5).otherwise(F.col("max")).alias("hi"),
-    )
-    lo, hi = rng.select("lo").scalar(), rng.select("hi").scalar()
+    )).alias("r")).scalar()
     nb = F.lit(bins)
+    ranged = v.withColumn("_r", rng)
+    lo, hi = F.col("_r.lo"), F.col("_r.hi")
     bin_of = F.least(F.floor((F.col("v") - lo) * nb / (hi - lo)), F.lit(bins - 1)).cast("int")
-    counts = v.select(bin_of.alias("bin")).groupBy("bin").agg(F.count("*").alias("count"))
-    spine = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "lo", "hi")
+    counts = ranged.select(bin_of.alias("bin")).groupBy("bin").agg(F.count("*").alias("count"))
+    spine = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"), rng.alias("_r")).select(
+        "bin", F.col("_r.lo").alias("lo"), F.col("_r.hi").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / nb
     hist = spine.join(counts, "bin", "left").select(
         "bin",
@@ -179,44 +191,45 @@ def epoch_summary(metrics: DataFrame, value: str = "loss", group=("run",)) -> Da
 
 
 def report(pred: DataFrame, label: str = "label", predicted: str = "pred") -> dict[str, DataFrame]:
-    """Accuracy, confusion matrix and a classification report (P/R/F1/support)."""
+    """Accuracy, confusion matrix and a classification report (P/R/F1/support).
+
+    Everything follows from the confusion counts, so each table scans the
+    predictions once; later steps work on one row per pair of classes.
+    """
     y, p = F.col(label).cast("int"), F.col(predicted).cast("int")
-    pairs = pred.select(y.alias("y"), p.alias("p"))
-    confusion = pairs.groupBy("y", "p").agg(F.count("*").alias("n"))
-    accuracy = pairs.agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
-    classes = pairs.select(F.col("y").alias("c")).unionByName(pairs.select(F.col("p").alias("c"))).distinct()
-    tp = confusion.where("y = p").select(F.col("y").alias("c"), F.col("n").alias("tp"))
-    support = confusion.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("support"))
-    predicted_n = confusion.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
-    per = (
-        classes.join(tp, "c", "left").join(support, "c", "left").join(predicted_n, "c", "left")
-        .na.fill(0, ["tp", "support", "predicted"])
-    )
+    confusion = pred.groupBy(y.alias("y"), p.alias("p")).agg(F.count("*").alias("n"))
+    accuracy = confusion.agg(
+        _ratio(F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).cast("double"), F.sum("n")).alias("accuracy"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+    parts = confusion.select(F.explode(F.array(
+        F.struct(F.col("y").alias("c"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"),
+                 F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col("p").alias("c"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"),
+                 F.col("n").alias("predicted")))).alias("s")).select("s.*")
+    counts = parts.groupBy("c").agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     precision = F.coalesce(_ratio(F.col("tp"), F.col("predicted")), F.lit(0.0))
     recall = F.coalesce(_ratio(F.col("tp"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(_ratio(2 * precision * recall, precision + recall), F.lit(0.0))
-    per = per.select(F.col("c").cast("string").alias("class"), precision.alias("precision"),
-                     recall.alias("recall"), f1.alias("f1"), F.col("support").cast("bigint").alias("support"))
-    total = per.agg(F.sum("support")).scalar()
-    averages = per.agg(
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-    ).select(F.lit("macro avg").alias("class"), "*", total.cast("bigint").alias("support"))
-    weighted = per.agg(
-        *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in ("precision", "recall", "f1")]
-    ).select(F.lit("weighted avg").alias("class"), "*", total.cast("bigint").alias("support"))
-    return {
-        "accuracy": accuracy,
-        "confusion": confusion,
-        "report": per.unionByName(averages).unionByName(weighted),
-    }
+    per = counts.select(F.col("c").cast("string").alias("class"), precision.alias("precision"),
+                        recall.alias("recall"), f1.alias("f1"), F.col("support").cast("bigint").alias("support"))
+    measures = ("precision", "recall", "f1")
+    # classes and their averages in one aggregation: the grand total gives two rows
+    rolled = per.rollup("class").agg(
+        F.grouping_id().alias("_all"), F.sum("support").alias("support"),
+        *[F.avg(c).alias(f"m_{c}") for c in measures],
+        *[_ratio(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(f"w_{c}") for c in measures])
+    own = F.struct("class", *[F.col(f"m_{c}").alias(c) for c in measures], "support")
+    macro = F.struct(F.lit("macro avg").alias("class"), *[F.col(f"m_{c}").alias(c) for c in measures], "support")
+    weighted = F.struct(F.lit("weighted avg").alias("class"), *[F.col(f"w_{c}").alias(c) for c in measures], "support")
+    rows = rolled.select(F.explode(F.when(F.col("_all") == 0, F.array(own)).otherwise(F.array(macro, weighted))).alias("r"))
+    return {"accuracy": accuracy, "confusion": confusion, "report": rows.select("r.*")}
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Balanced weights n / (k · n_c) per class."""
+    """Balanced weights n / (k · n_c) per class; the window spans one row per class."""
     counts = df.groupBy(label).agg(F.count("*").alias("n_c"))
-    n = df.agg(F.count("*")).scalar()
-    k = counts.agg(F.count("*")).scalar()
-    return counts.select(label, "n_c", (n / (k * F.col("n_c"))).alias("weight"))
+    every = Window.partitionBy(F.lit(0))
+    return counts.select(label, "n_c", (F.sum("n_c").over(every) / (F.count("*").over(every) * F.col("n_c"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
@@ -225,16 +238,16 @@ def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight")
 
 
 def batch_total_loss(id_loss: DataFrame, class_logits: DataFrame, labels: DataFrame, assign: DataFrame,
-                     lam: float = 1.0) -> DataFrame:
+                     lam: float = 1.0, group=("fold", "split", "batch")) -> DataFrame:
     """Per batch: (Σ observation loss + λ · Σ BCE of the class logits) / batch size (D17).
 
     ``id_loss`` (id, loss), ``class_logits`` (id, logit), ``labels`` (id, label),
-    ``assign`` (id, batch); all per-id sums are combined before the shuffle.
+    ``assign`` (id and the batch keys); all per-id sums are combined before the shuffle.
     """
     bce = class_logits.join(labels, "id").select(
         "id", st.bce_with_logits(F.col("logit"), F.col("label").cast("double")).alias("_bce"))
-    per_id = assign.select("id", "batch").join(id_loss.select("id", "loss"), "id", "left").join(bce, "id", "left")
-    return per_id.groupBy("batch").agg(
+    per_id = assign.select("id", *group).join(id_loss.select("id", "loss"), "id", "left").join(bce, "id", "left")
+    return per_id.groupBy(*group).agg(
         F.count("*").alias("batch_size"),
         ((F.coalesce(F.sum("loss"), F.lit(0.0)) + F.lit(float(lam)) * F.coalesce(F.sum("_bce"), F.lit(0.0)))
          / F.count("*")).alias("total_loss"),

@@ -20,6 +20,7 @@ as floats.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def obs_tick(t: Column, dt: float) -> Column:
 
 
 def round_to_step(t: Column, dt: float) -> Column:
-    """Round times to the decimals of the step, half to even (0.1 → 1 place)."""
-    decimals = max(0, -int(math.floor(math.log10(dt)))) if dt < 1 else 0
-    return F.bround(t, decimals)
+    """Round times to as many places as the step is written with, half to even (0.1 → 1, 0.25 → 2, 1.5 → 1)."""
+    exponent = Decimal(str(dt)).normalize().as_tuple().exponent
+    return F.bround(t, max(0, -exponent))
 
 
 def time_grid(obs: DataFrame, T: float, dt: float) -> DataFrame:
@@ -72,19 +73,20 @@ def first_per_tick(pred: DataFrame) -> DataFrame:
 def nearest_ticks(evals: DataFrame, pred_ticks: DataFrame) -> DataFrame:
     """``id, tick → matched_tick``: nearest prediction tick of the same id.
 
-    Both key sets are unioned and scanned once in tick order per id:
-    the last prediction tick at or before and the first at or after are
-    carried with ``last/first(ignorenulls)``; the smaller gap wins, ties go
-    to the earlier tick. Rows per id are bounded by the grid size.
+    Both key sets are unioned and scanned in tick order per id, forwards for
+    the last prediction tick at or before and backwards for the first at or
+    after; both frames only grow, so the work is linear in an id's rows. The
+    smaller gap wins, ties go to the earlier tick. Predictions of ids
+    without evaluations are left out first.
     """
     e = evals.select("id", "tick").distinct().withColumn("_is_pred", F.lit(0))
-    p = pred_ticks.select("id", "tick").distinct().withColumn("_is_pred", F.lit(1))
+    p = pred_ticks.select("id", "tick").join(e.select("id").distinct(), "id", "left_semi").distinct().withColumn("_is_pred", F.lit(1))
     u = e.unionByName(p).withColumn("_pt", F.when(F.col("_is_pred") == 1, F.col("tick")))
-    order = [F.col("tick"), F.col("_is_pred").desc()]
-    back = Window.partitionBy("id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fwd = Window.partitionBy("id").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy("id").orderBy(F.col("tick"), F.col("_is_pred").desc()).rowsBetween(*so_far)
+    fwd = Window.partitionBy("id").orderBy(F.col("tick").desc(), F.col("_is_pred").desc()).rowsBetween(*so_far)
     u = u.withColumn("_back", F.last("_pt", ignorenulls=True).over(back)).withColumn(
-        "_fwd", F.first("_pt", ignorenulls=True).over(fwd))
+        "_fwd", F.last("_pt", ignorenulls=True).over(fwd))
     u = u.where(F.col("_is_pred") == 0)
     gap_b = F.col("tick") - F.col("_back")
     gap_f = F.col("_fwd") - F.col("tick")
@@ -105,7 +107,7 @@ def eval_table(evals_wide: DataFrame, pred: DataFrame, n_features: int) -> DataF
     """
     # The search needs only the distinct prediction ticks; the "before the
     # update" dedup runs only on the rows of the matched ticks.
-    match = nearest_ticks(evals_wide, pred.select("id", "tick").distinct())
+    match = nearest_ticks(evals_wide, pred)
     wanted = match.select("id", F.col("matched_tick").alias("tick")).distinct()
     # plain semi join: materialising ``wanted`` first would run the whole
     # search twice; AQE picks the strategy from the measured sides

@@ -41,7 +41,7 @@ def _long_all_sql(src: str) -> str:
 
 
 def _evals(t):
-    after = ob.validation_split(fx.obs(t), T_VAL, max_val_samples=MAX_VAL_SAMPLES)["after"]
+    after = ob.validation_split(fx.obs(t), T_VAL, max_val_samples=MAX_VAL_SAMPLES, parts=("after",))["after"]
     return pr.eval_table(after, fx.pred(t), N)
 
 
@@ -97,7 +97,7 @@ def eval_nearest(t):
 
 
 @query("eval_metrics", f"""WITH {_EVAL.strip()}
-SELECT sum(m) AS num_obs,
+SELECT sum(m) AS num_obs, CAST(coalesce(sum(CASE WHEN mean IS NULL THEN m END), 0) AS DOUBLE) AS num_unmatched,
        round(sum(({C} + logvar / 2 + pow(x - mean, 2) / (2.0 * exp(logvar))) * m) / sum(m), 6) AS loglik,
        round(sum(pow(x - mean, 2) * m) / sum(m), 6) AS mse FROM evt""", ids="D10 D11")
 def eval_metrics(t):
@@ -157,9 +157,9 @@ def pred_halves(t):
 
 @query("observation_losses", f"""
 WITH lg AS ({_long_all_sql('fx_obs')}),
-pre AS (SELECT id, tick, k, mean AS mu0, logvar AS lv0 FROM fx_pred WHERE seq = 0),
-post AS (SELECT id, tick, k, mean AS mu1, logvar AS lv1 FROM fx_pred WHERE seq = 1),
-j AS (SELECT lg.*, mu0, lv0, mu1, lv1 FROM lg JOIN pre USING (id, tick, k) JOIN post USING (id, tick, k)),
+pre AS (SELECT id, tick, k, mean AS mu0, logvar AS lv0 FROM fx_pred_obs WHERE seq = 0),
+post AS (SELECT id, tick, k, mean AS mu1, logvar AS lv1 FROM fx_pred_obs WHERE seq = 1),
+j AS (SELECT lg.*, mu0, lv0, mu1, lv1 FROM lg LEFT JOIN pre USING (id, tick, k) LEFT JOIN post USING (id, tick, k)),
 s AS (SELECT id,
   sum(0.5 * (pow(x - mu0, 2) / exp(lv0) + lv0 + {C2}) * m) AS loss_pre,
   sum(0.5 * (pow(x - mu0, 2) / exp(lv0) + lv0) * m) AS loss_pre_noconst,
@@ -167,15 +167,16 @@ s AS (SELECT id,
   sum((ln(0.01) - ln(exp(0.5 * lv1)) + (pow(exp(0.5 * lv1), 2) + pow(mu1 - x, 2)) / (2.0 * 0.01 * 0.01) - 0.5) * m) AS kl_post,
   sum((ln(0.01) - ln(sqrt(abs(lv1) + 1e-5)) + (pow(sqrt(abs(lv1) + 1e-5), 2) + pow(mu1 - x, 2)) / (2.0 * 0.01 * 0.01) - 0.5) * m)
     AS kl_post_var,
-  sum(m) AS num_obs FROM j GROUP BY id)
+  sum(m) AS num_obs, CAST(coalesce(sum(CASE WHEN mu0 IS NULL OR mu1 IS NULL THEN m END), 0) AS DOUBLE) AS num_unmatched
+  FROM j GROUP BY id)
 SELECT id, {round_sig_sql('loss_pre')} AS loss_pre, {round_sig_sql('loss_pre_noconst')} AS loss_pre_noconst, {round_sig_sql('loss_pre_var')} AS loss_pre_var, {round_sig_sql('kl_post')} AS kl_post, {round_sig_sql('kl_post_var')} AS kl_post_var,
-       num_obs, {round_sig_sql(f'loss_pre + {MIXING} * kl_post')} AS loss FROM s""", ids="D14 D15 D16 D17 H17")
+       num_obs, num_unmatched, {round_sig_sql(f'loss_pre + {MIXING} * kl_post')} AS loss FROM s""", ids="D14 D15 D16 D17 H17")
 def observation_losses(t):
     o = _long_all(fx.obs(t))
-    out = mt.observation_losses(o, fx.pred(t), MIXING)
+    out = mt.observation_losses(o, fx.pred_obs(t), MIXING)
     # per-id sums reach ~1e9 (KL with σ = 0.01): compared on 10 significant digits
     cols = ["loss_pre", "loss_pre_noconst", "loss_pre_var", "kl_post", "kl_post_var"]
-    return out.select("id", *[round_sig(c).alias(c) for c in cols], "num_obs", round_sig("loss").alias("loss"))
+    return out.select("id", *[round_sig(c).alias(c) for c in cols], "num_obs", "num_unmatched", round_sig("loss").alias("loss"))
 
 
 _AUC = """
@@ -309,36 +310,36 @@ def class_weights(t):
     return round_doubles(mt.class_weights(fx.classes(t)))
 
 
-def _fold0_train_sql() -> str:
-    from chartwise.plans.split_plans import _BATCHES, _FOLDS
-    return f"{_FOLDS.strip()}, {_BATCHES.strip()}, a AS (SELECT id, batch FROM assign WHERE fold = 0 AND split = 'train')"
+def _assign_sql():
+    from chartwise.plans import split_plans as sp
+    return f"{sp._FOLDS.strip()}, {sp._BATCHES.strip()}, a AS (SELECT id, fold, split, batch FROM assign)"
 
 
-_FOLD0_TRAIN = _fold0_train_sql()
+_ASSIGN = _assign_sql()
 LAMBDA = 1.0  # weight of the class loss in the batch total (a training parameter)
 
 
 @query("batch_total_loss", f"""
 WITH lg AS ({_long_all_sql('fx_obs')}),
-pre AS (SELECT id, tick, k, mean AS mu0, logvar AS lv0 FROM fx_pred WHERE seq = 0),
-post AS (SELECT id, tick, k, mean AS mu1, logvar AS lv1 FROM fx_pred WHERE seq = 1),
-j AS (SELECT lg.*, mu0, lv0, mu1, lv1 FROM lg JOIN pre USING (id, tick, k) JOIN post USING (id, tick, k)),
+pre AS (SELECT id, tick, k, mean AS mu0, logvar AS lv0 FROM fx_pred_obs WHERE seq = 0),
+post AS (SELECT id, tick, k, mean AS mu1, logvar AS lv1 FROM fx_pred_obs WHERE seq = 1),
+j AS (SELECT lg.*, mu0, lv0, mu1, lv1 FROM lg LEFT JOIN pre USING (id, tick, k) LEFT JOIN post USING (id, tick, k)),
 il AS (SELECT id, sum(0.5 * (pow(x - mu0, 2) / exp(lv0) + lv0 + {C2}) * m)
                  + {MIXING} * sum((ln(0.01) - ln(exp(0.5 * lv1)) + (pow(exp(0.5 * lv1), 2) + pow(mu1 - x, 2)) / (2.0 * 0.01 * 0.01) - 0.5) * m)
                  AS loss FROM j GROUP BY id),
 cl AS (SELECT p.id, greatest(z, 0) - z * l.label + ln(1 + exp(-abs(z))) AS bce
        FROM (SELECT id, (mean - 100) / 50 AS z FROM fx_pred WHERE seq = 0 AND k = 0 AND tick = 480) AS p
        JOIN fx_labels AS l ON p.id = l.id),
-{_FOLD0_TRAIN}
-SELECT a.batch, count(*) AS batch_size,
+{_ASSIGN}
+SELECT a.fold, a.split, a.batch, count(*) AS batch_size,
        {round_sig_sql(f"((coalesce(sum(il.loss), 0) + {LAMBDA} * coalesce(sum(cl.bce), 0)) / count(*))")} AS total_loss
-FROM a LEFT JOIN il ON a.id = il.id LEFT JOIN cl ON a.id = cl.id GROUP BY a.batch""", ids="D17 D18")
+FROM a LEFT JOIN il ON a.id = il.id LEFT JOIN cl ON a.id = cl.id GROUP BY a.fold, a.split, a.batch""", ids="D17 D18")
 def batch_total_loss(t):
-    from chartwise.plans.split_plans import _train0
+    from chartwise.plans.split_plans import _assign
     o = _long_all(fx.obs(t))
-    id_loss = mt.observation_losses(o, fx.pred(t), MIXING)
+    id_loss = mt.observation_losses(o, fx.pred_obs(t), MIXING)
     p = fx.pred(t)
     logits = p.where("seq = 0 AND k = 0 AND tick = 480").select("id", ((F.col("mean") - 100) / 50).alias("logit"))
-    out = mt.batch_total_loss(id_loss, logits, fx.labels(t), _train0(t), LAMBDA)
+    out = mt.batch_total_loss(id_loss, logits, fx.labels(t), _assign(t), LAMBDA)
     # the summed KL terms reach ~1e8: compared on 10 significant digits
-    return out.select("batch", "batch_size", round_sig("total_loss").alias("total_loss"))
+    return out.select("fold", "split", "batch", "batch_size", round_sig("total_loss").alias("total_loss"))

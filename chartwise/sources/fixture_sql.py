@@ -22,14 +22,21 @@ FROM orders""",
 SELECT event_id, user_id AS subject_id, ts AS charttime,
        CASE event_type WHEN 'click' THEN 220045 WHEN 'view' THEN 220210
             WHEN 'purchase' THEN 220050 WHEN 'signup' THEN 223761 ELSE 999999 END AS itemid,
-       CASE WHEN event_id % 13 = 0 THEN NULL ELSE value END AS valuenum
-FROM events""",
+       value AS valuenum
+FROM events
+UNION ALL
+SELECT event_id + 1000000000000, user_id, ts,
+       CASE event_type WHEN 'click' THEN 220045 WHEN 'view' THEN 220210
+            WHEN 'purchase' THEN 220050 WHEN 'signup' THEN 223761 ELSE 999999 END, NULL
+FROM events WHERE event_id % 13 = 0""",
     "fx_chartevents_raw": """
-SELECT event_id, subject_id, CAST(itemid AS VARCHAR) AS itemid,
-       CASE WHEN event_id % 31 = 0 THEN 'not a time'
-            ELSE CAST(date_trunc('second', charttime) AS VARCHAR) END AS charttime,
-       CASE WHEN event_id % 29 = 0 THEN 'n/a' ELSE CAST(valuenum AS VARCHAR) END AS valuenum
-FROM fx_chartevents""",
+SELECT event_id, subject_id, CAST(itemid AS VARCHAR) AS itemid, CAST(date_trunc('second', charttime) AS VARCHAR) AS charttime,
+       CAST(valuenum AS VARCHAR) AS valuenum
+FROM fx_chartevents
+UNION ALL SELECT event_id + 2000000000000, subject_id, CAST(itemid AS VARCHAR), 'not a time', CAST(valuenum AS VARCHAR)
+FROM fx_chartevents WHERE event_id % 31 = 0
+UNION ALL SELECT event_id + 3000000000000, subject_id, CAST(itemid AS VARCHAR), CAST(date_trunc('second', charttime) AS VARCHAR), 'n/a'
+FROM fx_chartevents WHERE event_id % 29 = 0""",
     "fx_d_items": """
 SELECT pos, itemid, label FROM (VALUES
   (0, '220045', 'Heart Rate'), (1, '220210', 'Respiratory Rate (old)'),
@@ -68,6 +75,11 @@ SELECT o.id, o.tick, 1 AS seq, f.k, 101 + 50 * sin(o.id + f.k + o.tick * CAST(0.
        1 + CAST(f.k AS DOUBLE) / 2 AS logvar
 FROM fx_obs AS o CROSS JOIN (SELECT CAST(k AS INTEGER) AS k FROM range(0, 5) AS r(k)) AS f
 WHERE o.tick <= 400 AND o.tick % 7 <> 0""",
+    "fx_pred_obs": """
+SELECT o.id, o.tick, s.seq, f.k, 100 + s.seq + 50 * sin(o.id + f.k + o.tick * CAST(0.05 AS DOUBLE)) AS mean,
+       1 + CAST(f.k AS DOUBLE) / 2 AS logvar
+FROM fx_obs AS o CROSS JOIN (SELECT CAST(k AS INTEGER) AS k FROM range(0, 5) AS r(k)) AS f
+CROSS JOIN (SELECT CAST(seq AS INTEGER) AS seq FROM range(0, 2) AS q(seq)) AS s""",
     "fx_scores": """
 SELECT l.doc_id AS id, l.quality AS label, l.toxic AS batch,
        greatest(least(CAST(d.n_chars - 1000 AS DOUBLE) / 500, 3), -1) AS logit
@@ -75,26 +87,35 @@ FROM labels AS l JOIN documents AS d ON l.doc_id = d.doc_id""",
     "fx_works": """
 SELECT source AS author, doc_id AS work_id, lang,
        CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(2000 + doc_id % 20 AS VARCHAR) END AS year,
-       CASE WHEN doc_id % 37 = 0 THEN '' ELSE text END AS title
-FROM documents""",
+       text AS title
+FROM documents
+UNION ALL SELECT source, doc_id + 1000000000000, lang, '2001', '' FROM documents WHERE doc_id % 37 = 0""",
     "fx_profiles": """
-SELECT c_custkey AS profile_id,
-       '{"person":{"name":{"given-names":{"value":"' || lower(c_mktsegment) || '"},"family-name":' ||
-       CASE WHEN c_custkey % 9 = 0 THEN 'null' ELSE '{"value":"' || c_name || '"}' END ||
-       '}},"activities-summary":{"employments":{"affiliation-group":[{"summaries":[{"employment-summary":{"organization":{"name":"Org ' ||
-       CAST(c_nationkey AS VARCHAR) || '"},"start-date":' ||
+SELECT profile_id, '{"person":{"name":{"given-names":{"value":"' || seg || '"}' || family ||
+       '}},"activities-summary":{"employments":{"affiliation-group":[' ||
+       CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN '{"summaries":[' || job || ']}'
+            ELSE '{"summaries":[' || job || ',' || second || ']},{"summaries":[]},{"summaries":[' || second || ']}' END || ']}' ||
+       CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN ',"works":{"group":[]}' WHEN 2 THEN ',"works":{"group":[' || work || ']}'
+            ELSE ',"works":{"group":[' || work || ',{"work-summary":[{"title":{"title":{"value":"Undated"}},"publication-date":null}]},' ||
+                 '{"work-summary":[{"title":{"title":{"value":""}},"publication-date":null}]}]}' END || '}}' AS body
+FROM (SELECT c_custkey AS profile_id, c_custkey AS k, lower(c_mktsegment) AS seg,
+       CASE WHEN c_custkey % 9 = 0 THEN ',"family-name":null' WHEN c_custkey % 8 = 3 THEN ''
+            ELSE ',"family-name":{"value":"' || c_name || '"}' END AS family,
+       '{"employment-summary":{"organization":{"name":"Org ' || CAST(c_nationkey AS VARCHAR) || '"},"start-date":' ||
        CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE '{"year":{"value":"' || CAST(1990 + c_custkey % 20 AS VARCHAR) || '"}}' END ||
        ',"end-date":' ||
-       CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '{"year":{"value":"' || CAST(2012 + c_custkey % 8 AS VARCHAR) || '"}}' END ||
-       '}}]}]}}}' AS body
-FROM customer""",
+       CASE WHEN c_custkey % 2 = 0 THEN 'null' ELSE '{"year":{"value":"' || CAST(2012 + c_custkey % 8 AS VARCHAR) || '"}}' END || '}}' AS job,
+       '{"employment-summary":{"organization":{"name":"Second"},"start-date":null,"end-date":null}}' AS second,
+       '{"work-summary":[{"title":{"title":{"value":"Study of ' || lower(c_mktsegment) || '"}},"publication-date":{"year":{"value":"' ||
+       CAST(2000 + c_custkey % 25 AS VARCHAR) || '"}}}]}' AS work
+      FROM customer) AS c""",
     "fx_forecasts": """
 SELECT c_custkey AS page_id,
        CASE c_custkey % 4 WHEN 0 THEN 'mdw' WHEN 1 THEN 'Central Park' WHEN 2 THEN 'Denver, CO' ELSE 'Boston, MA' END AS location,
        '<ul><li class="tombstone-container"><p class="period-name">Today</p><p class="short-desc">Clear</p><p class="temp">High: 99 F</p></li>' ||
        CASE WHEN c_custkey % 3 = 0 THEN '<li class="tombstone-container"><p class="period-name">Notice</p></li>' ELSE '' END ||
-       '<li class="tombstone-container"><p class="period-name">Tonight</p><p class="short-desc">Cold</p><p class="temp">Low: 5 F</p></li>' ||
-       CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '<li class="tombstone-container"><p class="period-name">Friday</p><p class="short-desc">Rain<br>Late</p><p class="temp">High: ' ||
+       '<div class="forecast tombstone-container"><p class="period-name">Tonight</p><p class="short-desc">Cold</p><p class="temp temp-low">Low: 5 F</p></div>' ||
+       CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '<li class="tombstone-container"><p class="period-name">Friday</p><p class="short-desc">Rain<br>Late</p><p class="temp temp-high">High: ' ||
             CAST(c_custkey % 60 - 10 AS VARCHAR) || ' F</p></li>' END || '</ul>' AS html
 FROM customer""",
     "fx_metrics": """

@@ -52,28 +52,38 @@ def icustays(t: Tables) -> DataFrame:
     )
 
 
+# Added bad rows get ids of their own, far above the real ones.
+NULL_VALUE_ID, BAD_TIME_ID, BAD_VALUE_ID = 1_000_000_000_000, 2_000_000_000_000, 3_000_000_000_000
+
+
 def chartevents(t: Tables) -> DataFrame:
+    """Every event as a chart event, and added rows without a value."""
     e = t["events"]
-    return e.select(
-        "event_id",
+    kinds = F.when(F.col("event_id") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return e.select("event_id", "user_id", "ts", "event_type", "value", F.explode(kinds).alias("_bad")).select(
+        (F.col("event_id") + F.col("_bad") * F.lit(NULL_VALUE_ID)).alias("event_id"),
         F.col("user_id").alias("subject_id"),
         F.col("ts").alias("charttime"),
         _case(F.col("event_type"), EVENT_ITEM, EVENT_ITEM_DEFAULT).alias("itemid"),
-        F.when(F.col("event_id") % 13 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("valuenum"),
+        F.when(F.col("_bad") == 0, F.col("value")).alias("valuenum"),
     )
 
 
 def chartevents_raw(t: Tables) -> DataFrame:
-    """All-string chart events as the reference's CSV export holds them."""
-    c = chartevents(t)
-    return c.select(
-        "event_id",
+    """All-string chart events as the reference's CSV export holds them, and added rows that do not parse."""
+    c = chartevents(t).withColumn("_kinds", F.concat(
+        F.array(F.lit(0)),
+        F.when(F.col("event_id") % 31 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
+        F.when(F.col("event_id") % 29 == 0, F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))))
+    return c.select("*", F.explode("_kinds").alias("_bad")).select(
+        (F.col("event_id") + F.when(F.col("_bad") == 1, F.lit(BAD_TIME_ID)).when(F.col("_bad") == 2, F.lit(BAD_VALUE_ID)).otherwise(0))
+        .alias("event_id"),
         "subject_id",
         F.col("itemid").cast("string").alias("itemid"),
-        F.when(F.col("event_id") % 31 == 0, F.lit("not a time"))
+        F.when(F.col("_bad") == 1, F.lit("not a time"))
         .otherwise(F.date_trunc("second", F.col("charttime")).cast("timestamp_ntz").cast("string"))
         .alias("charttime"),
-        F.when(F.col("event_id") % 29 == 0, F.lit("n/a")).otherwise(F.col("valuenum").cast("string")).alias("valuenum"),
+        F.when(F.col("_bad") == 2, F.lit("n/a")).otherwise(F.col("valuenum").cast("string")).alias("valuenum"),
     )
 
 
@@ -166,6 +176,16 @@ def pred(t: Tables) -> DataFrame:
     return with_values(grid, 100).unionByName(with_values(after, 101))
 
 
+def pred_obs(t: Tables) -> DataFrame:
+    """Predictions at every observation, before (seq 0) and after (seq 1) its update, as training has them."""
+    rows = obs(t).select("id", "tick", F.explode(F.sequence(F.lit(0), F.lit(N_FEATURES - 1))).alias("k"))
+    phase = F.col("id") + F.col("k") + F.col("tick") * F.lit(0.05)
+    return rows.select("id", "tick", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"), "k").select(
+        "id", "tick", "seq", "k",
+        (F.lit(100) + F.col("seq") + F.lit(50) * F.sin(phase)).alias("mean"),
+        (F.lit(1.0) + F.col("k").cast("double") / 2).alias("logvar"))
+
+
 def scores(t: Tables) -> DataFrame:
     lab, doc = t["labels"], t["documents"]
     logit = F.greatest(F.least((doc["n_chars"] - 1000).cast("double") / 500, F.lit(3.0)), F.lit(-1.0))
@@ -183,25 +203,40 @@ def works(t: Tables) -> DataFrame:
         "lang",
         F.when(F.col("doc_id") % 11 == 0, F.lit(None).cast("string"))
         .otherwise((F.lit(2000) + F.col("doc_id") % 20).cast("string")).alias("year"),
-        F.when(F.col("doc_id") % 37 == 0, F.lit("")).otherwise(F.col("text")).alias("title"),
-    )
+        F.col("text").alias("title"),
+    ).unionByName(_untitled(t))
+
+
+def _untitled(t: Tables) -> DataFrame:
+    """Added works without a title."""
+    d = t["documents"]
+    return d.where(F.col("doc_id") % 37 == 0).select(
+        F.col("source").alias("author"), (F.col("doc_id") + 1_000_000_000_000).alias("work_id"), "lang",
+        F.lit("2001").alias("year"), F.lit("").alias("title"))
 
 
 def profiles(t: Tables) -> DataFrame:
     c = t["customer"]
     key = F.col("c_custkey")
     year_obj = lambda y: F.concat(F.lit('{"year":{"value":"'), y.cast("string"), F.lit('"}}'))
-    family = F.when(key % 9 == 0, F.lit("null")).otherwise(F.concat(F.lit('{"value":"'), F.col("c_name"), F.lit('"}')))
+    family = F.when(key % 9 == 0, F.lit(',"family-name":null')).when(key % 8 == 3, F.lit("")).otherwise(
+        F.concat(F.lit(',"family-name":{"value":"'), F.col("c_name"), F.lit('"}')))
     start = F.when(key % 5 == 0, F.lit("null")).otherwise(year_obj(F.lit(1990) + key % 20))
     end = F.when(key % 2 == 0, F.lit("null")).otherwise(year_obj(F.lit(2012) + key % 8))
+    job = F.concat(F.lit('{"employment-summary":{"organization":{"name":"Org '), F.col("c_nationkey").cast("string"),
+                   F.lit('"},"start-date":'), start, F.lit(',"end-date":'), end, F.lit("}}"))
+    second = F.lit('{"employment-summary":{"organization":{"name":"Second"},"start-date":null,"end-date":null}}')
+    groups = F.when(key % 3 == 0, F.lit("")).when(key % 3 == 1, F.concat(F.lit('{"summaries":['), job, F.lit("]}"))).otherwise(
+        F.concat(F.lit('{"summaries":['), job, F.lit(","), second, F.lit(']},{"summaries":[]},{"summaries":['), second, F.lit("]}")))
+    work = F.concat(F.lit('{"work-summary":[{"title":{"title":{"value":"Study of '), F.lower("c_mktsegment"),
+                    F.lit('"}},"publication-date":'), year_obj(F.lit(2000) + key % 25), F.lit("}]}"))
+    works_part = F.when(key % 4 == 0, F.lit("")).when(key % 4 == 1, F.lit(',"works":{"group":[]}')).when(
+        key % 4 == 2, F.concat(F.lit(',"works":{"group":['), work, F.lit("]}"))).otherwise(F.concat(
+            F.lit(',"works":{"group":['), work, F.lit(',{"work-summary":[{"title":{"title":{"value":"Undated"}},"publication-date":null}]},'
+                                                      '{"work-summary":[{"title":{"title":{"value":""}},"publication-date":null}]}]}')))
     body = F.concat(
-        F.lit('{"person":{"name":{"given-names":{"value":"'), F.lower("c_mktsegment"), F.lit('"},"family-name":'),
-        family,
-        F.lit('}},"activities-summary":{"employments":{"affiliation-group":[{"summaries":[{"employment-summary":'
-              '{"organization":{"name":"Org '),
-        F.col("c_nationkey").cast("string"), F.lit('"},"start-date":'), start, F.lit(',"end-date":'), end,
-        F.lit("}}]}]}}}"),
-    )
+        F.lit('{"person":{"name":{"given-names":{"value":"'), F.lower("c_mktsegment"), F.lit('"}'), family,
+        F.lit('}},"activities-summary":{"employments":{"affiliation-group":['), groups, F.lit("]}"), works_part, F.lit("}}"))
     return c.select(key.alias("profile_id"), body.alias("body"))
 
 
@@ -212,10 +247,12 @@ def forecasts(t: Tables) -> DataFrame:
         F.when(key % 4 == 0, "mdw").when(key % 4 == 1, "Central Park").when(key % 4 == 2, "Denver, CO").otherwise("Boston, MA")
     )
     block = '<li class="tombstone-container"><p class="period-name">{}</p>{}</li>'
+    # any tag, several class tokens
+    wide = '<div class="forecast tombstone-container"><p class="period-name">{}</p>{}</div>'
     today = block.format("Today", '<p class="short-desc">Clear</p><p class="temp">High: 99 F</p>')
     notice = block.format("Notice", "")
-    tonight = block.format("Tonight", '<p class="short-desc">Cold</p><p class="temp">Low: 5 F</p>')
-    friday_head = '<li class="tombstone-container"><p class="period-name">Friday</p><p class="short-desc">Rain<br>Late</p><p class="temp">High: '
+    tonight = wide.format("Tonight", '<p class="short-desc">Cold</p><p class="temp temp-low">Low: 5 F</p>')
+    friday_head = '<li class="tombstone-container"><p class="period-name">Friday</p><p class="short-desc">Rain<br>Late</p><p class="temp temp-high">High: '
     html = F.concat(
         F.lit("<ul>" + today),
         F.when(key % 3 == 0, F.lit(notice)).otherwise(F.lit("")),
@@ -249,7 +286,7 @@ def classes(t: Tables) -> DataFrame:
 ALL = {
     "fx_patients": patients, "fx_icustays": icustays, "fx_chartevents": chartevents,
     "fx_chartevents_raw": chartevents_raw, "fx_d_items": d_items, "fx_obs": obs, "fx_obs_two": obs_two,
-    "fx_cov": cov, "fx_labels": labels, "fx_pred": pred, "fx_scores": scores, "fx_works": works,
+    "fx_cov": cov, "fx_labels": labels, "fx_pred": pred, "fx_pred_obs": pred_obs, "fx_scores": scores, "fx_works": works,
     "fx_profiles": profiles, "fx_forecasts": forecasts, "fx_metrics": metrics, "fx_classes": classes,
 }
 
