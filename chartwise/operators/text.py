@@ -33,7 +33,6 @@ STOP_WORDS = (
 UNKNOWN = "Unknown"
 TOP_K = 3
 WORD_BUCKETS = 64
-POS_BITS = 24
 
 # Python's \w is Unicode-aware; the JVM's is ASCII-only, so the class is spelt out.
 NON_WORD = r"[^\p{L}\p{N}_\s]"
@@ -62,12 +61,12 @@ def _year(works: DataFrame) -> DataFrame:
 def top_words(works: DataFrame, k: int = TOP_K, buckets: int = WORD_BUCKETS) -> DataFrame:
     """``author, year, rank, word, n`` for the top ``k`` words per (author, year)."""
     w = words(spread(_year(works), "work_id"), "title", ["author", "year", "work_id"])
-    # first occurrence (work, position) packed into one BIGINT so the
-    # aggregate stays a hash aggregate (a struct minimum forces a sort
-    # aggregate); positions below 2^24 words per text
-    first = F.col("work_id") * F.lit(1 << POS_BITS) + F.col("pos")
-    counts = w.groupBy("author", "year", "word").agg(F.count("*").alias("n"), F.min(first).alias("first"))
-    order = [F.col("n").desc(), F.col("first"), F.col("word")]
+    # first occurrence (work, position) by two aggregates with fixed-width
+    # buffers, so both stay hash aggregates (a struct minimum would sort)
+    per_work = w.groupBy("author", "year", "word", "work_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    counts = per_work.groupBy("author", "year", "word").agg(
+        F.sum("n").alias("n"), F.min("work_id").alias("first_work"), F.min_by("pos", "work_id").alias("first_pos"))
+    order = [F.col("n").desc(), F.col("first_work"), F.col("first_pos"), F.col("word")]
     bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
     local = Window.partitionBy("author", "year", "_b").orderBy(*order)
     survivors = counts.withColumn("_b", bucket).withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)

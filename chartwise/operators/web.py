@@ -1,23 +1,28 @@
 """Landed web records: profile JSON and forecast HTML.
 
 * ``parse_profiles``      ``from_json`` with an explicit schema            (A8, H7)
-* ``profile_affiliations`` full name (missing name object → "Unknown
+* ``profile_affiliations`` full name (a name part that is null → "Unknown
                           Name"), one row per affiliation group from its
                           first summary: ``org (start-end)``, open end →
                           "Present", missing start → "?"                    (H5, H6)
-* ``forecast_blocks``     blocks by class, child texts by class, page order (H9, A9)
+* ``profile_works``       title and year of every work, missing year →
+                          "Unknown"                                         (H7)
+* ``class_texts``         texts of the elements of a class, any tag, page
+                          order                                             (H9, A9)
+* ``forecast_blocks``     blocks by class, child texts by class             (H9)
 * ``next_high``           first block (page order) that is not "Today" /
                           "Afternoon", has a temperature and a "High";
                           first signed integer as the value; alias map,
                           city before the first comma                        (B10, F8, H8, H10, H11)
+* ``city_highs``          the rows with a temperature                       (H11)
 
-Fixed-shape markup only (regular expressions over the class-marked
-blocks), not a general HTML parser.
+Regular expressions over class-marked elements, not a general HTML
+parser: an element ends at the first closing tag of its own kind.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +48,14 @@ PROFILE_SCHEMA = T.StructType([
                 ]))),
             ]))),
         ])),
+        T.StructField("works", T.StructType([
+            T.StructField("group", T.ArrayType(T.StructType([
+                T.StructField("work-summary", T.ArrayType(T.StructType([
+                    T.StructField("title", T.StructType([T.StructField("title", _VALUE)])),
+                    T.StructField("publication-date", _YEAR),
+                ]))),
+            ]))),
+        ])),
     ])),
 ])
 
@@ -57,65 +70,102 @@ def parse_profiles(raw: DataFrame, body: str = "body") -> DataFrame:
     return raw.withColumn("j", F.from_json(F.col(body), PROFILE_SCHEMA))
 
 
-def profile_affiliations(raw: DataFrame, key: str = "profile_id") -> DataFrame:
-    p = parse_profiles(raw)
-    name = F.col("j.person.name")
-    given, family = name.getField("given-names"), name.getField("family-name")
-    full = F.when(given.isNull() | family.isNull(), F.lit("Unknown Name")).otherwise(
-        F.trim(F.concat(F.coalesce(given["value"], F.lit("")), F.lit(" "), F.coalesce(family["value"], F.lit(""))))
-    )
+def _null_at(parent: Column, key: str) -> Column:
+    """The object ``parent`` (JSON text) has ``key`` and its value is null; an absent key is not null."""
+    return F.coalesce(F.array_contains(F.json_object_keys(parent), key) & F.get_json_object(parent, f"$['{key}']").isNull(), F.lit(False))
+
+
+def _named(value: Column) -> Column:
+    """Missing parts of a sentence read "None"."""
+    return F.coalesce(value, F.lit("None"))
+
+
+def profile_affiliations(raw: DataFrame, key: str = "profile_id", body: str = "body") -> DataFrame:
+    """Full name and one row per affiliation group with a summary.
+
+    An absent name part is left out; a part that is JSON null makes the
+    name "Unknown Name". Profiles without groups, and groups without
+    summaries, give no row.
+    """
+    p = parse_profiles(raw, body)
+    text = F.col(body)
+    person, name = F.get_json_object(text, "$.person"), F.get_json_object(text, "$.person.name")
+    unknown = _null_at(text, "person") | _null_at(person, "name") | _null_at(name, "given-names") | _null_at(name, "family-name")
+    parts = [F.coalesce(F.col("j.person.name").getField(c)["value"], F.lit("")) for c in ("given-names", "family-name")]
+    full = F.when(unknown, F.lit("Unknown Name")).otherwise(F.trim(F.concat_ws(" ", *parts)))
     groups = F.col("j").getField("activities-summary")["employments"]["affiliation-group"]
-    g = p.select(key, full.alias("full_name"), F.posexplode_outer(groups).alias("aff_no", "grp"))
+    g = p.select(key, full.alias("full_name"), F.posexplode(groups).alias("aff_no", "grp")).where(F.size("grp.summaries") > 0)
     s = F.col("grp.summaries")[0]["employment-summary"]
-    start = F.when(s.getField("start-date").isNull(), F.lit("?")).otherwise(s.getField("start-date")["year"]["value"])
-    end = F.when(s.getField("end-date").isNull(), F.lit("Present")).otherwise(s.getField("end-date")["year"]["value"])
-    text = F.format_string("%s (%s-%s)", s["organization"]["name"], start, end)
-    has_summary = F.size(F.col("grp.summaries")) > 0
-    return g.select(key, "full_name", F.col("aff_no").cast("int").alias("aff_no"),
-                    F.when(has_summary, text).alias("affiliation"))
-
-
-def _tag_text(block, cls: str, sep: str):
-    """Text of the first ``<... class="cls">`` element: tags → ``sep``, trimmed."""
-    inner = F.regexp_extract(block, rf'(?s)<[a-z]+ class="{cls}">(.*?)</[a-z]+>', 1)
-    present = block.rlike(rf'class="{cls}"')
-    text = F.trim(F.regexp_replace(F.regexp_replace(inner, r"<[^>]+>", sep), r"\s+", " "))
-    return F.when(present, text)
-
-
-def forecast_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    blocks = F.regexp_extract_all(F.col(html), F.lit(r'(?s)<li class="tombstone-container">(.*?)</li>'), F.lit(1))
-    b = pages.select(key, F.posexplode(blocks).alias("pos", "block"))
-    return b.select(
-        key, "pos",
-        _tag_text(F.col("block"), "period-name", "").alias("period"),
-        _tag_text(F.col("block"), "temp", " ").alias("temp_text"),
-        _tag_text(F.col("block"), "short-desc", " ").alias("description"),
-    )
+    start, end = s.getField("start-date"), s.getField("end-date")
+    return g.select(key, "full_name", F.col("aff_no").cast("int").alias("aff_no"), F.concat(
+        _named(s["organization"]["name"]), F.lit(" ("),
+        F.when(start.isNull(), F.lit("?")).otherwise(_named(start["year"]["value"])), F.lit("-"),
+        F.when(end.isNull(), F.lit("Present")).otherwise(_named(end["year"]["value"])), F.lit(")")).alias("affiliation"))
+
+
+def profile_works(raw: DataFrame, key: str = "profile_id", body: str = "body") -> DataFrame:
+    """One row per work group with a title, from its first summary; a missing year is "Unknown"."""
+    groups = F.col("j").getField("activities-summary")["works"]["group"]
+    g = parse_profiles(raw, body).select(key, F.posexplode(groups).alias("work_no", "grp"))
+    s = F.get(F.col("grp").getField("work-summary"), 0)
+    return g.select(
+        key, F.col("work_no").cast("int").alias("work_no"), s["title"]["title"]["value"].alias("title"),
+        F.coalesce(s.getField("publication-date")["year"]["value"], F.lit("Unknown")).alias("year"),
+    ).where(F.col("title").isNotNull() & (F.col("title") != ""))
+
 
+def _open_tag(cls: str, tag: str = "[A-Za-z][A-Za-z0-9]*") -> str:
+    """An opening tag whose class attribute has ``cls`` among its tokens."""
+    return rf"""<({tag})\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{cls}(?:\s[^"']*)?["'][^>]*>"""
 
-def first_int(text) -> F.Column:
+
+def _plain(html: Column, sep: str) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", sep), r"\s+", " "))
+
+
+def _tag_text(block: Column, cls: str, sep: str) -> Column:
+    """Text of the first element with class ``cls``: tags → ``sep``, trimmed; NULL if there is none."""
+    pattern = rf"(?s){_open_tag(cls)}(.*?)</\1\s*>"
+    return F.when(block.rlike(pattern), _plain(F.regexp_extract(block, pattern, 2), sep))
+
+
+def class_texts(pages: DataFrame, cls: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Text of every element with class ``cls``, in page order."""
+    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?s){_open_tag(cls)}(.*?)</\1\s*>"), F.lit(2))
+    b = pages.select(key, F.posexplode(found).alias("pos", "block"))
+    return b.select(key, F.col("pos").cast("int").alias("pos"), _plain(F.col("block"), " ").alias("text"))
+
+
+def forecast_blocks(html: Column) -> Column:
+    """Array of (period, temp_text, description) in page order; a block reaches to the next container's tag."""
+    pieces = F.split(html, _open_tag("tombstone-container"))
+    blocks = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.transform(blocks, lambda b: F.struct(
+        _tag_text(b, "period-name", "").alias("period"), _tag_text(b, "temp", " ").alias("temp_text"),
+        _tag_text(b, "short-desc", " ").alias("description")))
+
+
+def first_int(text) -> Column:
     return F.nullif(F.regexp_extract(text, r"(-?\d+)", 1), F.lit("")).try_cast("int")
 
 
-def next_high(pages: DataFrame, key: str = "page_id", location: str = "location") -> DataFrame:
-    blocks = forecast_blocks(pages, key)
-    eligible = blocks.where(
-        F.col("period").isNotNull() & F.col("temp_text").isNotNull()
-        & ~(F.col("period").contains("Today") | F.col("period").contains("Afternoon"))
-        & F.col("temp_text").contains("High")
-    )
-    first = eligible.groupBy(key).agg(F.min(F.struct("pos", "period", "temp_text", "description")).alias("b"))
+def next_high(pages: DataFrame, key: str = "page_id", location: str = "location", html: str = "html") -> DataFrame:
+    """Per page the first block after today's with a high; one projection, no shuffle."""
+    eligible = F.filter(forecast_blocks(F.col(html)), lambda b: b["period"].isNotNull() & b["temp_text"].isNotNull()
+                        & ~(b["period"].contains("Today") | b["period"].contains("Afternoon")) & b["temp_text"].contains("High"))
     mapped = F.upper(F.trim(F.col(location)))
     alias = F.col(location)
     for short, full in LOCATION_ALIASES.items():
         alias = F.when(mapped == short, F.lit(full)).otherwise(alias)
-    base = pages.select(key, alias.alias("location"))
-    out = base.join(first, key, "left")
-    return out.select(
+    return pages.select(key, alias.alias("location"), F.get(eligible, F.lit(0)).alias("b")).select(
         key, "location",
         F.trim(F.split_part(F.col("location"), F.lit(","), F.lit(1))).alias("city"),
         F.col("b.period").alias("period"),
         first_int(F.col("b.temp_text")).alias("temp"),
         F.col("b.description").alias("description"),
     )
+
+
+def city_highs(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """City and temperature of the pages that have one (the rows of the bar chart)."""
+    return next_high(pages, key).where(F.col("temp").isNotNull()).select(key, "city", "temp")

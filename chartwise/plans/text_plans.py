@@ -16,8 +16,10 @@ sp AS (SELECT author, year, work_id,
 tok AS (SELECT author, year, work_id, unnest(l) AS w, generate_subscripts(l, 1) - 1 AS pos FROM sp),
 kept AS (SELECT author, year, work_id, pos, upper(substr(w, 1, 1)) || substr(w, 2) AS word FROM tok
          WHERE w <> '' AND w NOT IN ({_STOPS}) AND length(w) > 2),
-cnt AS (SELECT author, year, word, count(*) AS n, min(work_id * 16777216 + pos) AS first FROM kept GROUP BY author, year, word),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY author, year ORDER BY n DESC, first, word) AS rank FROM cnt) AS r
+seen AS (SELECT author, year, word, work_id, pos, count(*) OVER (PARTITION BY author, year, word) AS n,
+                row_number() OVER (PARTITION BY author, year, word ORDER BY work_id, pos) AS nth FROM kept),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY author, year ORDER BY n DESC, work_id, pos, word) AS rank
+                       FROM seen WHERE nth = 1) AS r
         WHERE rank <= {tx.TOP_K})"""
 
 
@@ -52,35 +54,57 @@ def publication_series(t):
     return tx.publication_series(fx.works(t))
 
 
-@query("profile_affiliations", """
-WITH p AS (SELECT profile_id, body,
-                  json_extract_string(body, '$.person.name."given-names".value') AS given,
-                  json_extract_string(body, '$.person.name."family-name".value') AS family,
+def _text_at(json: str, path: str) -> str:
+    return f"json_extract_string({json}, '{path}')"
+
+
+_NAME = " OR ".join(f"json_type(body, '{p}') = 'NULL'" for p in (
+    "$.person", "$.person.name", '$.person.name."given-names"', '$.person.name."family-name"'))
+
+
+@query("profile_affiliations", f"""
+WITH p AS (SELECT profile_id,
+                  CASE WHEN {_NAME} THEN 'Unknown Name' ELSE
+                    trim(coalesce({_text_at('body', '$.person.name."given-names".value')}, '') || ' ' ||
+                         coalesce({_text_at('body', '$.person.name."family-name".value')}, '')) END AS full_name,
                   json_extract(body, '$."activities-summary".employments."affiliation-group"[*]') AS groups
            FROM fx_profiles),
-g AS (SELECT profile_id, given, family, unnest(groups) AS grp, generate_subscripts(groups, 1) - 1 AS aff_no FROM p),
-s AS (SELECT *, json_extract(grp, '$.summaries[0]."employment-summary"') AS es FROM g)
-SELECT profile_id,
-       CASE WHEN given IS NULL OR family IS NULL THEN 'Unknown Name' ELSE trim(given || ' ' || family) END AS full_name,
-       CAST(aff_no AS INTEGER) AS aff_no,
-       json_extract_string(es, '$.organization.name') || ' (' ||
-       CASE WHEN json_extract_string(es, '$."start-date"') IS NULL THEN '?' ELSE json_extract_string(es, '$."start-date".year.value') END
+g AS (SELECT profile_id, full_name, unnest(groups) AS grp, generate_subscripts(groups, 1) - 1 AS aff_no FROM p),
+s AS (SELECT *, json_extract(grp, '$.summaries[0]."employment-summary"') AS es FROM g
+      WHERE json_array_length(grp, '$.summaries') > 0)
+SELECT profile_id, full_name, CAST(aff_no AS INTEGER) AS aff_no,
+       coalesce({_text_at('es', '$.organization.name')}, 'None') || ' (' ||
+       CASE WHEN {_text_at('es', '$."start-date"')} IS NULL THEN '?' ELSE coalesce({_text_at('es', '$."start-date".year.value')}, 'None') END
        || '-' ||
-       CASE WHEN json_extract_string(es, '$."end-date"') IS NULL THEN 'Present' ELSE json_extract_string(es, '$."end-date".year.value') END
+       CASE WHEN {_text_at('es', '$."end-date"')} IS NULL THEN 'Present' ELSE coalesce({_text_at('es', '$."end-date".year.value')}, 'None') END
        || ')' AS affiliation
 FROM s""", ids="A8 H5 H6 H7")
 def profile_affiliations(t):
     return web.profile_affiliations(fx.profiles(t))
 
 
+@query("profile_works", f"""
+WITH g AS (SELECT profile_id, unnest(gs) AS grp, generate_subscripts(gs, 1) - 1 AS work_no
+           FROM (SELECT profile_id, json_extract(body, '$."activities-summary".works.group[*]') AS gs FROM fx_profiles) AS x),
+w AS (SELECT profile_id, CAST(work_no AS INTEGER) AS work_no, {_text_at('grp', '$."work-summary"[0].title.title.value')} AS title,
+             coalesce({_text_at('grp', '$."work-summary"[0]."publication-date".year.value')}, 'Unknown') AS year FROM g)
+SELECT profile_id, work_no, title, year FROM w WHERE title IS NOT NULL AND title <> ''""", ids="A8 H7 D5")
+def profile_works(t):
+    return web.profile_works(fx.profiles(t))
+
+
+_OPEN = r"""<[A-Za-z][A-Za-z0-9]*\b[^>]*\bclass="([^"]*\s)?{}(\s[^"]*)?"[^>]*>"""
+
+
 def _tag_sql(cls: str, sep: str) -> str:
-    inner = f"regexp_extract(block, '(?s)<[a-z]+ class=\"{cls}\">(.*?)</[a-z]+>', 1)"
+    inner = f"regexp_extract(block, '(?s){_OPEN.format(cls)}(.*?)</[A-Za-z0-9]+>', 3)"
     text = f"trim(regexp_replace(regexp_replace({inner}, '<[^>]+>', '{sep}', 'g'), '\\s+', ' ', 'g'))"
-    return f"CASE WHEN regexp_matches(block, 'class=\"{cls}\"') THEN {text} END"
+    return f"CASE WHEN regexp_matches(block, '{_OPEN.format(cls)}') THEN {text} END"
 
 
-@query("forecast_highs", f"""
-WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<li class="tombstone-container">(.*?)</li>', 1) AS bl FROM fx_forecasts),
+_HIGHS = f"""
+l AS (SELECT page_id, string_split_regex(html, '{_OPEN.format("tombstone-container").replace("([", "(?:[").replace("(\\s", "(?:\\s")}')[2:] AS bl
+      FROM fx_forecasts),
 b AS (SELECT page_id, unnest(bl) AS block, generate_subscripts(bl, 1) - 1 AS pos FROM l),
 t AS (SELECT page_id, pos, {_tag_sql('period-name', '')} AS period, {_tag_sql('temp', ' ')} AS temp_text,
              {_tag_sql('short-desc', ' ')} AS description FROM b),
@@ -89,9 +113,27 @@ e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY
         AND contains(temp_text, 'High')) AS q WHERE rn = 1),
 loc AS (SELECT page_id, CASE upper(trim(location)) WHEN 'MDW' THEN '{web.LOCATION_ALIASES['MDW']}'
                         WHEN 'CENTRAL PARK' THEN '{web.LOCATION_ALIASES['CENTRAL PARK']}' ELSE location END AS location
-        FROM fx_forecasts)
-SELECT loc.page_id, loc.location, trim(split_part(loc.location, ',', 1)) AS city, e.period,
-       TRY_CAST(nullif(regexp_extract(e.temp_text, '(-?\\d+)', 1), '') AS INTEGER) AS temp, e.description
-FROM loc LEFT JOIN e ON loc.page_id = e.page_id""", ids="A9 B10 F8 H8 H9 H10 H11")
+        FROM fx_forecasts),
+highs AS (SELECT loc.page_id, loc.location, trim(split_part(loc.location, ',', 1)) AS city, e.period,
+                 TRY_CAST(nullif(regexp_extract(e.temp_text, '(-?\\d+)', 1), '') AS INTEGER) AS temp, e.description
+          FROM loc LEFT JOIN e ON loc.page_id = e.page_id)"""
+
+
+@query("forecast_highs", f"WITH {_HIGHS.strip()} SELECT * FROM highs", ids="A9 B10 F8 H8 H9 H10 H11")
 def forecast_highs(t):
     return web.next_high(fx.forecasts(t))
+
+
+@query("city_highs", f"WITH {_HIGHS.strip()} SELECT page_id, city, temp FROM highs WHERE temp IS NOT NULL", ids="H11 B4")
+def city_highs(t):
+    return web.city_highs(fx.forecasts(t))
+
+
+@query("page_ads", """
+WITH l AS (SELECT page_id, regexp_extract_all(html, '(?s)<div\\b[^>]*\\bclass="(?:[^"]*\\s)?ad(?:\\s[^"]*)?"[^>]*>(.*?)</div>', 1) AS bl FROM pages),
+b AS (SELECT page_id, unnest(bl) AS block, generate_subscripts(bl, 1) - 1 AS pos FROM l)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(block, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM b""",
+       ids="A9 H9")
+def page_ads(t):
+    """Blocks of one class, in page order, from the stored web pages."""
+    return web.class_texts(t["pages"], "ad")
