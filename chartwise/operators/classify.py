@@ -83,14 +83,21 @@ class BalancedModels:
         return s.select(*keep, _p1().alias(f"p_{which}"))
 
 
+MODELS = ("lr", "dt", "svc")
+
+
+def vote(probabilities: DataFrame, models=MODELS) -> DataFrame:
+    """Soft vote on a table of class-1 probabilities ``p_<model>``: their mean, and class 1 above one half."""
+    mean = sum((F.col(f"p_{m}") for m in models[1:]), F.col(f"p_{models[0]}")) / len(models)
+    return probabilities.withColumn("p_mean", mean).withColumn("pred", (F.col("p_mean") > 0.5).cast("int"))
+
+
 def soft_vote(models: BalancedModels, df: DataFrame) -> DataFrame:
-    """Mean class-1 probability of the three models and the voted class."""
-    base = df.select("id", "label", "features")
-    p = base
-    for name in ("lr", "dt", "svc"):
+    """Class-1 probabilities of the three models, their mean and the voted class."""
+    p = df.select("id", "label", "features")
+    for name in MODELS:
         p = models.proba(p, name)
-    mean = (F.col("p_lr") + F.col("p_dt") + F.col("p_svc")) / 3
-    return p.withColumn("p_mean", mean).withColumn("pred", (F.col("p_mean") > 0.5).cast("int"))
+    return vote(p)
 
 
 def single_accuracy(models: BalancedModels, which: str, test: DataFrame) -> DataFrame:

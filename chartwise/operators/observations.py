@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.operators.joins import join_derived
+from chartwise.operators.joins import Derived, join_derived
 from chartwise.operators.ranking import first_by, positions
 
 
@@ -101,7 +101,8 @@ def validation_ids(obs: DataFrame, t_val: float, t_val_from: float | None = None
 
 
 def validation_split(obs: DataFrame, t_val: float, max_val_samples: int = 1, t_val_from: float | None = None,
-                     t_closest: float | None = None, t_mult: float = 1.0, extra=()) -> dict[str, DataFrame]:
+                     t_closest: float | None = None, t_mult: float = 1.0, extra=(),
+                     parts=("ids", "before", "after")) -> dict[str, DataFrame]:
     """Validation cohort and its before/after tables.
 
     Time is scaled once (``t * t_mult``) before both the cohort test and the
@@ -109,22 +110,32 @@ def validation_split(obs: DataFrame, t_val: float, max_val_samples: int = 1, t_v
     ``t >= t_val_from`` when given; then either the row nearest
     ``t_closest`` per id (ties: smaller ``value_0``, then earlier ``t``) or
     the first ``max_val_samples`` rows per id in time order. ``extra``
-    tables (covariates, labels) are cut to the same ids.
+    tables (covariates, labels) are cut to the same ids. Only ``parts`` and
+    the extra tables are made; the ids are written once, and only if
+    another table needs them.
     """
     scaled = obs.withColumn("t", F.col("t") * F.lit(t_mult))
     ids = validation_ids(scaled, t_val, t_val_from)
-    kept = join_derived(scaled, ids, "id", "left_semi")
-    before = kept.where(F.col("t") <= F.lit(t_val))
-    after = kept.where(_after(t_val, t_val_from))
-    if t_closest is not None:
-        after = first_by(after, ["id"], [F.abs(F.col("t") - F.lit(t_closest)), "value_0", "t"])
-    else:
-        # first n per id in time order; slice-parallel, so one id with a
-        # third of the rows is ranked by many tasks ((id, t) is unique)
-        after = positions(after, ["t"], group=["id"], out="_rn").where(F.col("_rn") < max_val_samples).drop("_rn")
-    out = {"ids": ids, "before": before, "after": after}
-    for name, table in dict(extra).items():
-        out[name] = join_derived(table, ids, "id", "left_semi")
+    out = {"ids": ids} if "ids" in parts else {}
+    extra = dict(extra)
+    if not extra and not {"before", "after"} & set(parts):
+        return out
+    side = Derived(ids)
+    if "ids" in parts:
+        out["ids"] = side.df
+    if "before" in parts:
+        out["before"] = join_derived(scaled.where(F.col("t") <= F.lit(t_val)), side, "id", "left_semi")
+    if "after" in parts:
+        after = join_derived(scaled.where(_after(t_val, t_val_from)), side, "id", "left_semi")
+        if t_closest is not None:
+            after = first_by(after, ["id"], [F.abs(F.col("t") - F.lit(t_closest)), "value_0", "t"])
+        else:
+            # first n per id in time order; slice-parallel, so one id with a
+            # third of the rows is ranked by many tasks ((id, t) is unique)
+            after = positions(after, ["t"], group=["id"], out="_rn").where(F.col("_rn") < max_val_samples).drop("_rn")
+        out["after"] = after
+    for name, table in extra.items():
+        out[name] = join_derived(table, side, "id", "left_semi")
     return out
 
 
@@ -139,8 +150,8 @@ def reindex(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame
     The mapping is computed with slice-parallel positions (no global
     single-task window), materialised once and joined to every table.
     """
-    mapping = positions(ids.select("id").distinct(), ["id"], out="new_id")
-    out = {"mapping": mapping}
+    mapping = Derived(positions(ids.select("id").distinct(), ["id"], out="new_id"))
+    out = {"mapping": mapping.df}
     for name, table in tables.items():
         out[name] = join_derived(table, mapping, "id", "inner")
     return out
@@ -231,8 +242,21 @@ def sample_index(before: DataFrame, after: DataFrame, cov: DataFrame, labels: Da
             .withColumn("n_val", F.coalesce("n_val", F.lit(0))))
 
 
+def sample_rows(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The series behind ``sample_index`` as keyed rows: id, part (path / val), seq in time order, t, values, mask (C9).
+
+    Positions come from range slices, so an id with a third of all rows is
+    numbered by many tasks and never gathered.
+    """
+    rows = None
+    for part, table in (("path", before), ("val", after)):
+        one = pack(table, ("id", "t")).select("id", F.lit(part).alias("part"), "t", "values", "mask")
+        rows = one if rows is None else rows.unionByName(one)
+    return positions(rows, ["t"], group=["id", "part"], out="seq").select("id", "part", "seq", "t", "values", "mask")
+
+
 def rows_of(df: DataFrame, id_value) -> DataFrame:
-    """All rows of one id (B14); for many ids use a semi join or ``sample_index``."""
+    """All rows of one id (B14); the filter reaches the scan of a stored table."""
     return df.where(F.col("id") == F.lit(id_value))
 
 

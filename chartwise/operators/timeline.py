@@ -64,26 +64,22 @@ def item_series(raw: DataFrame, items: DataFrame) -> DataFrame:
     ev = ev.withColumn(
         "time_diff_hours", (epoch_seconds(F.col("_last")) - epoch_seconds(F.col("charttime"))) / 3600.0
     ).withColumn("itemid", F.col("itemid").cast("string"))
-    ev = join_derived(ev, items.select("itemid", "pos", "label"), "itemid", "left")
 
     keys = ["subject_id", "itemid"]
+    # one hash aggregate over the events; the item dimension's duplicates repeat an item's rows alike and change none of it
     stats = ev.groupBy(*keys).agg(
-        F.min("valuenum").alias("_min"),
-        F.max("valuenum").alias("_max"),
-        F.avg("valuenum").alias("_mean"),
-        F.min(F.when(F.col("label").isNotNull(),
-                     F.struct("time_diff_hours", "event_id", "pos", "label"))).alias("_first"),
-    )
+        F.min("valuenum").alias("_min"), F.max("valuenum").alias("_max"), F.avg("valuenum").alias("_mean"))
     # series number: item ids of a subject in text order (one row per series)
     stats = stats.withColumn(
         "series_no", (F.dense_rank().over(Window.partitionBy("subject_id").orderBy("itemid")) - 1).cast("bigint")
     )
     ev = join_derived(ev, stats, keys, "inner")
+    # the legend is the item's first label in load order
+    first = items.where(F.col("label").isNotNull()).groupBy("itemid").agg(F.min_by("label", "pos").alias("_first"))
+    ev = join_derived(ev, items.select("itemid", "pos").join(first, "itemid", "left"), "itemid", "left")
     span = F.col("_max") - F.col("_min")
     norm = F.when(span > 0, (F.col("valuenum") - F.col("_min")) / span).otherwise(F.col("valuenum") - F.col("_mean"))
-    legend = F.when(F.col("_first.label").isNotNull(), F.concat_ws(" - ", "itemid", F.col("_first.label"))).otherwise(
-        F.col("itemid")
-    )
+    legend = F.when(F.col("_first").isNotNull(), F.concat_ws(" - ", "itemid", "_first")).otherwise(F.col("itemid"))
     return ev.select(
         "subject_id", "event_id", "itemid", "pos",
         "time_diff_hours", "valuenum",

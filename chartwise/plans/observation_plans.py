@@ -57,20 +57,22 @@ def default_covariates(t):
     return ob.default_table(fx.obs(t), "cov")
 
 
-def _split(t, **kw):
-    extra = {"cov": fx.cov(t), "labels": fx.labels(t)}
-    return ob.validation_split(fx.obs(t), T_VAL, extra=extra, **kw)
+def _split(t, *parts, **kw):
+    """The named parts of the validation split only; covariates and labels count as parts."""
+    tables = {"cov": fx.cov, "labels": fx.labels}
+    kw.setdefault("max_val_samples", MAX_VAL_SAMPLES)
+    return ob.validation_split(fx.obs(t), T_VAL, extra={p: tables[p](t) for p in parts if p in tables}, parts=parts, **kw)
 
 
 @query("validation_ids", f"WITH {_VAL_IDS} SELECT id FROM val_ids", ids="G2 I4 B7")
 def validation_ids(t):
-    return _split(t, max_val_samples=MAX_VAL_SAMPLES)["ids"]
+    return _split(t, "ids")["ids"]
 
 
 @query("validation_before", f"""WITH {_VAL_IDS}
 SELECT {_WIDE} FROM fx_obs WHERE id IN (SELECT id FROM val_ids) AND t <= {T_VAL}""", ids="B13 C6 I4")
 def validation_before(t):
-    return round_doubles(_split(t, max_val_samples=MAX_VAL_SAMPLES)["before"])
+    return round_doubles(_split(t, "before")["before"])
 
 
 @query("validation_after_first", f"""WITH {_VAL_IDS}
@@ -78,7 +80,7 @@ SELECT {_WIDE} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS
   FROM fx_obs WHERE id IN (SELECT id FROM val_ids) AND t > {T_VAL}) AS a WHERE rn <= {MAX_VAL_SAMPLES}""",
        ids="B13 E10 I4")
 def validation_after_first(t):
-    return round_doubles(_split(t, max_val_samples=MAX_VAL_SAMPLES)["after"])
+    return round_doubles(_split(t, "after")["after"])
 
 
 @query("validation_after_from", f"""WITH val_ids AS (SELECT id FROM fx_obs GROUP BY id
@@ -87,51 +89,96 @@ SELECT {_WIDE} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS
   FROM fx_obs WHERE id IN (SELECT id FROM val_ids) AND t >= {T_VAL_FROM}) AS a WHERE rn <= {MAX_VAL_SAMPLES}""",
        ids="B13 E10 I4")
 def validation_after_from(t):
-    return round_doubles(_split(t, max_val_samples=MAX_VAL_SAMPLES, t_val_from=T_VAL_FROM)["after"])
+    return round_doubles(_split(t, "after", t_val_from=T_VAL_FROM)["after"])
 
 
 @query("validation_after_nearest", f"""WITH {_VAL_IDS}
 SELECT {_WIDE} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(t - {T_CLOSEST}), value_0, t) AS rn
   FROM fx_obs WHERE id IN (SELECT id FROM val_ids) AND t > {T_VAL}) AS a WHERE rn = 1""", ids="E9 I4")
 def validation_after_nearest(t):
-    return round_doubles(_split(t, t_closest=T_CLOSEST)["after"])
+    return round_doubles(_split(t, "after", t_closest=T_CLOSEST)["after"])
 
 
 @query("validation_covariates", f"""WITH {_VAL_IDS}
 SELECT id, round(cov_0, 6) AS cov_0, round(cov_1, 6) AS cov_1 FROM fx_cov WHERE id IN (SELECT id FROM val_ids)""",
-       ids="C6 A5")
+       ids="C6")
 def validation_covariates(t):
-    return round_doubles(_split(t, max_val_samples=MAX_VAL_SAMPLES)["cov"])
+    return round_doubles(_split(t, "cov")["cov"])
 
 
 @query("validation_labels", f"""WITH {_VAL_IDS}
-SELECT id, label FROM fx_labels WHERE id IN (SELECT id FROM val_ids)""", ids="C6 A5")
+SELECT id, label FROM fx_labels WHERE id IN (SELECT id FROM val_ids)""", ids="C6")
 def validation_labels(t):
-    return _split(t, max_val_samples=MAX_VAL_SAMPLES)["labels"]
+    return _split(t, "labels")["labels"]
 
 
 @query("last_before_cut", f"""WITH {_VAL_IDS}
 SELECT {_WIDE} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) AS rn
   FROM fx_obs WHERE id IN (SELECT id FROM val_ids) AND t <= {T_VAL}) AS b WHERE rn = 1""", ids="E8")
 def last_before_cut(t):
-    return round_doubles(ob.last_before_cut(_split(t, max_val_samples=MAX_VAL_SAMPLES)["before"]))
+    return round_doubles(ob.last_before_cut(_split(t, "before")["before"]))
 
 
 @query("reindex_map", f"""WITH {_VAL_IDS}
 SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS new_id FROM val_ids""", ids="E11")
 def reindex_map(t):
-    return ob.reindex(_split(t, max_val_samples=MAX_VAL_SAMPLES)["ids"], {})["mapping"].select("id", "new_id")
+    return ob.reindex(_split(t, "ids")["ids"], {})["mapping"].select("id", "new_id")
 
 
 @query("reindexed_covariates", f"""WITH {_VAL_IDS}, m AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS new_id FROM val_ids)
 SELECT m.new_id, c.id, round(c.cov_0, 6) AS cov_0, round(c.cov_1, 6) AS cov_1 FROM fx_cov AS c JOIN m ON c.id = m.id""",
        ids="E11 C6")
 def reindexed_covariates(t):
-    s = _split(t, max_val_samples=MAX_VAL_SAMPLES)
+    s = _split(t, "ids", "cov")
     out = ob.reindex(s["ids"], {"cov": s["cov"]})["cov"]
     return round_doubles(out.select("new_id", "id", "cov_0", "cov_1"))
 
 
+_MAP = f"{_VAL_IDS}, m AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS new_id FROM val_ids)"
+
+
+@query("reindexed_observations", f"""WITH {_MAP}
+SELECT m.new_id, {_WIDE.replace('id,', 'o.id,', 1)} FROM fx_obs AS o JOIN m ON o.id = m.id""", ids="E11 C6")
+def reindexed_observations(t):
+    obs = fx.obs(t)
+    out = ob.reindex(_split(t, "ids")["ids"], {"obs": obs})["obs"]
+    return round_doubles(out.select("new_id", *obs.columns))
+
+
+@query("reindexed_labels", f"""WITH {_MAP}
+SELECT m.new_id, l.id, l.label FROM fx_labels AS l JOIN m ON l.id = m.id""", ids="E11 C6")
+def reindexed_labels(t):
+    return ob.reindex(_split(t, "ids")["ids"], {"labels": fx.labels(t)})["labels"].select("new_id", "id", "label")
+
+
+@query("validation_scaled", """
+WITH s AS (SELECT id, tick, t * 0.5 AS t, value_0 FROM fx_obs),
+v AS (SELECT id FROM s GROUP BY id HAVING max(CASE WHEN t <= 20.0 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN t > 20.0 THEN 1 ELSE 0 END) = 1)
+SELECT id, tick, round(t, 6) AS t, round(value_0, 6) AS value_0 FROM s WHERE id IN (SELECT id FROM v) AND t <= 20.0""", ids="B7 I4")
+def validation_scaled(t):
+    """The cut on scaled time (times halved, cut at 20)."""
+    before = ob.validation_split(fx.obs(t), 20.0, t_mult=0.5, parts=("before",))["before"]
+    return round_doubles(before.select("id", "tick", "t", "value_0"))
+
+
+_VALUES = "[" + ", ".join(f"round(value_{i}, 6)" for i in range(N)) + "]"
+_MASK_LIST = "[" + ", ".join(f"CAST(mask_{i} AS DOUBLE)" for i in range(N)) + "]"
+
+
+@query("sample_rows", f"""WITH {_VAL_IDS},
+p AS (SELECT id, 'path' AS part, t, {_VALUES} AS "values", {_MASK_LIST} AS mask FROM fx_obs
+      WHERE id IN (SELECT id FROM val_ids) AND t <= {T_VAL}),
+h AS (SELECT id, 'val' AS part, t, {_VALUES} AS "values", {_MASK_LIST} AS mask FROM (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS rn FROM fx_obs
+        WHERE id IN (SELECT id FROM val_ids) AND t > {T_VAL}) AS x WHERE rn <= {MAX_VAL_SAMPLES})
+SELECT id, part, row_number() OVER (PARTITION BY id, part ORDER BY t) - 1 AS seq, round(t, 6) AS t, "values", mask
+FROM (SELECT * FROM p UNION ALL SELECT * FROM h) AS u""", ids="C9")
+def sample_rows(t):
+    s = _split(t, "before", "after")
+    out = round_doubles(ob.sample_rows(s["before"], s["after"]))
+    return out.withColumn("values", F.transform("values", lambda v: F.round(v, 6)))
+
+
 @query("covariate_check", """
 WITH ids AS (SELECT DISTINCT id FROM fx_obs), c AS (SELECT id, count(*) AS n FROM fx_cov GROUP BY id),
 b AS (SELECT ids.id AS oid, c.id AS cid, c.n FROM ids FULL OUTER JOIN c ON ids.id = c.id)
@@ -177,9 +224,9 @@ SELECT b.id, b.n_path, round(b.t_first, 6) AS t_first, round(b.t_last, 6) AS t_l
        CAST(l.label AS DOUBLE) AS y, [round(c.cov_0, 6), round(c.cov_1, 6)] AS cov,
        coalesce(a.n_val, 0) AS n_val, round(a.t_val_first, 6) AS t_val_first
 FROM b LEFT JOIN fx_labels AS l ON b.id = l.id LEFT JOIN fx_cov AS c ON b.id = c.id LEFT JOIN a ON b.id = a.id""",
-       ids="C9 B14 C6")
+       ids="C9 C6")
 def sample_index(t):
-    s = _split(t, max_val_samples=MAX_VAL_SAMPLES)
+    s = _split(t, "before", "after", "cov", "labels")
     out = ob.sample_index(s["before"], s["after"], s["cov"], s["labels"])
     out = round_doubles(out).withColumn("cov", F.transform("cov", lambda v: F.round(v, 6)))
     return out.select("id", "n_path", "t_first", "t_last", "y", "cov", "n_val", "t_val_first")

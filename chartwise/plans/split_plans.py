@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from chartwise.operators import batches as bt
 from chartwise.operators import splits as sp
+from chartwise.operators import observations as ob
 from chartwise.plans.catalog import query
+from chartwise.plans.observation_plans import MAX_VAL_SAMPLES, T_VAL
 from chartwise.plans.timeline_plans import round_doubles
 from chartwise.sources import fixtures as fx
 
@@ -35,7 +37,8 @@ assign AS (SELECT fold, split, id, CAST(floor(p / {BATCH_SIZE}) AS BIGINT) AS ba
            FROM (SELECT *, row_number() OVER (PARTITION BY fold, split
                      ORDER BY md5(CAST(id AS VARCHAR) || '-' || '{BATCH_SEED}'), id) - 1 AS p FROM folds) AS x)"""
 
-_TRAIN0 = "tr AS (SELECT id, batch, pos_in_batch AS obs_idx FROM assign WHERE fold = 0 AND split = 'train')"
+_G = "fold, split, batch"
+_TR = "tr AS (SELECT id, fold, split, batch, pos_in_batch AS obs_idx FROM assign)"
 
 
 def _folds(t):
@@ -46,12 +49,7 @@ def _assign(t):
     return sp.batches(_folds(t), BATCH_SIZE, BATCH_SEED)
 
 
-def _train0(t):
-    a = _assign(t)
-    return a.where((F.col("fold") == 0) & (F.col("split") == "train"))
-
-
-@query("folds", f"WITH {_FOLDS.strip()} SELECT fold, split, id FROM folds", ids="I1 A11")
+@query("folds", f"WITH {_FOLDS.strip()} SELECT fold, split, id FROM folds", ids="I1")
 def folds(t):
     return _folds(t)
 
@@ -67,26 +65,62 @@ def batches(t):
     return _assign(t)
 
 
-@query("batch_time_index", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TRAIN0},
-tm AS (SELECT tr.batch, o.tick, o.t, count(*) AS n FROM fx_obs AS o JOIN tr ON o.id = tr.id GROUP BY tr.batch, o.tick, o.t)
-SELECT batch, tick, round(t, 6) AS t, n,
-       CAST(coalesce(sum(n) OVER (PARTITION BY batch ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+@query("batch_time_index", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TR},
+tm AS (SELECT {_G}, o.tick, o.t, count(*) AS n FROM fx_obs AS o JOIN tr ON o.id = tr.id GROUP BY {_G}, o.tick, o.t)
+SELECT {_G}, tick, round(t, 6) AS t, n,
+       CAST(coalesce(sum(n) OVER (PARTITION BY {_G} ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             AS BIGINT) AS ptr_start,
-       CAST(sum(n) OVER (PARTITION BY batch ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+       CAST(sum(n) OVER (PARTITION BY {_G} ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
             AS ptr_end
 FROM tm""", ids="I7 D4 E12")
 def batch_time_index(t):
-    out = bt.time_batch(fx.obs(t), _train0(t))["times"]
-    return round_doubles(out.select("batch", "tick", "t", "n", "ptr_start", "ptr_end"))
+    out = bt.time_batch(fx.obs(t), _assign(t))["times"]
+    return round_doubles(out.select("fold", "split", "batch", "tick", "t", "n", "ptr_start", "ptr_end"))
+
 
+_VALUES = ", ".join(f"round(value_{i}, 6) AS value_{i}" for i in range(fx.N_FEATURES))
+_MASKS = ", ".join(f"mask_{i}" for i in range(fx.N_FEATURES))
+_OBS_COLUMNS = [f"value_{i}" for i in range(fx.N_FEATURES)] + [f"mask_{i}" for i in range(fx.N_FEATURES)]
 
-@query("batch_rows", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TRAIN0}
-SELECT tr.batch, row_number() OVER (PARTITION BY tr.batch ORDER BY o.tick, o.id) - 1 AS row_idx,
-       o.id, tr.obs_idx, o.tick, round(o.t, 6) AS t
-FROM fx_obs AS o JOIN tr ON o.id = tr.id""", ids="I7 F2 C10")
+
+@query("batch_rows", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TR}
+SELECT {_G}, row_number() OVER (PARTITION BY {_G} ORDER BY o.tick, o.id) - 1 AS row_idx,
+       o.id, tr.obs_idx, o.tick, round(o.t, 6) AS t, {_VALUES}, {_MASKS},
+       round(c.cov_0, 6) AS cov_0, round(c.cov_1, 6) AS cov_1, l.label
+FROM fx_obs AS o JOIN tr ON o.id = tr.id LEFT JOIN fx_cov AS c ON o.id = c.id LEFT JOIN fx_labels AS l ON o.id = l.id""",
+       ids="I7 F2 C10")
 def batch_rows(t):
-    out = bt.time_batch(fx.obs(t), _train0(t))["rows"]
-    return round_doubles(out.select("batch", "row_idx", "id", "obs_idx", "tick", "t"))
+    out = bt.time_batch(fx.obs(t), _assign(t), fx.cov(t), fx.labels(t))["rows"]
+    return round_doubles(out.select("fold", "split", "batch", "row_idx", "id", "obs_idx", "tick", "t", *_OBS_COLUMNS,
+                                    "cov_0", "cov_1", "label"))
+
+
+_CUT = f"""val_ids AS (SELECT id FROM fx_obs GROUP BY id
+   HAVING max(CASE WHEN t <= {T_VAL} THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN t > {T_VAL} THEN 1 ELSE 0 END) = 1)"""
+
+
+@query("batch_val_rows", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TR}, {_CUT},
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t) AS rn FROM fx_obs
+      WHERE id IN (SELECT id FROM val_ids) AND t > {T_VAL}) AS x WHERE rn <= {MAX_VAL_SAMPLES})
+SELECT {_G}, row_number() OVER (PARTITION BY {_G} ORDER BY h.id, h.t) - 1 AS val_idx, h.id, tr.obs_idx, h.tick,
+       round(h.t, 6) AS t, {_VALUES}, {_MASKS}
+FROM h JOIN tr ON h.id = tr.id""", ids="I7 I8 F2")
+def batch_val_rows(t):
+    after = ob.validation_split(fx.obs(t), T_VAL, MAX_VAL_SAMPLES, parts=("after",))["after"]
+    out = bt.held_out_rows(after, bt.assigned(_assign(t)))
+    return round_doubles(out.select("fold", "split", "batch", "val_idx", "id", "obs_idx", "tick", "t", *_OBS_COLUMNS))
+
+
+@query("batch_last_rows", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TR}, {_CUT},
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t DESC) AS rn FROM fx_obs
+      WHERE id IN (SELECT id FROM val_ids) AND t <= {T_VAL}) AS x WHERE rn = 1)
+SELECT {_G}, row_number() OVER (PARTITION BY {_G} ORDER BY b.id) - 1 AS last_idx, b.id, tr.obs_idx, b.tick,
+       round(b.t, 6) AS t, {_VALUES}, {_MASKS}
+FROM b JOIN tr ON b.id = tr.id""", ids="I7 I8 E8")
+def batch_last_rows(t):
+    before = ob.validation_split(fx.obs(t), T_VAL, parts=("before",))["before"]
+    out = bt.last_rows(before, bt.assigned(_assign(t)))
+    return round_doubles(out.select("fold", "split", "batch", "last_idx", "id", "obs_idx", "tick", "t", *_OBS_COLUMNS))
 
 
 _LONG = " UNION ALL ".join(
@@ -94,28 +128,32 @@ _LONG = " UNION ALL ".join(
 )
 
 
-@query("seq_batch", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TRAIN0},
+@query("seq_batch", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TR},
 per_row AS (SELECT id, tick, t, CAST(count(*) AS DOUBLE) AS num_obs, list(value ORDER BY feature) AS vals,
                    list(feature ORDER BY feature) AS feats, CAST(count(*) AS INTEGER) AS length
             FROM ({_LONG}) AS l GROUP BY id, tick, t),
-b AS (SELECT tr.batch, tr.obs_idx, p.*, max(p.length) OVER (PARTITION BY tr.batch) AS maxlen
+b AS (SELECT {_G}, tr.obs_idx, p.*, max(p.length) OVER (PARTITION BY {_G}) AS maxlen
       FROM per_row AS p JOIN tr ON p.id = tr.id)
-SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY tick, num_obs DESC, id) - 1 AS row_idx,
+SELECT {_G}, row_number() OVER (PARTITION BY {_G} ORDER BY tick, num_obs DESC, id) - 1 AS row_idx,
        id, obs_idx, tick, round(t, 6) AS t, num_obs, length,
        list_transform(list_concat(vals, list_transform(range(maxlen - length), lambda x: 0.0)), lambda v: round(v, 6)) AS x_padded,
        list_concat(feats, list_transform(range(maxlen - length), lambda x: 0)) AS f_padded
 FROM b""", ids="I8 F3 H22 H23")
 def seq_batch(t):
-    out = round_doubles(bt.seq_batch(fx.obs(t), _train0(t)))
+    out = round_doubles(bt.seq_batch(fx.obs(t), _assign(t)))
     return out.withColumn("x_padded", F.transform("x_padded", lambda v: F.round(v, 6)))
 
 
-@query("seq_batch_check", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TRAIN0},
-r AS (SELECT tr.batch, count(*) AS n_rows FROM fx_obs AS o JOIN tr ON o.id = tr.id GROUP BY tr.batch)
-SELECT batch, n_rows, n_rows AS last_ptr, true AS ok FROM r""", ids="I8 I11")
+@query("seq_batch_check", f"""WITH {_FOLDS.strip()}, {_BATCHES.strip()}, {_TR},
+r AS (SELECT {_G}, count(*) AS n_rows FROM (SELECT DISTINCT id, tick FROM ({_LONG}) AS l) AS o JOIN tr ON o.id = tr.id GROUP BY {_G}),
+p AS (SELECT {_G}, CAST(sum(n) AS BIGINT) AS last_ptr FROM (
+        SELECT {_G}, tick, count(*) AS n FROM fx_obs AS o JOIN tr ON o.id = tr.id GROUP BY {_G}, tick) AS x GROUP BY {_G})
+SELECT r.fold, r.split, r.batch, n_rows, last_ptr, n_rows = last_ptr AS ok
+FROM r JOIN p ON r.fold = p.fold AND r.split = p.split AND r.batch = p.batch""", ids="I8 I11")
 def seq_batch_check(t):
-    obs, a = fx.obs(t), _train0(t)
-    return bt.seq_batch_check(bt.seq_batch(obs, a), bt.time_batch(obs, a)["times"])
+    obs, side = fx.obs(t), bt.assigned(_assign(t))
+    rows = bt.batch_rows(ob.observed_per_row(obs), side)
+    return bt.seq_batch_check(rows, bt.time_batch(obs, side)["times"])
 
 
 _STRAT = f"""
