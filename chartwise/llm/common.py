@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -13,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartwise.session import configure, ensure_checkpoint_dir
+from chartwise.scratch import drop, folder, save  # noqa: F401  shared by the operators
+from chartwise.session import configure
 
 _shipped: set[str] = set()
-_saved: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,58 +31,15 @@ def ship(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     out = os.path.join(tempfile.mkdtemp(prefix="chartwise-code-"), "chartwise.zip")
     with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(root):
+        for place, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".py"):
-                    p = os.path.join(folder, n)
+                    p = os.path.join(place, n)
                     z.write(p, os.path.join("chartwise", os.path.relpath(p, root)))
     spark.sparkContext.addPyFile(out)
     _shipped.add(app)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def folder(spark: SparkSession) -> str:
-    """A fresh path under the shared ``spark.checkpoint.dir``, removed at the end of the process."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chartwise-{uuid.uuid4().hex}"
-    _saved[path] = spark
-    return path
-
-
-def save(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet under the shared ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage like ``checkpoint()`` but stays columnar. The files
-    outlive a lost executor; ``drop`` or the end of the process removes them.
-    """
-    spark = df.sparkSession
-    path = folder(spark)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove the files behind a DataFrame from ``save`` that no later plan reads."""
-    path = getattr(df, "_saved_at", None)
-    if path in _saved:
-        _delete(_saved.pop(path), path)
-
-
-@atexit.register
-def _drop_all() -> None:
-    for path, spark in list(_saved.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before Python
-            return
-
-
 def boxed(docs: DataFrame, **more) -> DataFrame:
     """``docs`` as one struct column ``_row`` beside the named expressions, so that no column of its can clash."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

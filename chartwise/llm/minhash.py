@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from chartwise.llm.common import boxed, chunks, drop, lower, mix, save, ship, span_hashes, text_bytes, word_spans
 from chartwise.llm.components import components
+from chartwise.operators.joins import join_derived
 
 K = 48
 LEAST_ESTIMATE = 0.45
@@ -133,13 +134,17 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set) of the documents whose doc_id is in ``needed``."""
+    """(doc_id, set) of the documents whose doc_id is in ``needed``.
+
+    The ids are written and measured: while they are small they go to the
+    texts, so that only the needed texts move; beyond that both are shuffled.
+    """
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), words)))],
                                              names=["doc_id", "set"])
 
-    return (docs.select(F.col("doc_id").cast("long"), "text").join(needed.distinct(), "doc_id", "left_semi")
+    return (join_derived(docs.select(F.col("doc_id").cast("long"), "text"), needed.distinct(), "doc_id", "left_semi")
             .dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set array<long>"))
 
 
