@@ -12,43 +12,37 @@ _ITEMS = ", ".join(str(i) for i in cohort.CHART_ITEMS)
 
 _AGE_IDS = "SELECT subject_id FROM fx_patients WHERE TRY_CAST(anchor_age AS INTEGER) BETWEEN 30 AND 35"
 
-_D_DAYS = f"""
-d_calc AS (
-  SELECT subject_id, hadm_id, stay_id, intime, outtime,
-         row_number() OVER (PARTITION BY subject_id ORDER BY intime, stay_id) AS record_seq,
-         lag(outtime) OVER (PARTITION BY subject_id ORDER BY intime, stay_id) AS previous_outtime
-  FROM fx_icustays WHERE subject_id IN ({_AGE_IDS})),
-d_days AS (
-  SELECT subject_id, hadm_id, stay_id, epoch(intime) - epoch(previous_outtime) AS duration, record_seq
-  FROM d_calc WHERE previous_outtime IS NOT NULL)"""
-
-_READMIT_A = """
-readmitted AS (
-  SELECT subject_id, hadm_id, stay_id, duration / 86400 AS gap_days, record_seq FROM d_days
-  WHERE subject_id IN (SELECT subject_id FROM d_days WHERE record_seq = 2) AND record_seq <= 2)"""
-
-_READMIT_B = """
-readmitted AS (
-  SELECT subject_id, hadm_id, stay_id, duration / 86400 AS gap_days, record_seq FROM d_days
-  WHERE subject_id IN (SELECT subject_id FROM d_days GROUP BY subject_id HAVING sum(record_seq) >= 1))"""
+# A subject's stays are counted by comparing them with each other; a stay
+# follows the one whose count is one less.
+_FOLLOWING = f"""
+own AS (SELECT s.* FROM fx_icustays AS s JOIN ({_AGE_IDS}) AS p ON s.subject_id = p.subject_id),
+nth AS (SELECT a.subject_id, a.hadm_id, a.stay_id, a.intime, a.outtime, count(*) AS n
+        FROM own AS a JOIN own AS b ON a.subject_id = b.subject_id
+             AND (b.intime < a.intime OR (b.intime = a.intime AND b.stay_id <= a.stay_id))
+        GROUP BY ALL),
+following AS (SELECT c.subject_id, c.hadm_id, c.stay_id, (epoch(c.intime) - epoch(p.outtime)) / 86400 AS gap_days, c.n AS record_seq
+              FROM nth AS c JOIN nth AS p ON p.subject_id = c.subject_id AND p.n = c.n - 1
+              WHERE p.outtime IS NOT NULL)"""
+
+# A: the second stay, if the first one's discharge is known. B: every stay that follows a known discharge.
+_READMIT_A = "readmitted AS (SELECT * FROM following WHERE record_seq = 2)"
+_READMIT_B = "readmitted AS (SELECT * FROM following)"
 
 
 def _lookback_sql(readmit: str) -> str:
     return f"""
-WITH {_D_DAYS.strip()}, {readmit.strip()},
-ce AS (SELECT * FROM fx_chartevents
-       WHERE itemid IN ({_ITEMS}) AND subject_id IN (SELECT subject_id FROM readmitted))
-SELECT subject_id, charttime, itemid, valuenum FROM (
-  SELECT *, CAST(floor(epoch(charttime)) AS BIGINT) AS chart_ts,
-         max(CAST(floor(epoch(charttime)) AS BIGINT)) OVER (PARTITION BY subject_id) AS max_chart_ts
-  FROM ce) AS x
-WHERE chart_ts >= max_chart_ts - 24 * 3600
-ORDER BY subject_id, charttime"""
+WITH {_FOLLOWING.strip()}, {readmit.strip()},
+kept AS (SELECT e.*, floor(epoch(e.charttime)) AS second FROM fx_chartevents AS e
+         WHERE e.itemid IN ({_ITEMS}) AND EXISTS (SELECT 1 FROM readmitted AS r WHERE r.subject_id = e.subject_id)),
+latest AS (SELECT subject_id, max(second) AS last_second FROM kept GROUP BY subject_id)
+SELECT k.subject_id, k.charttime, k.itemid, k.valuenum
+FROM kept AS k JOIN latest AS l ON k.subject_id = l.subject_id AND l.last_second - k.second <= 86400
+ORDER BY k.subject_id, k.charttime"""
 
 
 def _stays_sql(readmit: str) -> str:
     return f"""
-WITH {_D_DAYS.strip()}, {readmit.strip()}
+WITH {_FOLLOWING.strip()}, {readmit.strip()}
 SELECT subject_id, hadm_id, stay_id, round(gap_days, 6) AS gap_days, CAST(record_seq AS BIGINT) AS record_seq
 FROM readmitted"""
 
@@ -58,7 +52,7 @@ def _rounded(df):
 
 
 @query("cohort_lookback_a", _lookback_sql(_READMIT_A),
-       ids="A2 B1 B2 B3 B4 B5 B15 C1 C2 E1 E2 E3 E4 E5 F1 H14")
+       ids="B1 B2 B3 B4 B5 B15 C1 C2 E1 E2 E3 E4 E5 F1 H14")
 def cohort_lookback_a(t):
     """Flagship: last 24 h of the 33 items for age 30-35 subjects with a second stay."""
     return cohort.readmission_lookback(fx.patients(t), fx.icustays(t), fx.chartevents(t), "A")
@@ -81,7 +75,7 @@ def readmitted_stays_b(t):
 
 
 @query("not_readmitted", f"""
-WITH {_D_DAYS.strip()}, {_READMIT_A.strip()}
+WITH {_FOLLOWING.strip()}, {_READMIT_A.strip()}
 SELECT subject_id FROM ({_AGE_IDS}) AS p
 WHERE subject_id NOT IN (SELECT subject_id FROM readmitted)""", ids="C13")
 def not_readmitted(t):
@@ -90,7 +84,7 @@ def not_readmitted(t):
 
 
 @query("cohort_sizes", f"""
-WITH {_D_DAYS.strip()}, {_READMIT_A.strip()}
+WITH {_FOLLOWING.strip()}, {_READMIT_A.strip()}
 SELECT (SELECT count(DISTINCT subject_id) FROM readmitted) AS readmitted,
        (SELECT count(*) FROM ({_AGE_IDS}) AS p WHERE subject_id NOT IN (SELECT subject_id FROM readmitted))
          AS not_readmitted""", ids="D1 D2 C13")

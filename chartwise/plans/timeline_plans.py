@@ -44,7 +44,7 @@ SELECT e.subject_id,
        floor((epoch(max(e.charttime) OVER (PARTITION BY e.subject_id)) - epoch(e.charttime)) / 3600) AS timeline,
        i.label AS item_label, round(e.valuenum, 6) AS valuenum, 1 AS label
 FROM ev AS e LEFT JOIN items AS i ON e.itemid = i.itemid""",
-       ids="A4 H12 H13 E6 B6 C5 B1")
+       ids="H12 H13 E6 B6 C5 B1")
 def labelled_events(t):
     return round_doubles(timeline.labelled_events(fx.chartevents_raw(t), fx.d_items(t)))
 
@@ -69,6 +69,6 @@ SELECT subject_id, event_id, itemid, pos, round(time_diff_hours, 6) AS time_diff
        round(CASE WHEN vmax - vmin > 0 THEN (valuenum - vmin) / (vmax - vmin) ELSE valuenum - vmean END + series_no, 6)
          AS plot_value,
        CASE WHEN first_label IS NOT NULL THEN itemid || ' - ' || first_label ELSE itemid END AS legend
-FROM stats""", ids="B4 E7 C4 E13 E14 E15 A3")
+FROM stats""", ids="B4 E7 C4 E13 E14 E15")
 def item_series(t):
     return round_doubles(timeline.item_series(fx.chartevents_raw(t), fx.d_items(t)))

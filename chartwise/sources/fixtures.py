@@ -290,7 +290,3 @@ ALL = {
     "fx_profiles": profiles, "fx_forecasts": forecasts, "fx_metrics": metrics, "fx_classes": classes,
 }
 
-
-def register_views(t: Tables) -> None:
-    for name, fn in ALL.items():
-        fn(t).createOrReplaceTempView(name)

@@ -33,8 +33,3 @@ class Tables:
         if name not in self._frames:
             self._frames[name] = self.spark.read.parquet(self.path(name))
         return self._frames[name]
-
-    def register_views(self, names=DRIVER_TABLES) -> None:
-        """Expose the tables as temp views (the reference's view step)."""
-        for name in names:
-            self[name].createOrReplaceTempView(name)
