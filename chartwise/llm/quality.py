@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling (operator 3).
 
 Two generative models of hashed n-grams (words and word pairs, lower
-case, runs of punctuation as words) are counted: a target model from
+case, runs of punctuation as words; a pair of equal words counts a further
+gram that all such pairs share) are counted: a target model from
 documents labelled good, and a raw model from all documents. A document's
 log importance weight is the sum over its n-grams of
 log target(gram) - log raw(gram). Adding Gumbel noise to it and taking the
@@ -45,6 +46,7 @@ _KIND[33:127] = 1
 _KIND[128:] = 2
 for _a, _b in ((48, 58), (65, 91), (95, 96), (97, 123)):
     _KIND[_a:_b] = 2
+_TWICE = np.uint64(0xA5A5A5A5A5A5A5A5)
 _PAIR = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -65,8 +67,9 @@ def grams(text: pa.Array):
         h = span_hashes(part, start, end)
         pair = mix(h[:-1] * _PAIR[0] + h[1:] * _PAIR[1])
         same = row[1:] == row[:-1]
-        gram = np.concatenate([h, pair[same]])
-        yield a, b - a, (gram >> np.uint64(50)).astype(np.int64), np.concatenate([row, row[1:][same]])
+        twice = same & (h[1:] == h[:-1])
+        gram = np.concatenate([h, pair[same], np.full(np.count_nonzero(twice), _TWICE)])
+        yield a, b - a, (gram >> np.uint64(50)).astype(np.int64), np.concatenate([row, row[1:][same], row[1:][twice]])
 
 
 def labelled(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
