@@ -30,11 +30,11 @@ def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), RANK_FILE), 256).alias("decoded_sha256"))
+    e = bpe.encode_text(table(spark, sf_dir, "documents"), RANK_FILE, public_tokenizers.PATTERN)
+    spaces = F.length("ids_text") - F.length(F.replace("ids_text", F.lit(" "), F.lit("")))
+    return e.select(
+        "doc_id", F.when(F.col("ids_text") == "", 0).otherwise(spaces + 1).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @_query
