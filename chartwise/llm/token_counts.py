@@ -66,25 +66,25 @@ class PrefixCounter:
         return parts
 
     def stays(self, left: bytes, right: bytes) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) < CACHED_PAIRS:
-                self.pairs[key] = known
+        """Whether two tokens side by side stay what they are."""
+        known = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.pairs) < CACHED_PAIRS:
+            self.pairs[(left, right)] = known
         return known
 
     def prefixes(self, raw: bytes) -> bytes:
         """Token count of raw[:1], raw[:2], ... as one match each (unsigned 32-bit)."""
         last, count = [b""], [0]
-        ranks, stays = self.ranks, self.stays
+        ranks, known = self.ranks, self.pairs.get
         for i in range(1, len(raw) + 1):
             for j in range(max(0, i - self.longest), i):
                 piece = raw[j:i]
-                if piece in ranks and stays(last[j], piece):
-                    last.append(piece)
-                    count.append(count[j] + 1)
-                    break
+                if piece in ranks:
+                    alone = known((last[j], piece))
+                    if alone or (alone is None and self.stays(last[j], piece)):
+                        last.append(piece)
+                        count.append(count[j] + 1)
+                        break
         if raw in _LATE:
             count[2] = 2
         return array("I", count[1:]).tobytes()
