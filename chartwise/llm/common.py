@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from chartwise.scratch import drop, folder, save  # noqa: F401  shared by the operators
 from chartwise.session import configure
 
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -24,7 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application (they need not have it installed)."""
+    """Prepare a session for the Python operators.
+
+    Sends this package to the workers once per application (they need not
+    have it installed), and bounds the rows of an Arrow batch: a row holds
+    a whole text or a set of shingles, and a batch is in memory on both sides.
+    """
+    if int(spark.conf.get(_BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
