@@ -45,10 +45,22 @@ def join_derived(big: DataFrame, small, on, how: str = "inner",
     return big.join(small.side(), on, how)
 
 
+def slice_count(df: DataFrame) -> int:
+    """Tasks for sorting or expanding ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    advisory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    # generated or cached leaves can report the largest size there is
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // advisory), 1_000_000))
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a CPU-heavy row expansion (tokenising whole texts) every core, however few files it comes from.
 
-    A hash repartition on ``key`` is deterministic on retry; adaptive
-    execution sizes its partitions.
+    A hash repartition on ``key`` is deterministic on retry. Its number is
+    stated, since adaptive execution would join partitions by their bytes
+    although the work on each byte is what counts.
     """
-    return df.repartition(key)
+    return df.repartition(slice_count(df), key)

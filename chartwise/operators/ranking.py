@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.operators.joins import materialise
+from chartwise.operators.joins import materialise, slice_count
 
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row offset in the low 33 bits
@@ -34,17 +34,6 @@ def hash_slice(hex_col: str, n: int) -> Column:
     return F.floor(F.conv(F.substring(F.col(hex_col), 1, 6), 16, 10).cast("double") * n / float(16 ** 6)).cast("int")
 
 
-def slice_count(df: DataFrame) -> int:
-    """Slices for sorting ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
-    spark = df.sparkSession
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    advisory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-    # generated or cached leaves can report the largest size there is
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // advisory), 1_000_000))
-
-
 def positions(df: DataFrame, order, group=(), out: str = "pos", slices: int | None = None,
               hash_ordered: bool = False) -> DataFrame:
     """Add ``out`` = 0-based position of each row within ``group`` by ``order``.
