@@ -49,11 +49,12 @@ def slice_count(df: DataFrame) -> int:
     """Tasks for sorting or expanding ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
     spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a leaf whose size Spark does not know (rows made in the session) reports the largest there is
+    size = sum(x for x in sizes if x < 1 << 60)
     advisory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-    # generated or cached leaves can report the largest size there is
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // advisory), 1_000_000))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // advisory))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
