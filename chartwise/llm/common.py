@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from chartwise.scratch import drop, folder, save  # noqa: F401  shared by the operators
 from chartwise.session import configure
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
@@ -49,6 +50,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; workers stay alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def boxed(docs: DataFrame, **more) -> DataFrame:
     """``docs`` as one struct column ``_row`` beside the named expressions, so that no column of its can clash."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

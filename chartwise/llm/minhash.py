@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import boxed, chunks, drop, lower, mix, save, ship, span_hashes, text_bytes, word_spans
+from chartwise.llm.common import boxed, chunks, drop, lower, mix, save, ship, span_hashes, text_bytes, trim, word_spans
 from chartwise.llm.components import components
 from chartwise.operators.joins import join_derived
 
@@ -105,6 +105,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(s)],
                 names=["doc_id", "n_shingles", "sig_a", "sig_b", "sketch"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, sig_a long, sig_b long, sketch array<long>")
@@ -129,6 +130,7 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield pa.RecordBatch.from_pydict({"u": pa.array([t["u"][i] for i in keep], pa.int64()),
                                               "v": pa.array([t["v"][i] for i in keep], pa.int64())})
+        trim()
 
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
@@ -143,6 +145,7 @@ def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), words)))],
                                              names=["doc_id", "set"])
+        trim()
 
     return (join_derived(docs.select(F.col("doc_id").cast("long"), "text"), needed.distinct(), "doc_id", "left_semi")
             .dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set array<long>"))
@@ -168,6 +171,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = np.array(keep, bool)
             yield pa.RecordBatch.from_arrays([pa.array(us[keep]), pa.array(vs[keep])], names=["u", "v"])
+        trim()
 
     out = save(pairs.join(full.toDF("u", "a"), "u").join(full.toDF("v", "b"), "v")
                .select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import BYTE, chunks, drop, mix, nz, save, ship, span_hashes, text_bytes
+from chartwise.llm.common import BYTE, chunks, drop, mix, nz, save, ship, span_hashes, text_bytes, trim
 from chartwise.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 400
@@ -119,6 +119,7 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(at), hs.take(at), pa.array(start + shift), pa.array(windows), *(pa.array(x.view(np.int64)) for x in (g, sa, sb))],
                     names=["doc_id", "_h", "start", "windows", "gram", "seg_a", "seg_b"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(nz()).alias("_h"), "text").mapInArrow(run, _ANCHOR)
 
@@ -172,7 +173,9 @@ def _marked_in_shards(held: DataFrame, length: int) -> DataFrame:
     def whole_table(t):
         got = list(whole(None, t))
         schema = pa.schema([("seg_a", pa.int64()), ("seg_b", pa.int64()), ("cover", pa.list_(pa.int32()))])
-        return pa.Table.from_batches([b.cast(schema) for b in got], schema)
+        out = pa.Table.from_batches([b.cast(schema) for b in got], schema)
+        trim()
+        return out
 
     return held.groupBy("shard").applyInArrow(whole_table, "seg_a long, seg_b long, cover array<int>")
 
