@@ -171,7 +171,7 @@ def _marked_in_shards(held: DataFrame, length: int) -> DataFrame:
                 "cover": pa.array([_intervals(flags[i], length) for i in keep], pa.list_(pa.int32()))})
 
     def whole_table(t):
-        got = list(whole(None, t))
+        got = list(whole(None, t.sort_by("gram")))  # rows come in the order of the join before
         schema = pa.schema([("seg_a", pa.int64()), ("seg_b", pa.int64()), ("cover", pa.list_(pa.int32()))])
         out = pa.Table.from_batches([b.cast(schema) for b in got], schema)
         trim()

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from chartwise.llm import bpe, exact_dedup, minhash, packing, repeats, secret_scan, token_counts, tokens
 from chartwise.llm.queries import JSON_FILE, QUERIES, RANK_FILE
@@ -244,6 +245,30 @@ def test_repeats_of_split_grams_and_long_texts(spark, monkeypatch):
     assert got == brute_repeats([(i, t.encode()) for i, t in rows], 24)
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_repeats_in_shards_of_many_cuts(spark, monkeypatch, broadcast):
+    """Segments of one gram lie apart in their shard, which is cut into many sub-tables."""
+    rng = np.random.default_rng(2)
+    passages = ["".join(rng.choice(list("abcdefgh"), 40)) for _ in range(12)]
+    rows = [(k, "".join(rng.choice(list("abcdefgh"), 30)) + passages[k % 12] + "".join(rng.choice(list("abcdefgh"), 30))) for k in range(96)]
+    want = brute_repeats([(i, t.encode()) for i, t in rows], 24)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n, None) for n in names}
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 600)
+    inner = repeats._marked_in_shards
+    # few shards of many grams each, their rows in the order of a hash
+    monkeypatch.setattr(repeats, "_marked_in_shards", lambda held, length: inner(
+        held.withColumn("shard", F.pmod("shard", F.lit(2))).repartition(3).sortWithinPartitions(F.xxhash64("seg_a")), length))
+    try:
+        for n in names:
+            spark.conf.set(n, broadcast)
+        assert counted(repeats.remove_repeats(docs, 24, 8).drop("kept").collect()) == want
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 # ---- secrets
 
 def base_findings(t):
