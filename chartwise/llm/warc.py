@@ -15,7 +15,7 @@ before it has partitions of the session's advisory size), and read back as binar
 
 Digests are compared before payloads move: which record answers for a
 digest is an aggregation over (digest, id) combined on the map side, and
-only the type and target of each id join the payloads, by id. A payload
+only the type and target join the payloads, by id and digest. A payload
 that a third of all pages have is so spread over all tasks.
 
 Cases: null html is an empty payload, null or blank address becomes
@@ -130,10 +130,10 @@ def arc_records(archives: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- WARC
 
 def answering(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, refers_to): the records that revisit another, and which."""
+    """(page_id, payload_digest, refers_to): the records that revisit another, and which; an id may stand on several payloads."""
     short = save(records.filter(F.octet_length("payload") >= least).select("page_id", "payload_digest"))
     top = save(short.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"))
-    return short.join(top, "payload_digest").filter("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    return short.join(top, "payload_digest").filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
 def warc_text(records: DataFrame) -> DataFrame:
@@ -218,8 +218,7 @@ def parse_warc(raw: bytes):
 def convert(archives: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """ARC files (a binary column) to WARC files under ``path``."""
     records = arc_records(archives)
-    revisits = answering(records, least).withColumnRenamed("page_id", "_id")
-    typed = records.join(revisits, F.col("page_id") == F.col("_id"), "left").drop("_id")
+    typed = records.join(answering(records, least), ["page_id", "payload_digest"], "left")
     write_warc(typed, path)
 
 

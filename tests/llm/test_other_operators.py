@@ -147,6 +147,14 @@ def test_archives_edges(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_an_id_on_two_payloads(spark):
+    rows = [(1, "alone"), (1, "shared"), (2, "shared"), (3, "also"), (1, "also"), (2, "kept")]
+    df = spark.createDataFrame([(i, f"http://a/{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    back = warc.round_trip(df).collect()
+    assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in back) == expected_pages(rows, 0)
+    assert {bytes(r.payload).decode() for r in back if r.record_type == "response"} == {h for _, h in rows}
+
+
 def test_arc_versions():
     rows = [(1, "http://x", b"a\nb"), (None, None, b"")]
     for version in (1, 2):
