@@ -9,7 +9,8 @@ A query walks the tree best-bin-first: a priority queue of branches by
 distance to their centre; the nearest branch is opened, its children are
 queued, and leaves are visited in the order they come off the queue.
 How many leaves: sample queries are answered exactly and by the tree,
-and the number of visits is raised until the recall reaches TARGET.
+and the number of visits is raised until the recall reaches TARGET. A query
+whose leaves hold too few rows for its neighbours goes on to further leaves.
 
 Queries and rows meet by (shard, block). A shard is a run of neighbouring
 leaves with about BLOCK_ROWS rows; a leaf with more is a shard of its own,
@@ -106,15 +107,16 @@ class Tree:
                 todo += [(c, rows[own == k]) for k, c in enumerate(self.children[node])]
         return out
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves by best-bin-first."""
+    def visit(self, q: np.ndarray, leaves: int, sizes=None, least: int = 0) -> list[int]:
+        """The first ``leaves`` leaves by best-bin-first, and more until they hold ``least`` rows by ``sizes``."""
         out: list[int] = []
         queue = [(0.0, 0, self.root)]
-        pushed = 0
-        while queue and len(out) < leaves:
+        pushed = held = 0
+        while queue and (len(out) < leaves or held < least):
             _, _, node = heapq.heappop(queue)
             if node < 0:
                 out.append(-1 - node)
+                held += sizes[-1 - node] if sizes is not None else 0
                 continue
             d = ((self.centres[node] - q) ** 2).sum(axis=1)
             for k, c in enumerate(self.children[node]):
@@ -159,7 +161,10 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, target: float) -> int:
 
 def search(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, target: float = TARGET,
            id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score, visits): the nearest rows found for every row with ``is_query`` (on column id)."""
+    """(query_id, rank, vec_id, score, visits): the nearest rows found for every row with ``is_query`` (on column id).
+
+    visits is the calibrated number of leaves, the least that a query visits.
+    """
     spark = vectors.sparkSession
     ship(spark)
     rows = save(usable(vectors, id_col, vec_col))
@@ -182,14 +187,16 @@ def search(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, target: f
     placed = save(rows.mapInArrow(place, "id long, v array<double>, leaf long"))
     # one number per leaf: runs of leaves become shards
     size = {r[0]: r[1] for r in placed.groupBy("leaf").count().collect()}
-    shard_of = spark.sparkContext.broadcast(_shards([size.get(k, 0) for k in range(tree.leaves)]))
+    sizes = [size.get(k, 0) for k in range(tree.leaves)]
+    shard_of = spark.sparkContext.broadcast(_shards(sizes))
+    sizes_of = spark.sparkContext.broadcast(sizes)
 
     def route(batches):
         for b in batches:
             out: list[list] = [[], [], [], []]
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
+            for i, v, own in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_pylist(), strict=True):
                 by_shard: dict[int, list[int]] = {}
-                for leaf in held.value.visit(v, visits):
+                for leaf in held.value.visit(v, visits, sizes_of.value, neighbours + own):
                     by_shard.setdefault(int(shard_of.value[leaf]), []).append(leaf)
                 for shard, leaves in by_shard.items():
                     for col, x in zip(out, (i, v, shard, leaves), strict=True):
@@ -198,7 +205,9 @@ def search(vectors: DataFrame, is_query, neighbours: int = NEIGHBOURS, target: f
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))],
                 names=["id", "v", "shard", "leaves"])
 
-    routed = save(rows.filter(is_query).mapInArrow(route, "id long, v array<double>, shard long, leaves array<long>"))
+    queries = rows.filter(is_query)
+    own = queries.groupBy("id").agg(F.count("*").alias("own"))  # rows with the query's id, itself among them, are no candidates
+    routed = save(queries.join(own, "id").select("id", "v", "own").mapInArrow(route, "id long, v array<double>, shard long, leaves array<long>"))
     number = F.split(F.lit(",".join(map(str, shard_of.value))), ",").cast("array<bigint>")
     dealt = placed.withColumn("shard", F.get(number, F.col("leaf").cast("int")))
     row_blocks = dealt.groupBy("shard").agg(F.ceil(F.count("*") / (2 * BLOCK_ROWS)).alias("rb"))

@@ -56,6 +56,20 @@ def test_nearest_recall_with_many_leaves(spark, monkeypatch):
     assert got[0].visits < 3000 / 40
 
 
+def test_nearest_of_isolated_vectors(spark, monkeypatch):
+    """Beside dense clusters, a vector in a leaf of few rows still gets all its neighbours; so does a query whose id repeats."""
+    monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 8)
+    centre = 100 * np.random.default_rng(0).normal(size=(12, 4))
+    x = np.concatenate([centre[np.arange(600) % 12], 5000 + np.arange(20.0).reshape(5, 4), np.full((24, 4), -5000.0)])
+    ids = np.concatenate([np.arange(605), np.full(24, 700)])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    found = collections.defaultdict(set)
+    for r in kmeans_tree.search(df, F.col("id") >= 600).collect():
+        found[r.query_id].add(r.rank)
+        assert r.vec_id != r.query_id
+    assert found == {i: set(range(1, 11)) for i in (*range(600, 605), 700)}
+
+
 def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
             (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (10, [2.0, 0.0]), (10, [2.0, 0.0])]
