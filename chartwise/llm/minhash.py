@@ -5,8 +5,10 @@ is the K smallest values of its shingle set. Of two sets with Jaccard
 similarity J, each of the smallest values of their union lies in both with
 probability J, so similar documents retain nearly the same values.
 
-1. Documents with the same shingle set are one class from here on; its
-   representative has the smallest id.
+1. Texts with the same shingle set are one class from here on, with a number
+   of its own; its representative has the smallest id. Links of classes
+   become links of ids at the end, so an id that stands on several texts
+   has the links of all.
 2. Inverted lists: every three neighbouring retained values are a key;
    documents with a key in common are candidates. Single values would put
    all documents that share a passage into one list; three in a row rarely
@@ -43,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import boxed, chunks, drop, lower, mix, save, ship, span_hashes, text_bytes, trim, word_spans
+from chartwise.llm.common import boxed, chunks, drop, lower, mix, nz, save, ship, span_hashes, text_bytes, trim, word_spans
 from chartwise.llm.components import components
 from chartwise.operators.joins import join_derived
 
@@ -91,29 +93,29 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, sig_a, sig_b, sketch): set size, two 64-bit sums naming the set, K smallest values."""
+    """(doc_id, _h, n_shingles, sig_a, sig_b, sketch): the text's hash, set size, two 64-bit sums naming the set, K smallest values."""
     ship(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             n, a, b, s = [], [], [], []
-            for v in shingle_sets(batch.column(1), words):
+            for v in shingle_sets(batch.column(2), words):
                 n.append(len(v))
                 a.append(int(np.sum(mix(v ^ _M[1])).view(np.int64)))
                 b.append(int(np.sum(mix(v ^ _M[2])).view(np.int64)))
                 s.append(v[:K])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(s)],
-                names=["doc_id", "n_shingles", "sig_a", "sig_b", "sketch"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), _lists(s)],
+                names=["doc_id", "_h", "n_shingles", "sig_a", "sig_b", "sketch"])
         trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, sig_a long, sig_b long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(nz()).alias("_h"), "text").mapInArrow(
+        run, "doc_id long, _h long, n_shingles long, sig_a long, sig_b long, sketch array<long>")
 
 
 def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose union sketch and set sizes allow the threshold."""
-    s = sketch.select("doc_id", "n_shingles", "sketch")
+    s = sketch.select("class_id", "n_shingles", "sketch")
     both = (pairs.join(s.toDF("u", "nu", "su"), "u").join(s.toDF("v", "nv", "sv"), "v")
             .filter(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"))
 
@@ -135,8 +137,8 @@ def _estimated(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set) of the documents whose doc_id is in ``needed``.
+def full_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """(class_id, set) of the classes in ``needed``, from the text of the representative.
 
     The ids are written and measured: while they are small they go to the
     texts, so that only the needed texts move; beyond that both are shuffled.
@@ -144,21 +146,23 @@ def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(list(shingle_sets(batch.column(1), words)))],
-                                             names=["doc_id", "set"])
+                                             names=["class_id", "set"])
         trim()
 
-    return (join_derived(docs.select(F.col("doc_id").cast("long"), "text"), needed.distinct(), "doc_id", "left_semi")
-            .dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, set array<long>"))
+    wanted = join_derived(classes.select("class_id", F.col("rep").alias("doc_id"), "_h"), needed.distinct(), "class_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(nz()).alias("_h"), "text")
+    return (join_derived(texts, wanted, ["doc_id", "_h"]).select("class_id", "text")
+            .dropDuplicates(["class_id"]).mapInArrow(sets, "class_id long, set array<long>"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B|, on full sets.
 
-    Sets are made for documents that occur in a pair only, and travel to
-    their pairs; a document with many partners is dealt out by pair.
+    Sets are made for classes that occur in a pair only, and travel to
+    their pairs; a class with many partners is dealt out by pair.
     """
     pairs = save(pairs)
-    full = save(full_sets(docs, pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")), words))
+    full = save(full_sets(docs, classes, pairs.select(F.col("u").alias("class_id")).union(pairs.select("v")), words))
 
     def check(batches):
         for batch in batches:
@@ -181,8 +185,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
 
 def _linked_in_blocks(t: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links that join components among the (at most two) blocks of a table of doc_id, root, block, set."""
-    ids, root, block = (t.column(c).to_numpy() for c in ("doc_id", "root", "block"))
+    """Links that join components among the (at most two) blocks of a table of class_id, root, block, set."""
+    ids, root, block = (t.column(c).to_numpy() for c in ("class_id", "root", "block"))
     order = np.argsort(block, kind="stable")
     ids, root, block = ids[order], root[order].copy(), block[order]
     column = t.column("set")
@@ -215,27 +219,27 @@ def _linked_in_blocks(t: pa.Table, percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _across_long_lists(long: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components within the clusters that long lists form; ``long``: key, doc_id, n_shingles, root."""
-    hub = long.groupBy("key").agg(F.min("doc_id").alias("hub"))
-    clusters = components(long.join(hub, "key").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))).toDF("doc_id", "cluster")
-    # documents linkable by size lie in the same or in neighbouring size classes
-    member = save(long.select("doc_id", "n_shingles", "root").distinct().join(clusters, "doc_id", "left").select(
-        "doc_id", "root", F.coalesce("cluster", "doc_id").alias("cluster"), "n_shingles",
+def _across_long_lists(long: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components within the clusters that long lists form; ``long``: key, class_id, n_shingles, root."""
+    hub = long.groupBy("key").agg(F.min("class_id").alias("hub"))
+    clusters = components(long.join(hub, "key").select(F.col("hub").alias("u"), F.col("class_id").alias("v"))).toDF("class_id", "cluster")
+    # classes linkable by size lie in the same or in neighbouring size classes
+    member = save(long.select("class_id", "n_shingles", "root").distinct().join(clusters, "class_id", "left").select(
+        "class_id", "root", F.coalesce("cluster", "class_id").alias("cluster"), "n_shingles",
         F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent))).alias("s")))
     count = member.groupBy("cluster", "s").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("n"))
     sized = member
     for name, step in (("same", 0), ("up", 1), ("down", -1)):
         sized = sized.join(count.select("cluster", (F.col("s") - step).alias("s"), F.col("n").alias(name)), ["cluster", "s"], "left")
-    sized = sized.withColumn("h", F.pmod(F.xxhash64("doc_id"), "same"))
+    sized = sized.withColumn("h", F.pmod(F.xxhash64("class_id"), "same"))
     tasks = F.expr(
         "concat(transform(sequence(0L, same - 1), x -> struct(s AS s1, least(h, x) AS h1, s AS s2, greatest(h, x) AS h2)),"
         " if(up is null, array(), transform(sequence(0L, coalesce(up, 1L) - 1), x -> struct(s AS s1, h AS h1, s + 1 AS s2, x AS h2))),"
         " if(down is null, array(), transform(sequence(0L, coalesce(down, 1L) - 1), x -> struct(s - 1 AS s1, x AS h1, s AS s2, h AS h2))))")
-    full = full_sets(docs, member.select("doc_id"), words)
-    dealt = sized.join(full, "doc_id").select(
-        "cluster", F.explode(tasks).alias("t"), "doc_id", "root", F.struct("s", "h").alias("own"), "set").select(
-        "cluster", "t.*", "doc_id", "root",
+    full = full_sets(docs, classes, member.select("class_id"), words)
+    dealt = sized.join(full, "class_id").select(
+        "cluster", F.explode(tasks).alias("t"), "class_id", "root", F.struct("s", "h").alias("own"), "set").select(
+        "cluster", "t.*", "class_id", "root",
         F.when((F.col("own.s") == F.col("t.s1")) & (F.col("own.h") == F.col("t.h1")), 0).otherwise(1).alias("block"), "set")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -248,47 +252,51 @@ def _across_long_lists(long: DataFrame, docs: DataFrame, words: int, percent: in
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sketched = save(sketches(docs, words))
-    # saved, so that the join below has plain shuffles on both sides and a large class can be split
+    # saved, so that a class keeps its number, and the join below has plain shuffles on both sides and a large class can be split
     classes = save(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "sig_a", "sig_b")
-                   .agg(F.min("doc_id").alias("rep")))
-    member = save(sketched.join(classes, ["n_shingles", "sig_a", "sig_b"], "left")
-                  .select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(rep, doc_id))").alias("rep"),
+                   .agg(F.min("doc_id").alias("rep"), F.min_by("_h", "doc_id").alias("_h"))
+                   .withColumn("class_id", F.monotonically_increasing_id()))
+    member = save(sketched.join(classes.drop("_h"), ["n_shingles", "sig_a", "sig_b"], "left")
+                  .select("doc_id", "n_shingles", "class_id", F.expr("if(doc_id is null, null, coalesce(rep, doc_id))").alias("rep"),
                           F.expr("if(doc_id = rep, sketch, null)").alias("sketch")))
     drop(sketched)
-    drop(classes)
-    # a repeated id can stand for two classes; one sketch row per id is enough to find its partners
-    reps = save(member.filter("sketch is not null").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]))
-    keyed = reps.filter("size(sketch) > 1").select("doc_id", "n_shingles", F.explode(F.expr(
+    # rows that repeat an id and its text give the sketch again
+    reps = save(member.filter("sketch is not null").select("class_id", "n_shingles", "sketch").dropDuplicates(["class_id"]))
+    keyed = reps.filter("size(sketch) > 1").select("class_id", "n_shingles", F.explode(F.expr(
         "concat(transform(sequence(1, greatest(size(sketch) - 2, 1)),"
         "   i -> xxhash64(element_at(sketch, i), element_at(sketch, i + 1), try_element_at(sketch, i + 2))),"
         " if(size(sketch) <= 5, transform(sequence(1, size(sketch) - 1),"
         "   i -> xxhash64(element_at(sketch, i), element_at(sketch, i + 1))), cast(array() as array<bigint>)))")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).filter("n > 1")
-    lists = save(keyed.join(shared, "key").select("key", "doc_id", "n_shingles", "hub"))
-    # first pass: the list's first member, and the next one in the list (dealt in blocks of ids so that no list is one task)
-    star = lists.filter("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))
-    w = Window.partitionBy("key", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id")
-    chain = lists.select(F.lag("doc_id").over(w).alias("u"), F.col("doc_id").alias("v")).filter("u is not null")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("hub")).filter("n > 1")
+    lists = save(keyed.join(shared, "key").select("key", "class_id", "n_shingles", "hub"))
+    # first pass: the list's first member, and the next one in the list (dealt in blocks of classes so that no list is one task)
+    star = lists.filter("class_id <> hub").select(F.col("hub").alias("u"), F.col("class_id").alias("v"))
+    w = Window.partitionBy("key", F.pmod(F.xxhash64("class_id"), F.lit(64))).orderBy("class_id")
+    chain = lists.select(F.lag("class_id").over(w).alias("u"), F.col("class_id").alias("v")).filter("u is not null")
     overlap = star.union(chain).groupBy("u", "v").agg(F.count("*").alias("shared"))
     # of a member's pairs, those with most shared keys first; the others wait for the second pass
     top = overlap.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("shared"), "u"))).filter("r <= 3")
-    linked = confirmed(_estimated(top.select("u", "v"), reps, percent), docs, words, percent)
+    linked = confirmed(_estimated(top.select("u", "v"), reps, percent), docs, classes, words, percent)
     roots = save(components(linked))
     # second pass: pairs across components, from lists that still span more than one
-    placed = lists.join(roots.toDF("doc_id", "root"), "doc_id", "left").select(
-        "key", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root"))
+    placed = lists.join(roots.toDF("class_id", "root"), "class_id", "left").select(
+        "key", "class_id", "n_shingles", F.coalesce("root", "class_id").alias("root"))
     spans = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("first"), F.max("root").alias("last")).filter("first <> last")
     spanning = save(placed.join(spans.select("key", "n"), "key"))
     short = spanning.filter(F.col("n") <= LIST_LIMIT)
-    x, y = (short.select("key", F.col("doc_id").alias(c), F.col("root").alias("r" + c), F.col("n_shingles").alias("n" + c)) for c in "xy")
+    x, y = (short.select("key", F.col("class_id").alias(c), F.col("root").alias("r" + c), F.col("n_shingles").alias("n" + c)) for c in "xy")
     across = (x.join(y, "key").filter(f"x < y and rx <> ry and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
               .select(F.col("x").alias("u"), F.col("y").alias("v")).distinct())
-    more = confirmed(_estimated(across, reps, percent), docs, words, percent).union(
-        _across_long_lists(spanning.filter(F.col("n") > LIST_LIMIT), docs, words, percent))
+    more = confirmed(_estimated(across, reps, percent), docs, classes, words, percent).union(
+        _across_long_lists(spanning.filter(F.col("n") > LIST_LIMIT), docs, classes, words, percent))
     drop(lists)
     drop(spanning)
-    edges = linked.union(more).union(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
+    # an id on several texts is a member of several classes
+    named = classes.select("class_id", "rep")
+    links = linked.union(more).join(named.toDF("u", "a"), "u").join(named.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    edges = links.union(member.filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     roots = save(components(edges)).toDF("doc_id", "root")
+    drop(classes)
     return member.join(roots, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"),
         F.expr("coalesce(root, doc_id) <=> doc_id").alias("kept"))

@@ -208,6 +208,21 @@ def test_near_chain_of_edits(spark, monkeypatch, limit):
     assert got == brute_near(rows, 4, 80)
 
 
+def test_near_links_of_an_id_on_two_texts(spark):
+    """Ids that stand on two texts, as representative of both classes or of none, bear the links of both."""
+    rng = np.random.default_rng(4)
+    words = [f"v{k}" for k in range(900)]
+    texts = [list(rng.choice(words, 90)) for _ in range(4)]
+
+    def near(k, name):
+        return " ".join([*texts[k][:-1], name])
+
+    rows = [(i, near(k, "own")) for i, k in ((0, 0), (0, 1), (0, 0), (90, 2), (90, 3))]
+    rows += [(10 * (k + 1) + i, near(k, f"x{i}")) for k in range(4) for i in range(2)]
+    got = counted(minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 4, 80).collect())
+    assert got == brute_near(rows, 4, 80)
+
+
 # ---- repeats
 
 def brute_repeats(rows, length):
