@@ -16,9 +16,9 @@ with every other; the work is dealt so that equal windows always meet.
    segment goes to the shard of its gram. A shard sorts its suffixes
    (Larsson-Sadakane refinement), takes common prefixes (Kasai) and marks
    the windows that share 400 bytes with another.
-4. A gram with more than SPLIT_OVER segments is dealt over several shards;
-   each gives the sorted names of its windows, and shards are merged by
-   binary search of one list's names in the others.
+4. Segments of a gram with more than SPLIT_OVER of them have no suffix array:
+   every window is named and windows of equal names are counted. Whole
+   copies of a segment (step 2) are found by names as well.
 5. Marked windows are carried back to all copies of their segment and cut
    out of the texts.
 
@@ -194,7 +194,7 @@ def _groups_of(t: pa.Table, limit: int):
 
 
 def _names(held: DataFrame, length: int) -> DataFrame:
-    """Window names of segments of split grams, each shard's list sorted and free of repeats inside a segment's shard."""
+    """One row per window of the segments of split grams, with the window's name."""
 
     def run(batches):
         for batch in batches:
