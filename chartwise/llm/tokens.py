@@ -51,9 +51,14 @@ def library(json_file: str):
     return _loaded[key]
 
 
+def beyond_ranks(text: str) -> bool:
+    """Whether ``text`` has characters that need the library itself."""
+    return _wide.search(text) is not None
+
+
 def ids_of(text: str | None, json_file: str, rank_file: str) -> np.ndarray:
     if not text:
         return np.zeros(0, np.uint32)
-    if _wide.search(text):
+    if beyond_ranks(text):
         return np.asarray(library(json_file).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     return fast(rank_file).encode_to_numpy(text, allowed_special="all")
