@@ -14,13 +14,16 @@ No tensors are built; each batch becomes rows a trainer can stream.
 A batch is a (fold, split, batch) group; one plan covers all of them, and a
 loader takes the one it needs with a filter.
 
-Pointers are running totals per batch computed slice-parallel; padding
-uses a per-batch maximum (map-side combined) joined back.
+Pointers are running totals per batch computed slice-parallel. A row's number
+is the pointer of its time plus its place among the rows of that time: a batch
+has a bounded number of ids and an id one row a time, so this window is
+bounded, and rows are shuffled once. Padding uses a per-batch maximum
+(map-side combined) joined back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartwise.operators.joins import Derived, join_derived
@@ -48,15 +51,29 @@ def time_batch(obs: DataFrame, assign, cov: DataFrame | None = None, labels: Dat
     group = list(group)
     side = assign if isinstance(assign, Derived) else assigned(assign, group)
     rows = batch_rows(obs, side, group)
-    times = rows.groupBy(*group, "tick", "t").agg(F.count("*").alias("n"))
-    ptr = running(times, "n", ["tick"], group=group, out="ptr_start")
-    ptr = ptr.withColumn("ptr_start", F.col("ptr_start").cast("bigint")).withColumn(
-        "ptr_end", (F.col("ptr_start") + F.col("n")).cast("bigint"))
+    ptr = _pointers(rows, group)
     full = rows
     for table in (cov, labels):
         if table is not None:
             full = full.join(table, "id", "left")
-    return {"rows": positions(full, ["tick", "id"], group=group, out="row_idx"), "times": ptr}
+    return {"rows": _numbered(full, ptr, ["id"], group), "times": ptr}
+
+
+def _pointers(rows: DataFrame, group) -> DataFrame:
+    """Distinct times of every batch with counts and row pointers."""
+    times = rows.groupBy(*group, "tick", "t").agg(F.count("*").alias("n"))
+    ptr = running(times, "n", ["tick"], group=group, out="ptr_start")
+    return ptr.withColumn("ptr_start", F.col("ptr_start").cast("bigint")).withColumn(
+        "ptr_end", (F.col("ptr_start") + F.col("n")).cast("bigint"))
+
+
+def _numbered(rows: DataFrame, ptr: DataFrame, order, group) -> DataFrame:
+    """``rows`` with ``row_idx``: their place in the batch by (tick, order)."""
+    key = [*group, "tick"]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    starts = ptr.groupBy(*key).agg(F.min("ptr_start").alias("_start"))
+    return rows.withColumn("_place", place).join(starts, key).withColumn(
+        "row_idx", (F.col("_start") + F.col("_place") - 1).cast("bigint")).drop("_place", "_start")
 
 
 def held_out_rows(after: DataFrame, assign, group=GROUP) -> DataFrame:
@@ -74,7 +91,7 @@ def seq_batch(obs: DataFrame, assign, group=GROUP) -> DataFrame:
     group = list(group)
     side = assign if isinstance(assign, Derived) else assigned(assign, group)
     rows = batch_rows(observed_per_row(obs), side, group)
-    ordered = positions(rows, ["tick", F.col("num_obs").desc(), "id"], group=group, out="row_idx")
+    ordered = _numbered(rows, _pointers(rows, group), [F.col("num_obs").desc(), "id"], group)
     longest = rows.groupBy(*group).agg(F.max("length").alias("_maxlen"))
     ordered = join_derived(ordered, longest, group, "inner")
     pad = F.col("_maxlen") - F.col("length")

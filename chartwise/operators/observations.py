@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chartwise.operators.joins import Derived, join_derived
-from chartwise.operators.ranking import first_by, positions
+from chartwise.operators.ranking import first_by, first_n, positions
 
 
 def value_columns(df: DataFrame, prefix: str) -> list[str]:
@@ -88,7 +88,7 @@ def default_table(obs: DataFrame, column: str, value: float = 0.0) -> DataFrame:
 
 
 def _after(t_val: float, t_val_from: float | None):
-    return F.col("t") >= F.lit(t_val_from) if t_val_from else F.col("t") > F.lit(t_val)
+    return F.col("t") > F.lit(t_val) if t_val_from is None else F.col("t") >= F.lit(t_val_from)
 
 
 def validation_ids(obs: DataFrame, t_val: float, t_val_from: float | None = None) -> DataFrame:
@@ -128,11 +128,9 @@ def validation_split(obs: DataFrame, t_val: float, max_val_samples: int = 1, t_v
     if "after" in parts:
         after = join_derived(scaled.where(_after(t_val, t_val_from)), side, "id", "left_semi")
         if t_closest is not None:
-            after = first_by(after, ["id"], [F.abs(F.col("t") - F.lit(t_closest)), "value_0", "t"])
+            after = first_n(after, ["id"], [F.abs(F.col("t") - F.lit(t_closest)), "value_0", "t"], 1)
         else:
-            # first n per id in time order; slice-parallel, so one id with a
-            # third of the rows is ranked by many tasks ((id, t) is unique)
-            after = positions(after, ["t"], group=["id"], out="_rn").where(F.col("_rn") < max_val_samples).drop("_rn")
+            after = first_n(after, ["id"], ["t"], max_val_samples)  # (id, t) is unique
         out["after"] = after
     for name, table in extra.items():
         out[name] = join_derived(table, side, "id", "left_semi")

@@ -70,24 +70,40 @@ def first_per_tick(pred: DataFrame) -> DataFrame:
         F.min_by("mean", "seq").alias("mean"), F.min_by("logvar", "seq").alias("logvar"))
 
 
-def nearest_ticks(evals: DataFrame, pred_ticks: DataFrame) -> DataFrame:
+SLICE_TICKS = 4096
+
+
+def nearest_ticks(evals: DataFrame, pred_ticks: DataFrame, slice_ticks: int = SLICE_TICKS) -> DataFrame:
     """``id, tick → matched_tick``: nearest prediction tick of the same id.
 
-    Both key sets are unioned and scanned in tick order per id, forwards for
-    the last prediction tick at or before and backwards for the first at or
-    after; both frames only grow, so the work is linear in an id's rows. The
-    smaller gap wins, ties go to the earlier tick. Predictions of ids
-    without evaluations are left out first.
+    The smaller gap wins, ties go to the earlier tick. Both key sets are
+    unioned and cut into slices of ``slice_ticks`` ticks, so a slice of an
+    id has at most two rows a tick whatever the id holds, and one id's slices
+    go to many tasks. Within a slice the last prediction tick at or before a
+    row and the first at or after it come from two scans in tick order; rows
+    with none on one side take it from the nearest slice of the id on that side
+    that has one: a scan over one row per slice. Predictions of ids without
+    evaluations are left out first.
     """
     e = evals.select("id", "tick").distinct().withColumn("_is_pred", F.lit(0))
     p = pred_ticks.select("id", "tick").join(e.select("id").distinct(), "id", "left_semi").distinct().withColumn("_is_pred", F.lit(1))
-    u = e.unionByName(p).withColumn("_pt", F.when(F.col("_is_pred") == 1, F.col("tick")))
+    u = e.unionByName(p).select(
+        "id", "tick", "_is_pred", F.floor(F.col("tick") / slice_ticks).cast("bigint").alias("_slice"),
+        F.when(F.col("_is_pred") == 1, F.col("tick")).alias("_pt"))
     so_far = (Window.unboundedPreceding, 0)
-    back = Window.partitionBy("id").orderBy(F.col("tick"), F.col("_is_pred").desc()).rowsBetween(*so_far)
-    fwd = Window.partitionBy("id").orderBy(F.col("tick").desc(), F.col("_is_pred").desc()).rowsBetween(*so_far)
-    u = u.withColumn("_back", F.last("_pt", ignorenulls=True).over(back)).withColumn(
-        "_fwd", F.last("_pt", ignorenulls=True).over(fwd))
-    u = u.where(F.col("_is_pred") == 0)
+    within = Window.partitionBy("id", "_slice")
+    back = within.orderBy(F.col("tick"), F.col("_is_pred").desc()).rowsBetween(*so_far)
+    fwd = within.orderBy(F.col("tick").desc(), F.col("_is_pred").desc()).rowsBetween(*so_far)
+    local = u.withColumn("_back", F.max("_pt").over(back)).withColumn("_fwd", F.min("_pt").over(fwd)).where("_is_pred = 0")
+    # every slice of an id, with the prediction ticks of earlier and later slices
+    ends = u.groupBy("id", "_slice").agg(F.min("_pt").alias("_lo"), F.max("_pt").alias("_hi"))
+    by_id = Window.partitionBy("id")
+    carried = ends.select(
+        "id", "_slice",
+        F.max("_hi").over(by_id.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.min("_lo").over(by_id.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    m = local.join(carried, ["id", "_slice"]).select(
+        "id", "tick", F.coalesce("_back", "_before").alias("_back"), F.coalesce("_fwd", "_after").alias("_fwd"))
     gap_b = F.col("tick") - F.col("_back")
     gap_f = F.col("_fwd") - F.col("tick")
     matched = (
@@ -96,7 +112,7 @@ def nearest_ticks(evals: DataFrame, pred_ticks: DataFrame) -> DataFrame:
         .when(gap_b <= gap_f, F.col("_back"))
         .otherwise(F.col("_fwd"))
     )
-    return u.select("id", "tick", matched.alias("matched_tick"))
+    return m.select("id", "tick", matched.alias("matched_tick"))
 
 
 def eval_table(evals_wide: DataFrame, pred: DataFrame, n_features: int) -> DataFrame:

@@ -125,3 +125,14 @@ def first_by(df: DataFrame, group, order, last: bool = False) -> DataFrame:
     pick = F.max if last else F.min
     best = df.groupBy(*group).agg(pick(F.struct(*keys, row)).alias("_best"))
     return best.select(*[F.col(f"_best._row.{c}").alias(c) for c in df.columns])
+
+
+def first_n(df: DataFrame, group, order, n: int) -> DataFrame:
+    """The first ``n`` rows of every ``group`` by ``order`` (total within the group).
+
+    A ``row_number() <= n`` filter, which Spark plans as a WindowGroupLimit:
+    every task cuts each group to ``n`` rows before the shuffle, so a group
+    holding a third of all rows sends at most ``n`` rows per task.
+    """
+    w = Window.partitionBy(*group).orderBy(*_as_cols(order))
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
