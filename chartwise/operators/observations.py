@@ -11,9 +11,10 @@ the column count is whatever the table holds). Operators:
 * ``validation_ids``               ids seen before and after the cut             (G2)
 * ``validation_split``             before/after tables, first n or nearest       (I4, B13, E9, E10, C6)
 * ``last_before_cut``              last row per id                               (E8)
-* ``reindex``                      dense 0..n-1 ids applied to several tables     (E11, C6)
+* ``reindex``                      dense 0..n-1 ids, by id or by first appearance,
+                                 applied to several tables                     (E11, C6)
 * ``covariate_check``              one covariate row per id                      (C12)
-* ``jitter``                       split rows with both features observed        (I5, G3, B11, B12)
+* ``jitter``                       split rows with several features observed     (I5, G3, B11, B12)
 * ``observed_per_row``             observed values, feature numbers, counts      (D8, H22)
 """
 
@@ -142,13 +143,27 @@ def last_before_cut(before: DataFrame) -> DataFrame:
     return first_by(before, ["id"], ["t"], last=True)
 
 
-def reindex(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Keep rows whose id is in ``ids`` and renumber ids 0..n-1 in id order.
+def first_places(rows: DataFrame, place=("file_path", "file_row")) -> DataFrame:
+    """(id, first): where every id first stands in ``rows``, by the ``place`` columns (combinable)."""
+    return rows.groupBy("id").agg(F.min(F.struct(*place)).alias("first"))
 
+
+def reindex(ids: DataFrame, tables: dict[str, DataFrame], order: str = "id", place=("file_path", "file_row")) -> dict[str, DataFrame]:
+    """Keep rows whose id is in ``ids`` and renumber ids 0..n-1.
+
+    ``order`` "id": in id order. "appearance": in the order in which ids
+    first stand in ``ids``, which then may hold an id many times and has the
+    ``place`` columns (``sources.files.with_file_position`` gives them).
     The mapping is computed with slice-parallel positions (no global
     single-task window), materialised once and joined to every table.
     """
-    mapping = Derived(positions(ids.select("id").distinct(), ["id"], out="new_id"))
+    if order not in ("id", "appearance"):
+        raise ValueError(f"order must be 'id' or 'appearance', not {order!r}")
+    if order == "id":
+        numbered = positions(ids.select("id").distinct(), ["id"], out="new_id")
+    else:
+        numbered = positions(first_places(ids, place), ["first"], out="new_id").drop("first")
+    mapping = Derived(numbered)
     out = {"mapping": mapping.df}
     for name, table in tables.items():
         out[name] = join_derived(table, mapping, "id", "inner")
@@ -170,40 +185,51 @@ def covariate_check(obs: DataFrame, cov: DataFrame) -> DataFrame:
     )
 
 
-def coin(seed: int, *cols) -> F.Column:
-    """Reproducible fair coin per row: first hex digit of md5(cols, seed) < 8."""
-    key = F.concat_ws("-", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
-    return F.when(F.substring(F.md5(key), 1, 1) < F.lit("8"), 1).otherwise(0)
+_DIGITS, _CHUNKS = 4, 8  # hex digits per draw, draws per md5
+
+
+def _draw(key: F.Column, p: F.Column) -> F.Column:
+    """The ``p``-th number below 16^4 that belongs to ``key`` (p from 1): four hex digits of an md5."""
+    block, chunk = F.floor((p - 1) / _CHUNKS).cast("int"), (p - 1) % _CHUNKS
+    digest = F.md5(F.when(block == 0, key).otherwise(F.concat_ws("-", key, block.cast("string"))))
+    return F.conv(F.substr(digest, chunk * _DIGITS + 1, F.lit(_DIGITS)), 16, 10).cast("bigint")
+
+
+def shuffled(items: F.Column, key: F.Column) -> F.Column:
+    """A reproducible permutation of the array ``items``: each item in turn goes to a drawn place among those before it."""
+    numbered = F.transform(items, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+
+    def insert(done: F.Column, e: F.Column) -> F.Column:
+        place = F.when(e["i"] == 0, F.lit(0)).otherwise(F.floor(_draw(key, e["i"]) * (e["i"] + 1) / 16 ** _DIGITS))
+        return F.array_insert(done, place.cast("int") + 1, e["x"])
+
+    return F.aggregate(numbered, F.array().cast("array<int>"), insert)
 
 
 def jitter(obs: DataFrame, jitter_time: float = 1e-3, seed: int = 0) -> DataFrame:
-    """Rows with both features observed become two one-feature rows, one of
-    them (coin flip) moved ``jitter_time`` earlier; times clamped at 0.
+    """Rows with several observed features become one row per observed feature, at different times.
 
-    Works for the six-column form (id, t, value_1, value_2, mask_1, mask_2)
-    as the reference requires.
+    The observed features of a row get a reproducible random order; the
+    j-th (from 0) moves ``j * jitter_time`` earlier, and times are clamped at 0. Rows
+    with one observed feature or none stay. Takes any number of
+    ``value_<n>`` / ``mask_<n>`` columns; other columns are carried along.
+    With two features one row moves, as a coin decides.
     """
-    expected = {"id", "t", "value_1", "value_2", "mask_1", "mask_2"}
-    if set(obs.columns) != expected:
-        raise ValueError("jitter needs exactly id, t, value_1, value_2, mask_1, mask_2")
-    both = (F.col("mask_1") == 1) & (F.col("mask_2") == 1)
-    c = coin(seed, "id", "_tkey")
-    keyed = obs.withColumn("_tkey", F.round(F.col("t") * 1000).cast("bigint"))
-    single = keyed.where(~both).drop("_tkey")
-    split = keyed.where(both).withColumn("_coin", c).select(
-        "id", "t", "value_1", "value_2", "mask_1", "mask_2", "_coin",
-        F.explode(F.array(F.lit(1), F.lit(2))).alias("_part"),
-    )
-    first = F.col("_part") == 1
-    moved = F.col("t") - F.lit(jitter_time) * F.when(first, F.col("_coin")).otherwise(1 - F.col("_coin"))
-    split = split.select(
-        "id",
-        F.greatest(moved, F.lit(0.0)).alias("t"),
-        "value_1", "value_2",
-        F.when(first, F.col("mask_1")).otherwise(F.lit(0)).alias("mask_1"),
-        F.when(first, F.lit(0)).otherwise(F.col("mask_2")).alias("mask_2"),
-    )
-    return single.unionByName(split)
+    values, masks = value_columns(obs, "value_"), value_columns(obs, "mask_")
+    numbers = [int(c.removeprefix("mask_")) for c in masks]
+    if not masks or [int(c.removeprefix("value_")) for c in values] != numbers or not {"id", "t"} <= set(obs.columns):
+        raise ValueError("jitter needs id, t and as many value_<n> as mask_<n> columns with the same numbers")
+    key = F.concat_ws("-", F.col("id").cast("string"), F.round(F.col("t") * 1000).cast("bigint").cast("string"), F.lit(str(seed)))
+    seen = F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(n)) for c, n in zip(masks, numbers, strict=True)]))
+    rows = obs.withColumn("_seen", seen)
+    # (feature kept, steps moved); one entry that keeps all features where nothing is split
+    parts = F.when(F.size("_seen") > 1, F.transform(shuffled(F.col("_seen"), key), lambda f, j: F.struct(f.alias("f"), j.alias("j")))).otherwise(
+        F.array(F.struct(F.lit(None).cast("int").alias("f"), F.lit(0).alias("j"))))
+    split = rows.withColumn("_part", F.explode(parts))
+    whole = F.col("_part.f").isNull()
+    moved = F.when(whole, F.col("t")).otherwise(F.greatest(F.col("t") - F.lit(jitter_time) * F.col("_part.j"), F.lit(0.0)))
+    keep = {c: F.when(whole | (F.col("_part.f") == n), F.col(c)).otherwise(F.lit(0)).alias(c) for c, n in zip(masks, numbers, strict=True)}
+    return split.select(*[moved.alias("t") if c == "t" else keep.get(c, F.col(c)) for c in obs.columns])
 
 
 def observed_per_row(obs: DataFrame, keys=("id", "tick", "t")) -> DataFrame:

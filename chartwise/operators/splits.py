@@ -81,13 +81,15 @@ def batches(assign: DataFrame, batch_size: int = 500, seed: int = 0, group=("fol
     )
 
 
-def write_folds(split: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_folds(split: DataFrame, path: str) -> None:
     """One directory per (fold, split); readers prune to the partition they need.
 
     Range-partitioned on (fold, split, id) so a large split is written by
-    many tasks rather than one.
+    many tasks rather than one. Directories that ``split`` has rows for are
+    replaced, others stay, so writing twice leaves the same files.
     """
-    split.repartitionByRange("fold", "split", "id").write.mode(mode).partitionBy("fold", "split").parquet(path)
+    (split.repartitionByRange("fold", "split", "id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("fold", "split").parquet(path))
 
 
 def read_fold(spark, path: str, fold: int, split: str) -> DataFrame:

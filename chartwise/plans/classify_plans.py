@@ -8,6 +8,7 @@ from chartwise.functions.stats import sigmoid
 from chartwise.operators import classify as cl
 from chartwise.operators import metrics as mt
 from chartwise.operators import splits as sp
+from chartwise.operators.joins import materialise
 from chartwise.plans.catalog import query
 from chartwise.plans.split_plans import STRAT_SEED, STRAT_TEST
 from chartwise.sources import fixtures as fx
@@ -22,6 +23,32 @@ def _run(t):
     return cl.ensemble_run(classes, split, thirds)
 
 
+def _data(t):
+    """Balanced training rows and test rows of the stratified split."""
+    classes = fx.classes(t)
+    split = sp.stratified(classes.select("id", "label"), "label", STRAT_TEST, STRAT_SEED)
+    data = cl.with_features(classes).join(split.select("id", "split"), "id")
+    return mt.with_class_weights(data.where("split = 'train'"), "label"), data.where("split = 'test'")
+
+
+@query("fit_certificates", """
+SELECT * FROM (VALUES ('lr', 'gradient near zero', true), ('dt', 'leaves give class shares', true), ('dt', 'root split is best', true),
+                      ('dt', 'depth within limit', true), ('svc', 'objective near its minimum', true)) AS v(model, "check", ok)""", ids="J1 J2 J3")
+def fit_certificates(t):
+    """The three fitted models pass the checks that hold at an optimum, on the training rows."""
+    train = materialise(_data(t)[0])
+    return cl.certificates(cl.BalancedModels(train), train)
+
+
+@query("kernel_scale", """
+WITH v AS (SELECT unnest(embedding)::DOUBLE AS x, len(embedding) AS d FROM embeddings)
+SELECT round(1 / (max(d) * var_pop(x)), 6) AS gamma FROM v""", ids="J3")
+def kernel_scale(t):
+    """The kernel width of the support-vector model over all rows."""
+    e = cl.with_features(t["embeddings"])
+    return t.spark.createDataFrame([(round(cl.scale_gamma(e), 6),)], "gamma double")
+
+
 @query("ensemble_scores", ids="J1 J2 J3 J4 D22 I2 I3 D25")
 def ensemble_scores(t):
     """Accuracy of each third-fitted model alone and of the refit soft-vote ensemble."""

@@ -8,6 +8,7 @@ from chartwise.operators import observations as ob
 from chartwise.plans.catalog import query
 from chartwise.plans.timeline_plans import round_doubles
 from chartwise.sources import fixtures as fx
+from chartwise.sources.files import with_file_position
 
 N = fx.N_FEATURES
 # Validation options used throughout (the reference's run uses a cut at 40
@@ -134,6 +135,15 @@ def reindexed_covariates(t):
     return round_doubles(out.select("new_id", "id", "cov_0", "cov_1"))
 
 
+@query("reindex_by_appearance", """
+WITH rows AS (SELECT user_id, row_number() OVER () AS place FROM events)
+SELECT user_id AS id, row_number() OVER (ORDER BY min(place)) - 1 AS new_id FROM rows GROUP BY user_id""", ids="E11")
+def reindex_by_appearance(t):
+    """Subjects of the stored event table, numbered in the order in which they first stand in it."""
+    rows = with_file_position(t.spark, t.path("events")).withColumnRenamed("user_id", "id").select("id", "file_path", "file_row")
+    return ob.reindex(rows, {}, order="appearance")["mapping"].select("id", "new_id")
+
+
 _MAP = f"{_VAL_IDS}, m AS (SELECT id, dense_rank() OVER (ORDER BY id) - 1 AS new_id FROM val_ids)"
 
 
@@ -204,6 +214,26 @@ def jitter(t):
     return round_doubles(ob.jitter(fx.obs_two(t), JITTER_TIME, JITTER_SEED))
 
 
+_SEEN = "list_filter([" + ", ".join(f"CASE WHEN mask_{i} = 1 THEN {i} END" for i in range(N)) + "], lambda f: f IS NOT NULL)"
+_JVALS = ", ".join(f"round(value_{i}, 6) AS value_{i}" for i in range(N))
+
+
+@query("jitter_all", f"""
+WITH k AS (SELECT *, md5(CAST(id AS VARCHAR) || '-' || CAST(CAST(round(t * 1000) AS BIGINT) AS VARCHAR) || '-' || '{JITTER_SEED}') AS h,
+                  {_SEEN} AS seen FROM fx_obs),
+places AS (SELECT *, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(seen)), lambda p:
+             CAST(floor(CAST('0x' || substr(h, CAST((p - 1) * 4 + 1 AS INTEGER), 4) AS BIGINT) * (p + 1) / 65536) AS BIGINT))) AS pl
+           FROM k WHERE len(seen) > 1),
+parts AS (SELECT *, unnest(range(len(seen))) AS i FROM places),
+ranks AS (SELECT *, seen[i + 1] AS f, list_reduce(pl[i + 1:], lambda r, q: CASE WHEN q <= r THEN r + 1 ELSE r END) AS j FROM parts)
+SELECT id, tick, round(greatest(t - {JITTER_TIME} * j, 0.0), 6) AS t, {_JVALS},
+       {", ".join(f"CASE WHEN f = {i} THEN 1 ELSE 0 END AS mask_{i}" for i in range(N))} FROM ranks
+UNION ALL SELECT id, tick, round(t, 6) AS t, {_JVALS}, {_MASKS} FROM k WHERE len(seen) <= 1""", ids="I5 G3 B11")
+def jitter_all(t):
+    """Jitter of all features of the observation table."""
+    return round_doubles(ob.jitter(fx.obs(t), JITTER_TIME, JITTER_SEED))
+
+
 @query("observed_per_row", f"""
 SELECT id, tick, round(t, 6) AS t, CAST(count(*) AS DOUBLE) AS num_obs,
        list(round(value, 6) ORDER BY feature) AS obs_values, list(feature ORDER BY feature) AS obs_features,

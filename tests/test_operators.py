@@ -99,10 +99,34 @@ def test_item_series_constant_and_minmax(spark):
 
 # ---------------------------------------------------------------- observations
 
-def test_jitter_requires_six_columns(spark):
-    df = spark.createDataFrame([(1, 0.0, 1.0)], "id bigint, t double, value_1 double")
-    with pytest.raises(ValueError):
-        observations.jitter(df)
+def test_jitter_requires_matching_columns(spark):
+    for ddl in ("id bigint, t double, value_1 double", "id bigint, t double, value_1 double, mask_2 int"):
+        with pytest.raises(ValueError):
+            observations.jitter(spark.createDataFrame([], ddl))
+
+
+def test_jitter_moves_every_feature_a_step_of_its_own(spark):
+    k = 11
+    cols = [f"value_{i} double" for i in range(k)] + [f"mask_{i} int" for i in range(k)]
+    full = [(n, 9.0, "note", *[float(i) for i in range(k)], *([1] * k)) for n in range(40)]
+    some = [(100, 9.0, "one", *[0.0] * k, *([0] * 4 + [1] + [0] * 6)), (101, 9.0, "none", *[0.0] * k, *([0] * k)),
+            (102, 0.002, "early", *[0.0] * k, *([1] * 3 + [0] * 8))]
+    df = spark.createDataFrame(full + some, "id bigint, t double, note string, " + ", ".join(cols))
+    out = observations.jitter(df, 0.001, seed=1).collect()
+    by_id = {}
+    for r in out:
+        by_id.setdefault(r.id, []).append(r)
+    orders = set()
+    for n in range(40):
+        got = sorted(by_id[n], key=lambda r: -r.t)
+        assert [round((9.0 - r.t) / 0.001) for r in got] == list(range(k))
+        masks = [[r[f"mask_{i}"] for i in range(k)] for r in got]
+        assert all(sum(m) == 1 for m in masks)
+        orders.add(tuple(m.index(1) for m in masks))
+    assert len(orders) > 30 and all(sorted(o) == list(range(k)) for o in orders)
+    assert len({o[0] for o in orders}) > 5  # no feature is always the one that stays
+    assert [(r.t, r.note) for r in by_id[100] + by_id[101]] == [(9.0, "one"), (9.0, "none")]
+    assert sorted(round(r.t, 6) for r in by_id[102]) == [0.0, 0.001, 0.002] and len(out) == 40 * k + 5
 
 
 def test_jitter_splits_and_clamps(spark):
@@ -305,14 +329,74 @@ def test_hash_ordered_positions_match_row_number(spark):
     assert rows(got, "g", "id", "pos") == rows(expected, "g", "id", "pos")
 
 
-def test_metric_log_append_sink(spark, scratch):
+def test_metric_log_sink_may_run_twice(spark, scratch):
     wide = spark.createDataFrame([(0, 1, -0.5, 2.0)], "run int, step int, val_metric double, loss double")
     path = os.path.join(scratch, "log")
-    files.append_metric_log(metrics.metric_log(wide), path)
-    files.append_metric_log(metrics.metric_log(wide.withColumn("step", F.lit(2))), path)
-    back = spark.read.parquet(path)
+    files.write_metric_log(metrics.metric_log(wide), path)
+    second = metrics.metric_log(wide.withColumn("step", F.lit(2)))
+    files.write_metric_log(second, path)
+    files.write_metric_log(second, path)
+    back = files.read_metric_log(spark, path)
     assert rows(back, "step", "tag", "value") == [(1, "loss", 2.0), (1, "val_metric", -0.5),
                                                   (2, "loss", 2.0), (2, "val_metric", -0.5)]
+    files.write_metric_log(metrics.metric_log(wide.withColumn("loss", F.lit(3.0))), path)
+    assert rows(files.read_metric_log(spark, path).where("tag = 'loss'"), "step", "value") == [(1, 3.0), (2, 2.0)]
+
+
+def test_subject_and_fold_sinks_may_run_twice(spark, scratch):
+    t = dt.datetime
+    schema = "subject_id bigint, charttime timestamp, itemid int, valuenum double"
+    both = spark.createDataFrame([(1, t(2020, 1, 1), 5, 1.0), (2, t(2020, 1, 1), 5, 3.0)], schema)
+    out = os.path.join(scratch, "subjects")
+    files.write_per_subject(both, out)
+    before = sorted(os.listdir(os.path.join(out, "subject_id=2")))
+    files.write_per_subject(both.where("subject_id = 1").withColumn("valuenum", F.lit(7.0)), out)
+    assert rows(files.read_subject_folder(spark, out, both.schema), "subject_id", "valuenum") == [(1, 7.0), (2, 3.0)]
+    assert sorted(os.listdir(os.path.join(out, "subject_id=2"))) == before  # not touched
+    f = splits.folds(spark.range(0, 30), n_folds=2)
+    path = os.path.join(scratch, "folds")
+    splits.write_folds(f, path)
+    splits.write_folds(f, path)
+    assert spark.read.parquet(path).count() == 60
+
+
+def test_folder_keeps_all_columns_and_widens_types(spark, scratch):
+    out = os.path.join(scratch, "mixed")
+    parts = [spark.createDataFrame([(1, 2, 1.5)], "a int, b int, c float"),
+             spark.createDataFrame([(2.25, 1 << 40, "x")], "c double, a bigint, d string"),
+             spark.createDataFrame([(3, "y")], "b bigint, d string")]
+    for k, p in enumerate(parts):
+        p.coalesce(1).write.mode("append").parquet(os.path.join(out, f"p{k}.d"))
+    flat = os.path.join(scratch, "flat")
+    os.makedirs(flat)
+    for k in range(3):
+        d = os.path.join(out, f"p{k}.d")
+        name = next(n for n in os.listdir(d) if n.endswith(".parquet"))
+        os.link(os.path.join(d, name), os.path.join(flat, f"f{k}.parquet"))
+    assert {f.name: f.dataType.simpleString() for f in files.folder_schema(spark, flat).fields} == {
+        "a": "bigint", "b": "bigint", "c": "double", "d": "string"}
+    got = files.read_subject_folder(spark, flat).select("a", "b", "c", "d").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 2, 1.5, None), (1 << 40, None, 2.25, "x"), (None, 3, None, "y")], key=str)
+    bad = os.path.join(scratch, "bad")
+    spark.createDataFrame([("z",)], "a string").coalesce(1).write.parquet(bad)
+    name = next(n for n in os.listdir(bad) if n.endswith(".parquet"))
+    os.link(os.path.join(bad, name), os.path.join(flat, "z.parquet"))
+    with pytest.raises(ValueError, match=r"'a' is bigint.*|'a' is int.*z\.parquet"):
+        files.folder_schema(spark, flat)
+    assert files.read_subject_folder(spark, os.path.join(scratch, "none")).columns == []
+
+
+def test_ids_in_order_of_first_appearance(spark, scratch):
+    path = os.path.join(scratch, "stored")
+    order = [9, 4, 9, 7, 4, 1, 7]
+    spark.createDataFrame([(i, k) for k, i in enumerate(order)], "id int, k int").coalesce(1).write.parquet(path)
+    stored = files.with_file_position(spark, path)
+    got = observations.reindex(stored, {"t": spark.createDataFrame([(7, "x"), (5, "y")], "id int, v string")}, order="appearance")
+    assert rows(got["mapping"], "id", "new_id") == [(1, 3), (4, 1), (7, 2), (9, 0)]
+    assert rows(got["t"], "id", "new_id", "v") == [(7, 2, "x")]
+    assert rows(observations.reindex(stored, {})["mapping"], "id", "new_id") == [(1, 0), (4, 1), (7, 2), (9, 3)]
+    with pytest.raises(ValueError):
+        observations.reindex(stored, {}, order="size")
 
 
 def test_sequenced_stays_hot_subject_matches_window(spark):
@@ -401,6 +485,75 @@ def test_nearest_ticks_is_linear_in_a_long_series(spark):
     assert (got.n, got.near) == (40000, 40000) and time.perf_counter() - t0 < 10
 
 
+def test_nearest_ticks_of_one_id_are_many_tasks(spark):
+    """A hot id's ticks meet in slices of a bounded number of rows; neighbours are found across empty slices."""
+    evals = spark.range(0, 3000, 7).selectExpr("1L AS id", "int(id) AS tick").union(spark.createDataFrame([(2, 5), (3, 50), (4, -90)], "id long, tick int"))
+    pred = spark.range(0, 3000, 13).where("id < 900 OR id > 2100").selectExpr("1L AS id", "int(id) AS tick").union(
+        spark.createDataFrame([(2, 4000), (2, -4000), (4, -1000), (4, 0), (5, 1)], "id long, tick int"))
+    p = {}
+    for r in pred.collect():
+        p.setdefault(r.id, []).append(r.tick)
+    want = sorted((r.id, r.tick, min(p.get(r.id, []), key=lambda x: (abs(x - r.tick), x), default=None)) for r in evals.collect())
+    for width in (10, 64, predictions.SLICE_TICKS):
+        got = predictions.nearest_ticks(evals, pred, width)
+        assert sorted((r.id, r.tick, r.matched_tick) for r in got.collect()) == want
+    big = predictions.nearest_ticks(spark.range(40000).selectExpr("1L AS id", "int(id * 3) AS tick"),
+                                    spark.range(40000).selectExpr("1L AS id", "int(id * 3 + 1) AS tick"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = big.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == 4  # every shuffle partition of the session works on the one id
+
+
+def test_first_rows_per_id_are_cut_before_the_shuffle(spark):
+    # id 1 holds ~90 % of the rows
+    obs = spark.range(0, 5000).selectExpr("if(id % 10 = 0, id % 7 + 2, 1L) AS id", "double(id) AS t", "double(id % 13) AS value_0", "1 AS mask_0")
+    got = observations.validation_split(obs, 100.0, 3, parts=("after",))["after"]
+    want = obs.where("t > 100").selectExpr("*", "row_number() OVER (PARTITION BY id ORDER BY t) AS rn").where("rn <= 3").drop("rn")
+    assert rows(got, "id", "t") == rows(want, "id", "t")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "rangepartitioning" not in plan
+    near = observations.validation_split(obs, 100.0, t_closest=200.5, parts=("after",))["after"]
+    want = obs.where("t > 100").selectExpr("*", "row_number() OVER (PARTITION BY id ORDER BY abs(t - 200.5), value_0, t) AS rn").where("rn = 1")
+    assert rows(near, "id", "t") == rows(want, "id", "t")
+    # a cut at 0 is a cut
+    zero = observations.validation_split(obs.withColumn("t", F.col("t") - 2000), -100.0, 1, t_val_from=0.0, parts=("after",))["after"]
+    assert zero.agg(F.min("t")).first()[0] == 0.0
+
+
+def test_nested_elements_are_whole(spark):
+    html = {1: '<div class="box">one <div>two</div> three</div> four',
+            2: '<div class="a box b">x<br>y<p class=box>in</div>z',
+            3: '<!-- <div class="box">no</div> --><span CLASS=\'box\'>unclosed <b>q',
+            4: '<div class="boxes">no</div><div data-x="a>b" class="box">yes<script>var a="<div class=box>";</script>!</div></div></p><i class="box"></i>',
+            5: None, 6: 'a < b <div class="box">1 < 2</div>', 7: '<ul><li class="box">a<ul><li class="box">b</li></ul>c</li></ul>', 8: "", 9: "no tags, box"}
+    pages = spark.createDataFrame(list(html.items()), "page_id int, html string")
+    got = web.class_texts(pages, "box")
+    assert rows(got, "page_id", "pos", "text") == [
+        (1, 0, "one two three"), (2, 0, "x y in"), (2, 1, "in"), (3, 0, "unclosed q"), (4, 0, "yes !"), (4, 1, ""), (6, 0, "1 < 2"),
+        (7, 0, "a b c"), (7, 1, "b")]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    # tokens joined are the page
+    back = pages.where("html IS NOT NULL").select("html", F.array_join(web.html_tokens(F.col("html")), "").alias("j"))
+    assert all(r.html == r.j for r in back.collect())
+    nested = ('<div class="tombstone-container"><div class="period-name"><b>Fri</b></div><div class="temp"><div>High:</div> 3</div>'
+              '<div class="short-desc">x</div></div><div class="temp">High: 9</div>')
+    one = web.next_high(spark.createDataFrame([(1, "A, B", nested), (2, "C", None)], "page_id int, location string, html string"))
+    assert rows(one, "page_id", "period", "temp", "description") == [(1, "Fri", 3, "x"), (2, None, None, None)]
+
+
+def test_profiles_are_parsed_once(spark):
+    raw = spark.createDataFrame([(1, "{broken"), (2, None), (3, "[]"), (4, '{"activities-summary":{"works":{"group":[{"work-summary":[{"title":'
+                                 '{"title":{"value":"T"}},"publication-date":{"year":{"value":1999}}}]}]}}}')], "profile_id int, body string")
+    for made, want in ((web.profile_affiliations(raw), []), (web.profile_works(raw), [(4, 0, "T", "1999")])):
+        assert sorted(map(tuple, made.collect())) == want
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("parseJson(") == 1
+    assert rows(web.parse_profiles(raw).selectExpr("profile_id", "parsed IS NULL AS bad"), "profile_id", "bad") == [
+        (1, True), (2, True), (3, False), (4, False)]
+
+
 def test_rounding_follows_the_step(spark):
     df = spark.createDataFrame([(0.75, 4.5, 0.15, 0.05)], "a double, b double, c double, d double")
     r = df.select(predictions.round_to_step(F.col("a"), 0.25).alias("a"), predictions.round_to_step(F.col("b"), 1.5).alias("b"),
@@ -482,6 +635,54 @@ def test_ensemble_on_separable_data(spark):
         assert r.p_mean == pytest.approx((r.p_lr + r.p_dt + r.p_svc) / 3) and r.pred == int(r.p_mean > 0.5)
 
 
+def test_kernel_model_separates_rings(spark):
+    import random
+
+    from chartwise.operators import classify
+
+    r = random.Random(1)
+    data = []
+    for i in range(600):
+        a, q = r.uniform(0, 2 * math.pi), (1.0 if i % 2 else 2.5) + r.gauss(0, 0.15)
+        data.append((i, [q * math.cos(a), q * math.sin(a)], i % 2))
+    df = metrics.with_class_weights(classify.with_features(spark.createDataFrame(data, "id int, embedding array<double>, label int")), "label")
+    train, test = df.where("id < 450"), df.where("id >= 450")
+    accuracy = {}
+    for kernel in ("rbf", "linear"):
+        model = classify.BalancedModels(train, which=("svc",), kernel=kernel)
+        accuracy[kernel] = classify.single_accuracy(model, "svc", test).agg(F.avg("ok")).first()[0]
+    assert accuracy["rbf"] >= 0.95 and accuracy["linear"] < 0.7
+    x = [v for p in data for v in p[1]]
+    mean = sum(x) / len(x)
+    assert classify.scale_gamma(df) == pytest.approx(1 / (2 * (sum((v - mean) ** 2 for v in x) / len(x))))
+    # the features' inner products are the kernel's values, more nearly the more there are
+    points = [p[1] for p in data[:30]]
+    errors = {}
+    for size in (64, 1024):
+        f = classify.FourierFeatures(2, 0.3, size, seed=4)
+        z = [row.z for row in spark.createDataFrame([(p,) for p in points], "x array<double>").select(f.of(F.col("x")).alias("z")).collect()]
+        errors[size] = sum(abs(sum(a * b for a, b in zip(z[i], z[j], strict=True)) - math.exp(-0.3 * math.dist(points[i], points[j]) ** 2))
+                           for i in range(30) for j in range(i)) / 435
+    assert errors[1024] < 0.03 < errors[64] < 0.2
+
+
+def test_certificates_hold_for_fits_and_fail_for_others(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from chartwise.operators import classify
+
+    data = spark.range(400).selectExpr("id", "int(id % 4 = 0) AS label", "array(double(id % 4 = 0) + (id % 9) * 0.2, double(id % 5)) AS embedding")
+    train = metrics.with_class_weights(classify.with_features(data), "label")
+    models = classify.BalancedModels(train)
+    got = {(r.model, r.check): r.ok for r in classify.certificates(models, train).collect()}
+    assert len(got) == 5 and all(got.values())
+    # the same models on rows they were not fitted on
+    other = metrics.with_class_weights(classify.with_features(data.withColumn("label", 1 - F.col("label"))), "label")
+    wrong = {(r.model, r.check): r.ok for r in classify.certificates(models, other).collect()}
+    assert not wrong["lr", "gradient near zero"] and not wrong["dt", "leaves give class shares"] and not wrong["svc", "objective near its minimum"]
+    assert models.lr.coefficients != Vectors.dense([0.0, 0.0])
+
+
 def test_checkpoint_folder_must_be_shared_off_local(spark):
     from chartwise import session
 
