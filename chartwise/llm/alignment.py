@@ -52,7 +52,7 @@ def piece_coder(model_file: str):
 
 
 def byte_coder(json_file: str, rank_file: str):
-    """(text -> ids with special strings as plain text, bytes of every id), once per worker."""
+    """(text -> ids with special strings as plain text, or None if they do not give the text back; bytes of every id), once per worker."""
     key = (json_file, rank_file)
     if key not in _loaded:
         ranks = tokens.ranks_of(rank_file)
@@ -60,16 +60,21 @@ def byte_coder(json_file: str, rank_file: str):
         for b, i in ranks.items():
             table[i] = b
         quick = tokens.fast(rank_file)
-
-        def ids(text: str) -> list[int]:
-            if tokens.beyond_ranks(text):
-                lib = tokens.library(json_file)
-                lib.encode_special_tokens = True
-                try:
-                    return lib.encode(text, add_special_tokens=False).ids
-                finally:
-                    lib.encode_special_tokens = False
-            return quick.encode_ordinary(text)
+        size = np.array([len(b) for b in table])
+
+        def ids(text: str) -> np.ndarray | None:
+            raw = text.encode()
+            if not tokens.beyond_ranks(text):
+                got = quick.encode_to_numpy(text, disallowed_special=())
+                # tokens are consecutive parts of the text: their sizes add up only if nothing is left out
+                return got if int(size[got].sum()) == len(raw) else None
+            lib = tokens.library(json_file)
+            lib.encode_special_tokens = True
+            try:
+                got = lib.encode(text, add_special_tokens=False).ids
+            finally:
+                lib.encode_special_tokens = False
+            return np.asarray(got) if b"".join(map(table.__getitem__, got)) == raw else None
 
         _loaded[key] = ids, table
     return _loaded[key]
@@ -112,17 +117,24 @@ def groups(ids_a: list[int], ids_b: list[int], upto_a: list[int], upto_b: list[i
         la, lb = ia, ib
 
 
-def _written(ids_a, ids_b, upto_a, upto_b) -> str:
-    """``a1,a2|b1;a3|b2,b3``: decimal ids of the groups."""
-    sa, sb = list(map(str, ids_a)), list(map(str, ids_b))
-    out: list[str] = []
-    la = lb = 0
-    for ia, ib in zip(upto_a, upto_b, strict=True):
-        a = sa[la] if ia - la == 1 else ",".join(sa[la:ia])
-        b = sb[lb] if ib - lb == 1 else ",".join(sb[lb:ib])
-        out.append(f"{a}|{b}")
-        la, lb = ia, ib
-    return ";".join(out)
+class Writer:
+    """Writes groups as ``a1,a2|b1;a3|b2,b3`` (decimal ids), from tables of every id with the mark that follows it."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.marked = [f"{i}{mark}" for n, marks in ((n_a, ",|"), (n_b, ",;")) for mark in marks for i in range(n)]
+        self.bases = (0, n_a, 2 * n_a, 2 * n_a + n_b)  # A within a group, A at its end, B within, B at its end
+
+    def text(self, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> str:
+        out = np.empty(len(a) + len(b), np.int64)
+        per_a, per_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        # a group's A ids come before its B ids: each id moves on by what the other side has written until then
+        at_a = np.arange(len(a)) + np.repeat(upto_b - per_b, per_a)
+        at_b = np.arange(len(b)) + np.repeat(upto_a, per_b)
+        out[at_a] = a + self.bases[0]
+        out[at_b] = b + self.bases[2]
+        out[at_a[upto_a - 1]] = a[upto_a - 1] + self.bases[1]
+        out[at_b[upto_b - 1]] = b[upto_b - 1] + self.bases[3]
+        return "".join(map(self.marked.__getitem__, out.tolist()))[:-1]
 
 
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>, pairs array<long>"
@@ -141,22 +153,20 @@ def aligned(docs: DataFrame, json_file: str, rank_file: str, model_file: str, ke
         sp, bytes_b = piece_coder(model_file)
         size_a = np.array([len(x) for x in bytes_a])
         size_b = np.array([len(x) for x in bytes_b])
+        writer = Writer(len(bytes_a), len(bytes_b))
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                a = encode_a(" " + text) if text else []
-                b = sp.encode(text, num_threads=1) if text else []
-                raw = SPACE + text.encode()
-                if not text or b"".join(map(bytes_a.__getitem__, a)) != raw or b"".join(map(bytes_b.__getitem__, b)) != raw:
-                    values = (doc, 0, 0, 0, "", [], [] if keep_groups else None)
-                else:
-                    na, nb = np.asarray(a), np.asarray(b)
-                    ua, ub = shared_ends(np.cumsum(size_a[na]), np.cumsum(size_b[nb]))
-                    sha = hashlib.sha256(_written(a, b, ua, ub).encode()).hexdigest()
-                    ka, kb = np.asarray(ua), np.asarray(ub)
-                    links = (na[ka - 1].astype(np.int64) << 32) | nb[kb - 1]
-                    cut = (np.diff(ka, prepend=0).astype(np.int64) << 32) | np.diff(kb, prepend=0) if keep_groups else None
+                values = (doc, 0, 0, 0, "", [], [] if keep_groups else None)
+                a = encode_a(" " + text) if text else None
+                ids_b = sp.encode(text, num_threads=1) if a is not None else []
+                if ids_b and b"".join(map(bytes_b.__getitem__, ids_b)) == SPACE + text.encode():
+                    b = np.asarray(ids_b)
+                    ua, ub = map(np.asarray, shared_ends(np.cumsum(size_a[a]), np.cumsum(size_b[b])))
+                    sha = hashlib.sha256(writer.text(a, b, ua, ub).encode()).hexdigest()
+                    links = (a[ua - 1].astype(np.int64) << 32) | b[ub - 1]
+                    cut = (np.diff(ua, prepend=0) << 32) | np.diff(ub, prepend=0) if keep_groups else None
                     values = (doc, len(a), len(b), len(ua), sha, links, cut)
                 for col, v in zip(cols, values, strict=True):
                     col.append(v)
