@@ -11,19 +11,24 @@ with every other; the work is dealt so that equal windows always meet.
    the bytes its windows cover (a segment).
 2. Segments that occur twice as a whole repeat in all their windows.
    Counting them moves 40 bytes per run, with map-side reduction, so a
-   passage copied into a third of all rows is a few rows.
+   passage copied into a third of all rows is a few rows. They are counted by
+   name: 128 bits of BLAKE2b of the whole string.
 3. One copy of every distinct segment whose gram occurs in another
-   segment goes to the shard of its gram. A shard sorts its suffixes
+   segment goes to the group of its gram, and groups go to tasks. A task
+   cuts its segments into shards of SHARD_BYTES. Each shard sorts its suffixes
    (Larsson-Sadakane refinement), takes common prefixes (Kasai) and marks
-   the windows that share 400 bytes with another.
-4. Segments of a gram with more than SPLIT_OVER of them have no suffix array:
-   every window is named and windows of equal names are counted. Whole
-   copies of a segment (step 2) are found by names as well.
+   the windows that share 400 bytes with another. Shards of one group are
+   merged by binary search: each one's windows are looked up among the
+   others' sorted suffixes.
+4. A group of over GROUP_BYTES is dealt further by a second anchor (the
+   smallest under another hash of the grams), by which its segments fall
+   into shorter runs: equal windows have that in common too. Its runs are
+   counted, and grouped by both grams, as segments were; then by a third
+   anchor. What still stands in groups that large has the same grams
+   around it everywhere and is cut into single windows, counted by name.
 5. Marked windows are carried back to all copies of their segment and cut
    out of the texts.
 
-Names are pairs of 64-bit hashes of the whole strings.
-
 Cases: null text is empty; texts under 400 bytes keep all bytes; rows that
 repeat a doc_id and text are repeats of each other; rows that share a
 doc_id but not the text are told apart; runs of one byte give one segment
@@ -40,16 +45,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import BYTE, chunks, drop, mix, nz, save, ship, span_hashes, text_bytes, trim
-from chartwise.llm.suffixes import common_prefixes, suffix_array
+from chartwise.llm.common import chunks, drop, mix, nz, save, ship, shuffle_width, span_hashes, text_bytes, trim
+from chartwise.llm.suffixes import common_prefixes, found_in, suffix_array
 
 LENGTH = 400
 GRAM = 128
 PIECE_BYTES = 256 << 10  # bytes worked on at a time (about 20 arrays of 8 bytes each)
 SHARD_BYTES = 512 << 10
-SPLIT_OVER = 1024
+GROUP_BYTES = 4 << 20
+TASK_BYTES = 2 << 20
+LEVELS = 3
 _POS = np.uint64((1 << 24) - 1)
-_OTHER = mix(BYTE)
 
 
 def _gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -70,25 +76,45 @@ def _leftmost_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1: n])
 
 
-def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """Runs of windows by anchor: row, start, windows, gram hash, two segment hashes (arrays)."""
+def _names(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit names of spans, as two columns of 64 bits."""
+    view = memoryview(np.ascontiguousarray(buf))
+    raw = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+    both = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def segments(buf: np.ndarray, off: np.ndarray, length: int, gram: int, level: int = 0):
+    """Runs of windows with the same ``level`` + 1 anchors: row, start, windows, group by all but the last anchor, group by all, names.
+
+    A group is named by the hashes of the grams at the anchors; without a last anchor to leave out it is 0.
+    """
     n = len(buf)
     if n < length:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 3
+        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int64)] * 4
     h = _gram_hashes(buf, gram)
     w = length - gram + 1
-    best = (_leftmost_min((h & ~_POS) | np.arange(len(h), dtype=np.uint64), w) & _POS).astype(np.int64)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(best)]
-    valid = np.arange(len(best)) + length <= off[row + 1]
-    edge = np.ones(len(best), bool)
-    edge[1:] = (best[1:] != best[:-1]) | (row[1:] != row[:-1]) | (valid[1:] != valid[:-1])
+    places = np.arange(len(h), dtype=np.uint64)
+    best = []
+    for k in range(level + 1):
+        salted = mix(h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) if k else h
+        best.append((_leftmost_min((salted & ~_POS) | places, w) & _POS).astype(np.int64))
+    m = len(best[0])
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:m]
+    valid = np.arange(m) + length <= off[row + 1]
+    edge = np.ones(m, bool)
+    edge[1:] = (row[1:] != row[:-1]) | (valid[1:] != valid[:-1])
+    for x in best:
+        edge[1:] |= x[1:] != x[:-1]
     first = np.flatnonzero(edge)
-    windows = np.diff(np.append(first, len(best)))
+    windows = np.diff(np.append(first, m))
     ok = valid[first]
     first, windows = first[ok], windows[ok]
-    end = first + windows - 1 + length
-    return [row[first], first - off[row[first]], windows, h[best[first]],
-            span_hashes(buf, first, end), span_hashes(buf, first, end, _OTHER)]
+    before = own = np.zeros(len(first), np.uint64)
+    for k, x in enumerate(best):
+        before, own = own, (mix(own + np.uint64(k)) ^ h[x[first]]) if k else h[x[first]]
+    return [row[first], first - off[row[first]], windows, before.view(np.int64), own.view(np.int64),
+            *_names(buf, first, first + windows - 1 + length)]
 
 
 def _pieces(buf: np.ndarray, off: np.ndarray, length: int):
@@ -114,10 +140,10 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             buf, off = text_bytes(batch.column(2))
             ids, hs = batch.column(0), batch.column(1)
             for part, po, a, shift in _pieces(buf, off, length):
-                row, start, windows, g, sa, sb = segments(part, po, length, gram)
+                row, start, windows, _, g, sa, sb = segments(part, po, length, gram)
                 at = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), hs.take(at), pa.array(start + shift), pa.array(windows), *(pa.array(x.view(np.int64)) for x in (g, sa, sb))],
+                    [ids.take(at), hs.take(at), pa.array(start + shift), pa.array(windows), *map(pa.array, (g, sa, sb))],
                     names=["doc_id", "_h", "start", "windows", "gram", "seg_a", "seg_b"])
         trim()
 
@@ -129,20 +155,40 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(d == 1).tolist(), np.flatnonzero(d == -1).tolist(), strict=True))
 
 
-def repeated_windows(parts: list[bytes], length: int) -> list[np.ndarray]:
+class Shard:
+    """Segments with their sorted windows; ``marked``: bytes at which a window starts that also starts elsewhere."""
+
+    def __init__(self, parts: list[bytes], length: int):
+        self.sizes = np.array([len(p) for p in parts])
+        self.ends = np.cumsum(self.sizes)
+        self.length = length
+        self.buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        order = suffix_array(self.buf, 2 * length)
+        lcp = common_prefixes(self.buf, order, length)
+        fits = order + length <= self.ends[np.searchsorted(self.ends, order, side="right")]
+        group = np.cumsum(lcp < length)
+        count = np.bincount(group, weights=fits)
+        self.marked = np.zeros(len(self.buf), bool)
+        self.marked[order] = fits & (count[group] > 1)
+        self.windows = order[fits]
+
+    def merge(self, other: Shard) -> None:
+        """Mark the windows of both that the other has too, by binary search in its sorted windows."""
+        for a, b in ((self, other), (other, self)):
+            a.marked[a.windows[found_in(a.buf, a.windows, b.buf, b.windows, self.length)]] = True
+
+    def flags(self) -> list[np.ndarray]:
+        return [self.marked[e - s: max(e - s, e - self.length + 1)] for s, e in zip(self.sizes, self.ends, strict=True)]
+
+
+def repeated_windows(parts: list[bytes], length: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """Per segment: which of its windows also start elsewhere in ``parts``."""
-    sizes = np.array([len(p) for p in parts])
-    ends = np.cumsum(sizes)
-    buf = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    order = suffix_array(buf, 2 * length)
-    lcp = common_prefixes(buf, order, length)
-    owner = np.searchsorted(ends, order, side="right")
-    fits = order + length <= ends[owner]
-    group = np.cumsum(lcp < length)
-    count = np.bincount(group, weights=fits)
-    marked = np.zeros(len(buf), bool)
-    marked[order] = fits & (count[group] > 1)
-    return [marked[e - s: max(e - s, e - length + 1)] for s, e in zip(sizes, ends, strict=True)]
+    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    shards = [Shard(parts[a:b], length) for a, b in chunks(off, shard_bytes)]
+    for i, one in enumerate(shards):
+        for other in shards[:i]:
+            one.merge(other)
+    return [f for s in shards for f in s.flags()]
 
 
 def _intervals(flags: np.ndarray, length: int) -> list[int]:
@@ -157,32 +203,37 @@ def _intervals(flags: np.ndarray, length: int) -> list[int]:
     return out
 
 
+_COVER = "seg_a long, seg_b long, cover array<int>"
+
+
 def _marked_in_shards(held: DataFrame, length: int) -> DataFrame:
-    """(seg_a, seg_b, cover) of segments with repeated windows; ``held``: shard, part, gram, seg_a, seg_b, bytes."""
+    """(seg_a, seg_b, cover) of segments with repeated windows; ``held``: grp, seg_a, seg_b, bytes."""
+    total = held.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    tasks = max(shuffle_width(held.sparkSession), -(-total // TASK_BYTES))
+    schema = pa.schema([("seg_a", pa.int64()), ("seg_b", pa.int64()), ("cover", pa.list_(pa.int32()))])
 
-    def whole(key, t):
-        for lo, hi in _groups_of(t, SHARD_BYTES):
+    def whole(t: pa.Table) -> pa.Table:
+        t = t.sort_by("grp")  # rows come in the order of the join before
+        out = []
+        for lo, hi in _groups_of(t, SHARD_BYTES):  # whole groups; one of over SHARD_BYTES by itself, in several shards
             sub = t.slice(lo, hi - lo)
             flags = repeated_windows([x.as_py() for x in sub.column("bytes")], length)
             keep = [i for i, f in enumerate(flags) if f.any()]
-            yield pa.RecordBatch.from_pydict({
-                "seg_a": sub.column("seg_a").take(pa.array(keep, pa.int64())).combine_chunks(),
-                "seg_b": sub.column("seg_b").take(pa.array(keep, pa.int64())).combine_chunks(),
-                "cover": pa.array([_intervals(flags[i], length) for i in keep], pa.list_(pa.int32()))})
-
-    def whole_table(t):
-        got = list(whole(None, t.sort_by("gram")))  # rows come in the order of the join before
-        schema = pa.schema([("seg_a", pa.int64()), ("seg_b", pa.int64()), ("cover", pa.list_(pa.int32()))])
-        out = pa.Table.from_batches([b.cast(schema) for b in got], schema)
+            out.append(pa.RecordBatch.from_arrays([
+                sub.column("seg_a").take(pa.array(keep, pa.int64())).combine_chunks(),
+                sub.column("seg_b").take(pa.array(keep, pa.int64())).combine_chunks(),
+                pa.array([_intervals(flags[i], length) for i in keep], pa.list_(pa.int32()))], schema=schema))
         trim()
-        return out
+        return pa.Table.from_batches(out, schema)
 
-    return held.groupBy("shard").applyInArrow(whole_table, "seg_a long, seg_b long, cover array<int>")
+    # the number of tasks is stated: adaptive execution would join tasks by their bytes, and sorting costs far more a byte than reading
+    dealt = held.withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(tasks))).repartition(tasks, "task")
+    return dealt.groupBy("task").applyInArrow(whole, _COVER)
 
 
 def _groups_of(t: pa.Table, limit: int):
-    """Row ranges of whole grams of about ``limit`` bytes in a table sorted by gram."""
-    gram = t.column("gram").to_numpy()
+    """Row ranges of whole groups of about ``limit`` bytes in a table sorted by group."""
+    gram = t.column("grp").to_numpy()
     size = np.array([len(x.as_py()) for x in t.column("bytes")])
     edges = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
     total = np.concatenate([[0], np.cumsum(size)])
@@ -193,43 +244,71 @@ def _groups_of(t: pa.Table, limit: int):
             lo = int(edges[k])
 
 
-def _names(held: DataFrame, length: int) -> DataFrame:
-    """One row per window of the segments of split grams, with the window's name."""
+def _finer(hot: DataFrame, length: int, gram: int, level: int) -> DataFrame:
+    """Runs of the segments in ``hot`` by one more anchor: seg_a, seg_b, at, before (group one level up), grp, sub_a, sub_b, bytes.
 
-    def run(batches):
-        for batch in batches:
-            parts = [x.as_py() for x in batch.column(3)]
-            for i, p in enumerate(parts):
-                b = np.frombuffer(p, np.uint8)
-                s = np.arange(len(b) - length + 1)
-                a, c = span_hashes(b, s, s + length), span_hashes(b, s, s + length, _OTHER)
-                at = pa.array(np.full(len(s), i))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(at) for k in range(3)), pa.array(s.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))],
-                    names=["gram", "seg_a", "seg_b", "at", "name_a", "name_b"])
-
-    return held.select("gram", "seg_a", "seg_b", "bytes").mapInArrow(
-        run, "gram long, seg_a long, seg_b long, at int, name_a long, name_b long")
-
-
-def _marked_in_split(held: DataFrame, length: int) -> DataFrame:
-    """As ``_marked_in_shards`` for grams too frequent for one shard: windows meet by name."""
-    names = _names(held, length)
-    twice = names.groupBy("name_a", "name_b").agg(F.count("*").alias("n")).filter("n > 1")
-    hit = names.join(twice, ["name_a", "name_b"]).groupBy("seg_a", "seg_b").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    Beyond the last level every window is a run, and its name its group.
+    """
+    names = ["seg_a", "seg_b", "at", "before", "grp", "sub_a", "sub_b", "bytes"]
 
     def run(batches):
         for batch in batches:
-            cover = []
-            for ats in batch.column(2):
-                at = ats.values.to_numpy()
-                flags = np.zeros(int(at[-1]) + 1, bool)
-                flags[at] = True
-                cover.append(_intervals(flags, length))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cover, pa.list_(pa.int32()))],
-                                             names=["seg_a", "seg_b", "cover"])
+            parts = [x.as_py() for x in batch.column(2)]
+            buf = np.frombuffer(b"".join(parts), np.uint8)
+            off = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            for a, b in chunks(off, PIECE_BYTES):
+                po = off[a: b + 1] - off[a]
+                part = buf[off[a]: off[b]]
+                row, start, windows, before, own, sa, sb = segments(part, po, length, gram, min(level, LEVELS - 1))
+                if level >= LEVELS:
+                    first = np.repeat(po[row] + start, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                    row, before = np.repeat(row, windows), np.repeat(own, windows)
+                    start, windows = first - po[row], np.ones(len(row), np.int64)
+                    sa, sb = _names(part, first, first + length)
+                    own = sa
+                lo = po[row] + start
+                data = [part[x:y].tobytes() for x, y in zip(lo.tolist(), (lo + windows - 1 + length).tolist(), strict=True)]
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), *map(pa.array, (before, own, sa, sb)),
+                     pa.array(data, pa.binary())], names=names)
+        trim()
 
-    return hit.mapInArrow(run, "seg_a long, seg_b long, cover array<int>")
+    return hot.select("seg_a", "seg_b", "bytes").mapInArrow(
+        run, "seg_a long, seg_b long, at int, before long, grp long, sub_a long, sub_b long, bytes binary")
+
+
+def _marked(held: DataFrame, length: int, gram: int) -> list[DataFrame]:
+    """Tables (seg_a, seg_b, cover) of the windows that ``held`` (grp, seg_a, seg_b, bytes; distinct) shares among its segments."""
+    found = []
+    units, runs = held, None  # at finer levels units are distinct runs; ``runs`` says where they stand in segments
+    for level in range(LEVELS + 1):
+        sizes = units.groupBy("grp").agg(F.sum(F.octet_length("bytes")).alias("_bytes"), F.count("*").alias("_n"))
+        sized = units.join(sizes.filter("_n > 1"), "grp")
+        if level < LEVELS:
+            cover = save(_marked_in_shards(sized.filter(F.col("_bytes") <= GROUP_BYTES).select("grp", "seg_a", "seg_b", "bytes"), length))
+            found.append(cover if runs is None else _placed(runs, cover))
+        if level == LEVELS:
+            break
+        large = save(sizes.filter(F.col("_bytes") > GROUP_BYTES).select(F.col("grp").alias("before")))
+        if not large.limit(1).count():
+            break
+        # the segments that stand in such a group, by one more anchor; of their runs those of such a group
+        hot = held.join(large.toDF("grp"), "grp", "left_semi") if runs is None else held.join(
+            runs.join(large.toDF("grp"), "grp", "left_semi").select("seg_a", "seg_b").distinct(), ["seg_a", "seg_b"], "left_semi")
+        runs = save(_finer(hot, length, gram, level + 1).join(large, "before", "left_semi"))
+        counted = runs.groupBy("grp", "sub_a", "sub_b").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+        units = save(counted.select("grp", F.col("sub_a").alias("seg_a"), F.col("sub_b").alias("seg_b"), "n", "bytes"))
+        runs = runs.drop("bytes")
+        found.append(_placed(runs, units.filter("n > 1").select("seg_a", "seg_b", F.array(F.lit(0), F.octet_length("bytes")).alias("cover"))))
+        units = units.drop("n")
+    return found
+
+
+def _placed(runs: DataFrame, cover: DataFrame) -> DataFrame:
+    """Covers of runs as covers of the segments they stand in."""
+    return runs.join(cover.toDF("sub_a", "sub_b", "cover"), ["sub_a", "sub_b"]).select(
+        "seg_a", "seg_b", F.transform("cover", lambda x: x + F.col("at")).alias("cover"))
 
 
 def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -242,40 +321,39 @@ def _cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, _h, spans): per text with repeats, sorted byte ranges [from, to, from, to, ...] to remove."""
+    """(doc_id, _h, runs): per text with repeats, what its segments say is to go: start and byte ranges [from, to, ...] from there."""
     runs = save(anchors(docs, length, gram))
     segs = save(runs.groupBy("gram", "seg_a", "seg_b").agg(
         F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("_h").alias("_h"),
         F.first("start").alias("start"), (F.first("windows") + length - 1).alias("size")))
-    grams = segs.groupBy("gram").agg(F.count("*").alias("segs"), F.sum("size").alias("bytes")).filter("segs > 1")
-    wanted = segs.join(grams.select("gram", "segs"), "gram")
-    held = save(_cut(docs, wanted).join(grams.select("gram", "segs"), "gram"))
-    total = held.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    shards = max(1, int(total // SHARD_BYTES) + 1)
-    small = (held.filter(F.col("segs") <= SPLIT_OVER)
-             .withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
-             .select("shard", "gram", "seg_a", "seg_b", "bytes"))
-    cover = save(_marked_in_shards(small, length).union(_marked_in_split(held.filter(F.col("segs") > SPLIT_OVER), length)))
-    drop(held)
+    grams = segs.groupBy("gram").agg(F.count("*").alias("segs")).filter("segs > 1")
+    held = save(_cut(docs, segs.join(grams.select("gram"), "gram")).withColumnRenamed("gram", "grp"))
     whole = segs.filter("n > 1").select("seg_a", "seg_b", F.array(F.lit(0), F.col("size").cast("int")).alias("cover"))
-    part = cover.join(whole.select("seg_a", "seg_b"), ["seg_a", "seg_b"], "left_anti")
-    hits = runs.join(whole.unionByName(part), ["seg_a", "seg_b"]).select("doc_id", "_h", "start", "cover")
+    hits = whole
+    for cover in _marked(held, length, gram):
+        hits = hits.unionByName(cover)
+    found = runs.join(hits, ["seg_a", "seg_b"]).select("doc_id", "_h", "start", "cover")
+    drop(held)
     # rows that repeat (doc_id, text) give the same ranges again
-    return hits.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "cover")).alias("runs")).select(
-        "doc_id", "_h", F.expr(
-            "aggregate(sort_array(flatten(transform(runs, r -> transform(sequence(0, int(size(r.cover) / 2) - 1),"
-            " i -> struct(r.start + r.cover[2 * i] AS a, r.start + r.cover[2 * i + 1] AS b))))),"
-            " cast(array() as array<bigint>),"
-            " (acc, x) -> if(size(acc) > 0 and x.a <= element_at(acc, -1),"
-            "   if(x.b > element_at(acc, -1), concat(slice(acc, 1, size(acc) - 1), array(x.b)), acc),"
-            "   concat(acc, array(x.a, x.b))))").alias("spans"))
+    return found.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "cover")).alias("runs"))
+
+
+def _merged(runs) -> list[tuple[int, int]]:
+    """Sorted byte ranges, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((r["start"] + x, r["start"] + y) for r in runs or () for x, y in zip(r["cover"][::2], r["cover"][1::2], strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs``; kept: the remaining bytes."""
-    spans = covered(docs, length, gram).toDF("_id", "_g", "spans")
+    spans = covered(docs, length, gram).toDF("_id", "_g", "runs")
     text = docs.select(F.col("doc_id").cast("long"), F.xxhash64(nz()).alias("_h"), "text")
-    both = text.join(spans, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_g") == F.col("_h")), "left").select("doc_id", "text", "spans")
+    both = text.join(spans, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_g") == F.col("_h")), "left").select("doc_id", "text", "runs")
 
     def run(batches):
         for batch in batches:
@@ -283,17 +361,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             cols: list[list] = [[], [], [], [], []]
             for i, s in enumerate(batch.column(2)):
                 raw = buf[off[i]: off[i + 1]].tobytes()
-                s = s.as_py() or []
+                spans = _merged(s.as_py())
                 out, last, gone = [], 0, 0
-                for a, b in zip(s[::2], s[1::2], strict=True):
+                for a, b in spans:
                     out.append(raw[last:a])
                     gone += b - a
                     last = b
                 left = b"".join([*out, raw[last:]])
-                for c, v in zip(cols, (len(raw), gone, len(s) // 2, hashlib.sha256(left).hexdigest(), left), strict=True):
+                for c, v in zip(cols, (len(raw), gone, len(spans), hashlib.sha256(left).hexdigest(), left), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        trim()
 
     return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

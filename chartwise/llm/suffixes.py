@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement and Kasai common prefixes."""
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, Kasai common prefixes, and binary search in sorted windows."""
 
 from __future__ import annotations
 
@@ -138,3 +138,37 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
     by_place[~has] = 0
     lcp[1:] = np.minimum(by_place[order[1:]], most)
     return lcp
+
+
+def _against(words_a: np.ndarray, at_a: np.ndarray, words_b: np.ndarray, at_b: np.ndarray, length: int) -> np.ndarray:
+    """-1, 0 or 1 per pair of windows of ``length`` bytes, compared eight bytes at a time."""
+    out = np.zeros(len(at_a), np.int8)
+    open_ = np.arange(len(at_a))
+    cut = np.uint64(8 * max(0, 8 - length))
+    for k in [*range(0, max(1, length - 7), 8), *([length - 8] if length > 8 and length % 8 else [])]:
+        x, y = words_a[at_a[open_] + k] >> cut, words_b[at_b[open_] + k] >> cut
+        differ = x != y
+        out[open_[differ]] = np.where(x[differ] < y[differ], -1, 1)
+        open_ = open_[~differ]
+        if not len(open_):
+            break
+    return out
+
+
+def found_in(buf_a: np.ndarray, at_a: np.ndarray, buf_b: np.ndarray, sorted_b: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of ``buf_a`` (starts ``at_a``) equal one of ``buf_b``, whose starts ``sorted_b`` are in order of their windows."""
+    if not len(at_a) or not len(sorted_b):
+        return np.zeros(len(at_a), bool)
+    a, b = _eight(buf_a).astype(np.uint64), _eight(buf_b).astype(np.uint64)
+    lo, hi = np.zeros(len(at_a), np.int64), np.full(len(at_a), len(sorted_b), np.int64)
+    todo = np.arange(len(at_a))
+    while len(todo):
+        mid = (lo[todo] + hi[todo]) // 2
+        above = _against(a, at_a[todo], b, sorted_b[mid], length) > 0
+        lo[todo[above]] = mid[above] + 1
+        hi[todo[~above]] = mid[~above]
+        todo = todo[lo[todo] < hi[todo]]
+    inside = np.flatnonzero(lo < len(sorted_b))
+    out = np.zeros(len(at_a), bool)
+    out[inside] = _against(a, at_a[inside], b, sorted_b[lo[inside]], length) == 0
+    return out
