@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -114,14 +115,32 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+LONG_SPAN = 64
+
+
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
-    """64-bit hash of every span of ``buf``: differences of one running polynomial sum, then mixed."""
+    """64-bit hash of every span of ``buf``: differences of one running polynomial sum, then mixed.
+
+    Such sums modulo 2^64 collide for self-similar strings of 1,024 bytes
+    and more: ``word_hashes`` names spans of any length.
+    """
     n = len(buf)
     run = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values[buf] * _power("up", _BASE, n), out=run[1:])
     return mix((run[end] - run[start]) * _power("down", _BACK, n + 1)[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of every span; those of over LONG_SPAN bytes by BLAKE2b."""
+    out = span_hashes(buf, start, end)
+    long = np.flatnonzero(end - start > LONG_SPAN)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        raw = b"".join(hashlib.blake2b(view[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True))
+        out[long] = np.frombuffer(raw, "<u8")
+    return out
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -19,7 +19,10 @@ probability J, so similar documents retain nearly the same values.
 3. Union sketch: the K smallest values of both sketches together, and how
    many of them both hold, estimate J. Pairs below LEAST_ESTIMATE
    (six standard deviations below 0.8) are dropped.
-4. The full shingle sets confirm the rest exactly.
+4. The full shingle sets confirm the rest exactly. Shingles are told apart by
+   64-bit hashes of their words (words of over 64 bytes: of BLAKE2b), so a
+   link can be wrong only where different shingles of the two texts collide:
+   for two texts of n shingles with probability n^2 / 2^64.
 
 Lists are not expanded into all pairs. First each member is paired with
 the list's first member and with its neighbours in the list; confirmed
@@ -45,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import boxed, chunks, drop, lower, mix, nz, save, ship, span_hashes, text_bytes, trim, word_spans
+from chartwise.llm.common import boxed, chunks, drop, lower, mix, nz, save, ship, text_bytes, trim, word_hashes, word_spans
 from chartwise.llm.components import components
 from chartwise.operators.joins import join_derived
 
@@ -65,7 +68,7 @@ def shingle_sets(text: pa.Array, words: int):
         part = lower(buf[off[a]: off[b]])
         rows = off[a: b + 1] - off[a]
         start, end, row = word_spans(part, rows)
-        h = span_hashes(part, start, end)
+        h = word_hashes(part, start, end)
         first = np.searchsorted(row, np.arange(b - a + 1))
         full = max(0, len(h) - words + 1)
         sh = np.zeros(full, np.uint64)
