@@ -4,19 +4,22 @@ Three patterns give the base findings: assignments to a password-like
 name, access keys, and long runs of hex digits. Two first-order Markov
 models over characters add to them: one of random strings, trained on the
 values the patterns found, one of ordinary identifiers, trained on words
-of up to 19 characters that no pattern found. A run of 20 or more characters of the value alphabet is
-reported as ``markov`` if the log-likelihood ratio of the two models
-exceeds a threshold and it overlaps no base finding.
+of up to 19 characters that no pattern found. Of a run of 20 or more characters
+of the value alphabet, the parts outside base findings are scored together;
+each is reported as ``markov`` if their log-likelihood ratio of the two
+models exceeds a threshold. So a long secret of which a pattern finds only
+a piece is found whole, and base findings stay as they are.
 
-Labelled samples: at most SAMPLE strings of each class (those with the
-smallest hash; words come from the SAMPLE_DOCS documents whose id hashes
-lowest). Half trains the models; the threshold is the largest ratio of
-FALSE_SHARE of the other half's ordinary strings, at least 0.
+Labelled samples: of the distinct values and words of all documents, those
+with the smallest hash, at most SAMPLE of each class. Half trains the models;
+the threshold is the largest ratio of FALSE_SHARE of the other half's
+ordinary strings, at least 0.
 
 One pass over the texts extracts findings and candidate runs with their
 places; training and scoring read that small table. Places come from the
 pieces between matches: a match starts after all earlier pieces and
-matches. Nothing is shuffled but bigram counts.
+matches. They are added up in blocks of BLOCK matches, since arrays grow by
+copying. Nothing is shuffled but distinct words and values, and bigram counts.
 
 Cases: null text is empty and has no findings; repeated rows are scanned
 each; without random (or ordinary) samples that model is uniform; long
@@ -42,13 +45,24 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_]{5,18}(?![A-Za-z0-9+/_=-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 SAMPLE = 20_000
-SAMPLE_DOCS = 2_000
+BLOCK = 256
 FALSE_SHARE = 0.999
 FALL_BACK = 100.0
 MASK = "[SECRET]"
 _SIDE = len(ALPHABET) + 1
 
 
+def _let(value: Column, made) -> Column:
+    """``made`` of ``value``, which is evaluated once however often ``made`` names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items."""
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * BLOCK + 1, BLOCK))
+
+
 def _found(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """array<struct<a,k,b,ab,bb,v>>: code-point range, kind, byte range and value of every match, left to right."""
     p = F.lit(pattern)
@@ -57,6 +71,15 @@ def _found(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colum
     items = F.zip_with(F.arrays_zip(whole.alias("m"), value.alias("v")), F.split(text, pattern, -1),
                        lambda x, gap: F.struct(gap.alias("g"), x["m"].alias("m"), x["v"].alias("v")))
     none = F.array().cast("array<struct<a:int,k:int,b:int,ab:int,bb:int,v:string>>")
+    items = F.filter(items, lambda x: x["m"].isNotNull())  # the piece after the last match pairs with no match
+    size = lambda x, of: of(x["g"]) + of(x["m"])
+
+    def total(block, of):
+        return F.aggregate(block, F.lit(0), lambda n, x: n + size(x, of))
+
+    def start(state, block):
+        return F.struct((state["a"] + total(block, F.length)).alias("a"), (state["ab"] + total(block, F.octet_length)).alias("ab"),
+                        F.concat(state["out"], F.array(F.struct(state["a"].alias("a"), state["ab"].alias("ab")))).alias("out"))
 
     def add(state, x):
         a, ab = state["a"] + F.length(x["g"]), state["ab"] + F.octet_length(x["g"])
@@ -64,9 +87,15 @@ def _found(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colum
         one = F.struct(a.alias("a"), F.lit(kind).alias("k"), b.alias("b"), ab.alias("ab"), bb.alias("bb"), x["v"].alias("v"))
         return F.struct(b.alias("a"), bb.alias("ab"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    # the piece after the last match pairs with no match
-    found = F.aggregate(F.filter(items, lambda x: x["m"].isNotNull()),
-                        F.struct(F.lit(0).alias("a"), F.lit(0).alias("ab"), none.alias("out")), add, lambda s: s["out"])
+    def starts(bl):
+        return F.aggregate(bl, F.struct(F.lit(0).alias("a"), F.lit(0).alias("ab"), F.array().cast("array<struct<a:int,ab:int>>").alias("out")),
+                           start, lambda s: s["out"])
+
+    def places(bl, st):
+        return F.flatten(F.zip_with(bl, st, lambda block, at: F.aggregate(
+            block, F.struct(at["a"].alias("a"), at["ab"].alias("ab"), none.alias("out")), add, lambda s: s["out"])))
+
+    found = _let(items, lambda it: _let(_blocks(it), lambda bl: _let(starts(bl), lambda st: places(bl, st))))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -94,9 +123,7 @@ def _pairs(s: Column) -> Column:
 def samples(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """(s, random, held): labelled strings, half of them held out."""
     values = scanned.select(F.explode("base.v").alias("s")).filter(F.length("s") >= 8)
-    lowest = docs.select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
-    words = (docs.select("doc_id", "text").join(F.broadcast(lowest), F.col("doc_id") == F.col("_id"), "left_semi")
-             .select(F.explode(F.regexp_extract_all(nz(), F.lit(WORD), F.lit(0))).alias("s")))
+    words = docs.select(F.explode(F.regexp_extract_all(nz(), F.lit(WORD), F.lit(0))).alias("s"))
 
     def lowest_hash(strings, random):
         one = strings.distinct().orderBy(F.xxhash64("s"), "s").limit(SAMPLE)
@@ -139,8 +166,34 @@ def findings(docs: DataFrame) -> DataFrame:
     """(doc_id, _h, base, added): base findings and those the models add, per row of ``docs``."""
     scanned = save(scan(docs))
     ratio, least = train(samples(docs, scanned))
-    clear = F.filter("runs", lambda x: ~F.exists("base", lambda y: (y["a"] < x["b"]) & (x["a"] < y["b"])))
-    return scanned.select("doc_id", "_h", "base", F.filter(clear, lambda x: score(x["v"], ratio) > least).alias("added"))
+    # the base findings that meet a block of runs first, then those that meet a run: both are in order of their places
+    outside = F.flatten(F.transform(_blocks(F.col("runs")), lambda block: _let(_meeting(F.col("base"), block), lambda near: F.transform(
+        block, lambda x: _outside(x, near)))))
+    random = F.filter(outside, lambda parts: F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + score(p["v"], ratio)) > least)
+    return scanned.select("doc_id", "_h", "base", F.flatten(random).alias("added"))
+
+
+def _meeting(base: Column, block: Column) -> Column:
+    first, last = F.get(block, F.lit(0)), F.element_at(block, -1)
+    return F.when(F.size(block) == 0, F.slice(base, 1, 0)).otherwise(F.filter(base, lambda y: (y["a"] < last["b"]) & (first["a"] < y["b"])))
+
+
+def _outside(run: Column, base: Column) -> Column:
+    """The parts of a run that no base finding covers, in order (a run is ASCII, so places in it are bytes and code points)."""
+    def part(a, b):
+        return F.struct(a.alias("a"), F.lit(KINDS.index("markov")).alias("k"), b.alias("b"), (run["ab"] + (a - run["a"])).alias("ab"),
+                        (run["ab"] + (b - run["a"])).alias("bb"), F.substring(run["v"], a - run["a"] + 1, b - a).alias("v"))
+
+    def cut(state, y):
+        return F.struct(F.greatest(state["at"], y["b"]).alias("at"), F.when(y["a"] > state["at"], F.concat(
+            state["out"], F.array(part(state["at"], y["a"])))).otherwise(state["out"]).alias("out"))
+
+    def rest(state):
+        return F.when(state["at"] < run["b"], F.concat(state["out"], F.array(part(state["at"], run["b"])))).otherwise(state["out"])
+
+    met = F.filter(base, lambda y: (y["a"] < run["b"]) & (run["a"] < y["b"]))
+    none = F.array().cast("array<struct<a:int,k:int,b:int,ab:int,bb:int,v:string>>")
+    return F.when(F.size(met) == 0, F.array(run)).otherwise(F.aggregate(met, F.struct(run["a"].alias("at"), none.alias("out")), cut, rest))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
@@ -163,19 +216,30 @@ def redact(docs: DataFrame) -> DataFrame:
         F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["ab"].alias("a"), x["bb"].alias("b")))).alias("_s"))
     rows = boxed(docs, _doc=F.col("doc_id"), _text=F.col("text"), _h=F.xxhash64(nz()))
     both = rows.join(spans, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    raw = F.col("_text").cast("binary")
 
-    def piece(a, b):
+    def piece(raw, a, b):
         return F.substring(raw, a + 1, b - a).cast("string")
 
-    def add(state, x):  # overlapping findings share one mask
-        return F.struct(
-            F.greatest(state["at"], x["b"]).alias("at"),
-            F.when((x["a"] < state["at"]) & (state["at"] > 0), state["out"]).otherwise(
-                F.concat(state["out"], F.array(piece(state["at"], x["a"]), F.lit(MASK)))).alias("out"))
-
-    masked = F.aggregate("_s", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add,
-                         lambda s: F.concat(F.array_join(s["out"], ""), piece(s["at"], F.octet_length("_text"))))
+    def ends(state, block):  # how far the findings before each block reach
+        return F.struct(F.greatest(state["at"], F.coalesce(F.array_max(F.transform(block, lambda x: x["b"])), F.lit(-1))).alias("at"),
+                        F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def add(raw):
+        def one(state, x):  # findings that overlap or touch share one mask
+            return F.struct(
+                F.greatest(state["at"], x["b"]).alias("at"),
+                F.when(x["a"] <= state["at"], state["out"]).otherwise(
+                    F.concat(state["out"], F.array(piece(raw, F.greatest(state["at"], F.lit(0)), x["a"]), F.lit(MASK)))).alias("out"))
+        return one
+
+    def pieces(raw, blocks):
+        starts = F.aggregate(blocks, F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out")), ends, lambda s: s["out"])
+        return F.flatten(_let(starts, lambda st: F.zip_with(blocks, st, lambda block, at: F.aggregate(
+            block, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), add(raw), lambda s: s["out"]))))
+
+    reach = F.array_max(F.transform("_s", lambda x: x["b"]))
+    masked = _let(F.col("_text").cast("binary"), lambda raw: F.concat(
+        F.array_join(_let(_blocks(F.col("_s")), lambda blocks: pieces(raw, blocks)), ""), piece(raw, reach, F.octet_length("_text"))))
     out = both.select("_row", F.when(F.col("_s").isNull(), F.col("_text")).otherwise(masked).alias("_text"))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
