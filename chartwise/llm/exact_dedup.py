@@ -3,9 +3,10 @@
 A text's bytes are cut into fixed-size blocks. The distinct blocks are
 sorted and numbered, so equal numbers mean equal bytes; then adjacent
 pairs of numbers are sorted and numbered, level after level, until each
-document is left with one number. No result rests on a hash being free of
-collisions: a SHA-256 of a block only routes it to its number, and two
-blocks meeting under one digest stop the run.
+document is left with one number. Numbers are dealt task by task, each of
+which sorts its own share. A SHA-256 of a block routes it to its number, and two
+blocks meeting under one digest stop the run; rows that share a doc_id are
+told apart by the SHA-256 of their texts. No result rests on a shorter hash.
 
 Block texts cross the network once, as a distinct with map-side
 reduction; everything after it moves numbers. A block, pair or text that
@@ -30,6 +31,11 @@ from chartwise.llm.common import boxed, drop, nz, save
 BLOCK_BYTES = 8192
 
 
+def _identity(text):
+    """What tells texts of one doc_id apart."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def _number(distinct: DataFrame, cols: list[str], out: str) -> DataFrame:
     """Number the distinct rows: every task sorts its share and counts on from its partition's base."""
     return distinct.sortWithinPartitions(*cols).withColumn(out, F.monotonically_increasing_id())
@@ -38,7 +44,7 @@ def _number(distinct: DataFrame, cols: list[str], out: str) -> DataFrame:
 def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, _h, level, name) per distinct (doc_id, text); equal (level, name) means equal text."""
     text = nz()
-    raw = docs.select("doc_id", F.xxhash64(text).alias("_h"), text.cast("binary").alias("_b"))
+    raw = docs.select("doc_id", _identity(text).alias("_h"), text.cast("binary").alias("_b"))
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("_b") / block_bytes)).cast("int")
     blocks = raw.select(
         "doc_id", "_h", count.alias("_n"),
@@ -77,7 +83,7 @@ def name_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select("doc_id", F.xxhash64(nz()).alias("_h"), F.sha2(nz().cast("binary"), 256).alias("text_sha256"))
+    rows = docs.select("doc_id", _identity(nz()).alias("_h"), F.sha2(nz().cast("binary"), 256).alias("text_sha256"))
     names = name_texts(docs, block_bytes).withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_g")
     named = save(rows.join(names, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")))
                  .select("doc_id", "text_sha256", "level", "name"))
