@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import boxed, chunks, lower, mix, ship, span_hashes, text_bytes
+from chartwise.llm.common import boxed, chunks, lower, mix, ship, text_bytes, word_hashes
 
 BUCKETS = 1 << 14
 LABELLED = 50_000
@@ -64,7 +64,7 @@ def grams(text: pa.Array):
         word = kind[start] > 0 if len(start) else np.zeros(0, bool)
         start, end = start[word], end[word]
         row = np.searchsorted(rows, start, side="right") - 1
-        h = span_hashes(part, start, end)
+        h = word_hashes(part, start, end)
         pair = mix(h[:-1] * _PAIR[0] + h[1:] * _PAIR[1])
         same = row[1:] == row[:-1]
         twice = same & (h[1:] == h[:-1])
@@ -135,7 +135,8 @@ def cutoff(docs: DataFrame, sample: DataFrame, ratio: np.ndarray) -> float:
     """The key that separates held-out good and bad documents at the least cost; -inf without both."""
     held = sample.filter("held").select(F.col("doc_id").alias("_id"), "good")
     some = docs.select("doc_id", "text").join(F.broadcast(held), F.col("doc_id") == F.col("_id"))
-    rows = sorted((r[0], r[1]) for r in weighted(some, ratio).select("_key", "good").collect())  # at most LABELLED rows
+    per_id = weighted(some, ratio).groupBy("doc_id").agg(F.min("_key").alias("_key"), F.first("good").alias("good"))  # an id may stand on many rows
+    rows = sorted((r["_key"], r["good"]) for r in per_id.collect())  # at most LABELLED rows
     good = np.array([g for _, g in rows], bool)
     if good.all() or not good.any():
         return float("-inf")
