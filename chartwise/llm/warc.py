@@ -9,8 +9,10 @@ as ISO 8601, the SHA-1 digests in base32, and the type: of records with
 equal payloads the one with the largest id is a response, the others
 revisit it.
 
-Archives are written by Spark's text sink, one file per task (the join
-before it has partitions of the session's advisory size), and read back as binary files, record by record by
+Archives are written by Spark's text sink, one file per task; how many tasks
+follows from the payloads' bytes, about FILE_BYTES each, so files stay far
+below what the binary source can read however large the input is. They are
+read back as binary files, unpacked as a stream, record by record by
 ``Content-Length``; a payload may hold anything that looks like a record.
 
 Digests are compared before payloads move: which record answers for a
@@ -31,15 +33,18 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import folder, save, ship
+from chartwise.llm.common import folder, save, ship, shuffle_width
 
 LEAST_BYTES = 0
+FILE_BYTES = 256 << 20  # of payloads in one archive
+READ_BYTES = 8 << 20  # of payloads handed on at a time when reading
 STARTED = "20200101000000"
 _RECORD = "page_id long, url string, fetched string, mime string, payload binary, payload_digest string"
 
@@ -129,9 +134,14 @@ def arc_records(archives: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- WARC
 
-def answering(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, payload_digest, refers_to): the records that revisit another, and which; an id may stand on several payloads."""
-    short = save(records.filter(F.octet_length("payload") >= least).select("page_id", "payload_digest"))
+def described(records: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, bytes) of every record, saved."""
+    return save(records.select("page_id", "payload_digest", F.octet_length("payload").cast("long").alias("bytes")))
+
+
+def answering(short: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """(page_id, payload_digest, refers_to): the records of ``described`` that revisit another, and which; an id may stand on several payloads."""
+    short = short.filter(F.col("bytes") >= least).select("page_id", "payload_digest")
     top = save(short.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"))
     return short.join(top, "payload_digest").filter("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
@@ -171,12 +181,20 @@ def read_warc(spark, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, record_id, payload) of WARC files."""
     ship(spark)
 
+    def some(records):
+        part, size = [], 0
+        for r in records:
+            part.append(r)
+            size += len(r[1])
+            if size > READ_BYTES or len(part) == 2000:
+                yield part
+                part, size = [], 0
+        yield part
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
-                got = list(parse_warc(gzip.decompress(content.as_py())))
-                for lo in range(0, len(got), 2000):
-                    part = got[lo: lo + 2000]
+                for part in some(parse_warc(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())))):
                     yield pa.RecordBatch.from_arrays([
                         pa.array([None if h["x-page-id"] == "-" else int(h["x-page-id"]) for h, _ in part], pa.int64()),
                         pa.array([int(h["x-payload-length"]) for h, _ in part], pa.int64()),
@@ -192,33 +210,35 @@ def read_warc(spark, path: str) -> DataFrame:
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_id string, payload binary")
 
 
-def parse_warc(raw: bytes):
-    """(header, block) of every record; checks the block digest and, for responses, the payload digest."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:end].decode().split("\r\n")
-        if not first.startswith("WARC/"):
+def parse_warc(raw):
+    """(header, block) of every record of WARC bytes or of a stream of them; checks the block digest and, for responses, the payload digest."""
+    stream = io.BytesIO(raw) if isinstance(raw, bytes) else raw
+    while first := stream.readline():
+        if not first.startswith(b"WARC/"):
             raise ValueError("not at the start of a record")
-        head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
-        at = end + 4
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            k, v = line.decode().split(":", 1)
+            head[k.strip().lower()] = v.strip()
         size = int(head["content-length"])
-        block = raw[at: at + size]
+        block = stream.read(size)
         if head["warc-block-digest"] != f"sha1:{_digest(block)}":
             raise ValueError("a block does not have its digest")
         if head["warc-type"] == "response" and head["warc-payload-digest"] != head["warc-block-digest"]:
             raise ValueError("a payload does not have its digest")
         yield head, block
-        at += size
-        if raw[at: at + 4] != b"\r\n\r\n":
+        if stream.read(4) != b"\r\n\r\n":
             raise ValueError("a record does not end where it declares")
-        at += 4
 
 
-def convert(archives: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """ARC files (a binary column) to WARC files under ``path``."""
+def convert(archives: DataFrame, path: str, least: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
+    """ARC files (a binary column) to WARC files of about ``file_bytes`` of payloads under ``path``."""
     records = arc_records(archives)
-    typed = records.join(answering(records, least), ["page_id", "payload_digest"], "left")
+    short = described(records)
+    total = short.agg(F.sum("bytes")).first()[0] or 0
+    key = ["page_id", "payload_digest"]
+    files = max(shuffle_width(archives.sparkSession), -(-total // file_bytes))
+    typed = records.repartition(files, *key).join(answering(short, least), key, "left")
     write_warc(typed, path)
 
 
