@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -13,9 +14,10 @@ import pyarrow.dataset as ds
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chartwise.llm import kmeans_tree, quality, warc
+from chartwise.llm import kmeans_tree, quality, secret_scan, warc
 from chartwise.llm.common import table
 from chartwise.llm.queries import QUERIES
+from test_text_operators import check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,6 +163,17 @@ def test_archives_edges(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_of_stated_size(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"{i} " * 400) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "warc")
+    warc.convert(warc.to_arc(pages), path, file_bytes=10_000)
+    sizes = [len(warc.gzip.open(os.path.join(path, f)).read()) for f in os.listdir(path) if f.endswith(".gz")]
+    total = sum(len(h) for _, _, h in rows)
+    assert len(sizes) >= total // 10_000 * 0.8 and max(sizes) < 60_000
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, path).collect()} == {i: h for i, _, h in rows}
+
+
 def test_archives_of_an_id_on_two_payloads(spark):
     rows = [(1, "alone"), (1, "shared"), (2, "shared"), (3, "also"), (1, "also"), (2, "kept")]
     df = spark.createDataFrame([(i, f"http://a/{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
@@ -181,19 +194,69 @@ def test_arc_versions():
             pass
 
 
+def near_kept(rows, words=5):
+    """Ids that stay when one document of each group of texts with Jaccard similarity 0.8 or more of word shingles stays."""
+    sets, owners = {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = re.findall("[^\\x20\\x09-\\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k: k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+        for g in sets[i]:
+            owners[g].append(i)
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    shared = collections.Counter((a, b) for o in owners.values() for k, a in enumerate(o) for b in o[k + 1:])
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i for i in root if find(i) == i}
+
+
 def test_pipeline(spark):
+    """Every stage against plain Python on its own input."""
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
     docs = table(spark, SF, "documents")
-    seen = docs
+    labels = table(spark, SF, "labels")
+    seen, inputs, outputs = docs, [], []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, seen, SF)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        inputs.append({r.doc_id: r for r in seen.collect()})
         out = spark.createDataFrame(out.collect(), docs.schema)
-        assert out.select("doc_id").subtract(seen.select("doc_id")).count() == 0 and out.count() <= seen.count()
+        outputs.append({r.doc_id: r for r in out.collect()})
+        assert out.count() == len(outputs[-1])
         seen = out
-    packed = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in seen.collect()}
+    # the classifier keeps what lies above its cutoff, with the weights summed in plain Python
+    ratio, least = quality.fit(docs, labels)
+    keys = {r.doc_id: r._key for r in quality.weighted(docs.select("doc_id", "text"), ratio).select("doc_id", "_key").collect()}
+    assert set(outputs[0]) == {i for i, k in keys.items() if k >= least}
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
+    assert len(good & set(outputs[0])) >= 0.95 * len(good & set(inputs[0]))
+    top = {}
+    for i, r in inputs[1].items():
+        top[r.text] = max(i, top.get(r.text, i))
+    assert set(outputs[1]) == set(top.values())
+    assert set(outputs[2]) == near_kept([(i, r.text) for i, r in inputs[2].items()])
+    for before, after in zip(inputs[:3], outputs[:3], strict=True):
+        assert all(after[i] == before[i] for i in after)
+    spans = {r.doc_id: r.spans for r in secret_scan.secrets(spark.createDataFrame(list(inputs[3].values()), docs.schema)).collect()}
+    assert set(outputs[3]) == set(inputs[3])
+    for i, r in outputs[3].items():
+        ranges = sorted(tuple(map(int, x.split(":")[1:])) for x in spans[i].split(",") if x)
+        text, done, to = inputs[3][i].text, [], -1
+        for x, y in ranges:
+            if x > to:
+                done.append([max(to, 0), x])
+            to = max(to, y)
+        want = "".join(text[x:y] + secret_scan.MASK for x, y in done) + text[max(to, 0):] if ranges else text
+        assert r.text == want and r.n_chars == len(want)
+    check_packing(corpus_pipeline.run(spark, SF).collect(), [(i, r.text) for i, r in outputs[3].items()])
 
 
 def test_pipeline_stages_on_edges(spark, edge, nothing):

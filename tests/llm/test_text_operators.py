@@ -254,10 +254,44 @@ def test_repeats_of_split_grams_and_long_texts(spark, monkeypatch):
     gram = "common passage!!"
     rows = [(k, "".join(rng.choice(list("abcd"), 30)) + gram + "".join(rng.choice(list("ab"), 12)) + "".join(rng.choice(list("abcd"), 60))) for k in range(120)]
     rows.append((900, "ab" * 700))
-    monkeypatch.setattr(repeats, "SPLIT_OVER", 10)
     monkeypatch.setattr(repeats, "PIECE_BYTES", 300)
-    got = counted(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 24, 8).drop("kept").collect())
-    assert got == brute_repeats([(i, t.encode()) for i, t in rows], 24)
+    want = brute_repeats([(i, t.encode()) for i, t in rows], 24)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # groups that are dealt further up to single windows, and groups of several shards
+    for group_bytes, shard_bytes in ((40, 100), (200, 100), (1 << 20, 150)):
+        monkeypatch.setattr(repeats, "GROUP_BYTES", group_bytes)
+        monkeypatch.setattr(repeats, "SHARD_BYTES", shard_bytes)
+        assert counted(repeats.remove_repeats(docs, 24, 8).drop("kept").collect()) == want
+
+
+def test_shards_merge_by_binary_search():
+    rng = np.random.default_rng(4)
+    for length in (3, 8, 13, 40):
+        shared = bytes(rng.integers(0, 4, 60, dtype=np.uint8))
+        parts = [bytes(rng.integers(0, 4, rng.integers(0, 70), dtype=np.uint8)) for _ in range(30)]
+        parts = [p + shared[k % 7: 50 + k % 5] if k % 3 else p for k, p in enumerate(parts)] + [b"", b"\x00" * 90]
+        seen = collections.Counter(p[k: k + length] for p in parts for k in range(len(p) - length + 1))
+        want = [[seen[p[k: k + length]] > 1 for k in range(len(p) - length + 1)] for p in parts]
+        for shard in (60, 250, 1 << 20):
+            got = repeats.repeated_windows(parts, length, shard)
+            assert [f.tolist()[: len(w)] for f, w in zip(got, want, strict=True)] == want
+
+
+def test_names_of_self_similar_texts_differ(spark):
+    """Texts for which sums modulo a power of two collide whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(8192)]
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096, 8192)):
+        a = "".join("ab"[x] for x in bits[:n])
+        rows += [(2 * k, a), (2 * k + 1, a.translate(str.maketrans("ab", "ba")))]
+    buf = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    assert len(set(repeats._names(buf, off[:-1], off[1:])[0].tolist())) == len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.kept and r.component_id == r.doc_id for r in minhash.near_groups(docs, 4).collect())
+    one = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    got = counted(repeats.remove_repeats(one, 900, 128).drop("kept").collect())
+    assert got == brute_repeats([(i, t.encode()) for i, t in rows[:2]], 900)
 
 
 @pytest.mark.parametrize("broadcast", ["-1", "10m"])
@@ -272,9 +306,9 @@ def test_repeats_in_shards_of_many_cuts(spark, monkeypatch, broadcast):
     before = {n: spark.conf.get(n, None) for n in names}
     monkeypatch.setattr(repeats, "SHARD_BYTES", 600)
     inner = repeats._marked_in_shards
-    # few shards of many grams each, their rows in the order of a hash
+    # rows of a group lie apart
     monkeypatch.setattr(repeats, "_marked_in_shards", lambda held, length: inner(
-        held.withColumn("shard", F.pmod("shard", F.lit(2))).repartition(3).sortWithinPartitions(F.xxhash64("seg_a")), length))
+        held.repartition(3).sortWithinPartitions(F.xxhash64("seg_a")), length))
     try:
         for n in names:
             spark.conf.set(n, broadcast)
@@ -342,3 +376,30 @@ def test_models_tell_random_strings_from_words(spark):
     found = sum("markov" in got[i].spans for i, _ in hidden)
     false = sum(got[i].n_markov > 1 for i, _ in hidden)
     assert found >= 48 and false <= 1
+
+
+def test_a_secret_around_a_base_finding_is_masked_whole(spark):
+    rng = np.random.default_rng(1)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    words = ["alpha_beta", "getUserName", "configuration", "some_value", "http_request", "internal", "Documentation"]
+
+    def rnd(n):
+        return "".join(rng.choice(letters, n))
+
+    rows = [(k, " ".join(rng.choice(words, 20)) + f" token={rnd(24)} x") for k in range(300)]
+    secret = rnd(30) + "0123456789abcdef" * 2 + rnd(32)
+    rows += [(1000, f"key {secret} end"), (1001, "deadbeef" * 4 + "_documentation_of_internal_values_ plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.secrets(df).collect()}
+    assert got[1000].spans == "markov:4:34,hex:34:66,markov:66:98" and got[1000].n_hex == 1
+    assert got[1001].n_markov == 0
+    left = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert left[1000] == "key [SECRET] end" and left[1001] == "[SECRET]_documentation_of_internal_values_ plain"
+
+
+def test_findings_cost_in_proportion(spark):
+    """50,000 findings in one text, each of which also is a long run."""
+    rows = [(1, " ".join(f"secret=abcdefgh{i:05d}" for i in range(50000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_secrets(secret_scan.secrets(df).collect(), rows)
+    assert secret_scan.redact(df).first().text == " ".join(["[SECRET]"] * 50000)
