@@ -45,23 +45,36 @@ def join_derived(big: DataFrame, small, on, how: str = "inner",
     return big.join(small.side(), on, how)
 
 
-def slice_count(df: DataFrame) -> int:
-    """Tasks for sorting or expanding ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
-    spark = df.sparkSession
+def _bytes_read(df: DataFrame) -> int:
+    """Size of the tables that ``df`` reads."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     # a leaf whose size Spark does not know (rows made in the session) reports the largest there is
-    size = sum(x for x in sizes if x < 1 << 60)
-    advisory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // advisory))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def _conf_bytes(spark, key: str, default: str) -> int:
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, default))
+
+
+def slice_count(df: DataFrame) -> int:
+    """Tasks for sorting or expanding ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
+    spark = df.sparkSession
+    advisory = _conf_bytes(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_read(df) // advisory))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give a CPU-heavy row expansion (tokenising whole texts) every core, however few files it comes from.
 
-    A hash repartition on ``key`` is deterministic on retry. Its number is
+    An input that has a split for every core already is left where it is, so
+    that large tables are not shuffled. Smaller ones get a hash repartition
+    on ``key``, which is deterministic on retry. Its number is
     stated, since adaptive execution would join partitions by their bytes
     although the work on each byte is what counts.
     """
+    spark = df.sparkSession
+    split = _conf_bytes(spark, "spark.sql.files.maxPartitionBytes", "128m")
+    if _bytes_read(df) >= split * spark.sparkContext.defaultParallelism:
+        return df
     return df.repartition(slice_count(df), key)

@@ -49,7 +49,8 @@ def _at(v: Column, path: str, kind: str = "string") -> Column:
 
 def _no_object(v: Column, path: str) -> Column:
     """The path is absent, or its value is JSON null."""
-    return F.coalesce(F.is_variant_null(_at(v, path, "variant")), F.lit(True))
+    at = _at(v, path, "variant")
+    return at.isNull() | F.is_variant_null(at)
 
 
 def _named(value: Column) -> Column:

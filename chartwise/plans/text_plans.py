@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from chartwise.operators import text as tx
 from chartwise.operators import web
 from chartwise.plans.catalog import query
@@ -29,6 +31,18 @@ def top_words(t):
     return tx.top_words(fx.works(t))
 
 
+_TURN_WORDS = _WORDS.replace("fx_works", "turns")
+
+
+@query("turn_words", f"""WITH turns AS (SELECT role AS author, CAST(turn AS VARCHAR) AS year, conv_id AS work_id, text AS title FROM conversations),
+{_TURN_WORDS.strip()} SELECT author AS role, year AS turn, CAST(rank AS INTEGER) AS rank, word, n FROM top""", ids="F5 H1 H2 H3 H4")
+def turn_words(t):
+    """Top words of every role and turn of the stored conversations."""
+    turns = t["conversations"].select(F.col("role").alias("author"), F.col("turn").cast("string").alias("year"),
+                                      F.col("conv_id").alias("work_id"), F.col("text").alias("title"))
+    return tx.top_words(turns).withColumnsRenamed({"author": "role", "year": "turn"})
+
+
 @query("works_by_year", f"""WITH {_WORDS.strip()},
 themes AS (SELECT author, year, string_agg(word, ', ' ORDER BY rank) AS themes FROM top GROUP BY author, year),
 counts AS (SELECT author, year, count(*) AS n_works FROM tw GROUP BY author, year)

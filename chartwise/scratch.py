@@ -2,12 +2,15 @@
 
 Like a checkpoint they cut lineage and outlive a lost executor, but they
 are columnar (later reads take only the columns they use), computed once,
-and removed by ``drop`` or at the end of the process.
+and removed by ``drop``, at the end of a ``scope``, or of the process. What a
+killed process left is removed by ``sweep``.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +56,33 @@ def drop(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+@contextlib.contextmanager
+def scope():
+    """Remove at the end what was saved inside: results are to be written or collected before.
+
+        with scratch.scope():
+            queries["batch_rows"](spark, sf_dir).write.parquet(out)
+    """
+    before = set(_saved)
+    try:
+        yield
+    finally:
+        for path in set(_saved) - before:
+            fs, p = _system(_saved.pop(path), path)
+            fs.delete(p, True)
+
+
+def sweep(spark: SparkSession, older_than_hours: float) -> int:
+    """Remove intermediates in the shared folder that were last written that long ago and are not this process's; how many."""
+    fs, p = _system(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/chartwise-*")
+    own = {path.rstrip("/").rpartition("/")[2] for path in _saved}
+    limit = (time.time() - 3600 * older_than_hours) * 1000
+    old = [f.getPath() for f in fs.globStatus(p) or [] if f.getModificationTime() < limit and f.getPath().getName() not in own]
+    for path in old:
+        fs.delete(path, True)
+    return len(old)
+
+
 @atexit.register
 def _drop_all() -> None:
     for path, spark in list(_saved.items()):

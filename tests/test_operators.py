@@ -702,6 +702,38 @@ def test_checkpoint_folder_must_be_shared_off_local(spark):
         session.ensure_checkpoint_dir(Session())
 
 
+def test_intermediates_go_with_their_scope(spark):
+    from chartwise import scratch
+
+    kept = scratch.save(spark.range(3))
+    with scratch.scope():
+        inside = scratch.save(spark.range(5))
+        assert inside.count() == 5 and os.path.isdir(inside._saved_at.removeprefix("file:"))
+    assert not os.path.exists(inside._saved_at.removeprefix("file:")) and kept.count() == 3
+    # what another process left goes by age
+    left = os.path.join(os.path.dirname(kept._saved_at.removeprefix("file:")), "chartwise-left")
+    os.makedirs(left)
+    assert scratch.sweep(spark, 1) == 0 and os.path.isdir(left)
+    os.utime(left, (1, 1))
+    assert scratch.sweep(spark, 1) == 1 and not os.path.exists(left) and kept.count() == 3
+    scratch.drop(kept)
+
+
+def test_large_inputs_are_not_shuffled_to_be_spread(spark, scratch):
+    from chartwise.operators import joins
+
+    path = os.path.join(scratch, "t")
+    spark.range(20000).selectExpr("id", "repeat(md5(string(id)), 4) AS text").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert "Exchange" in joins.spread(df, "id")._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert "Exchange" not in joins.spread(df, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_broadcast_follows_written_bytes(spark):
     from chartwise.operators.joins import Derived
 
