@@ -8,9 +8,10 @@ into the other. They are found with asymmetric q-chunks:
    both, so one chunk survives in the other word.
 2. The other word contributes all its positional grams of the sizes its
    partners' chunks can have.
-3. A chunk meets equal grams at its own place or one further right (an
-   inserted code point before it); the place is part of the join key. What
-   meets is verified by edit distance; a pair that met twice counts once.
+3. A chunk meets equal grams at its own place, or one further right where the
+   other word is one longer and the chunk is the second; place and length are
+   part of the join key. What meets is verified by the edit distance of the
+   other halves; a pair that met twice counts once.
 
 A word's form is its most frequent near word if that is at least ``times``
 as frequent. Following forms raises the frequency that much each step, so a
@@ -69,18 +70,25 @@ def vocabulary(words: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), once per pair of near words; ``words``: word (distinct, at least two code points), n."""
     w = words.select("word", "n", F.length("word").alias("size"), F.expr("int(length(word) / 2)").alias("half"))
+    ends = {side: [F.ascii(rest).alias(f"first_{side}"), F.ascii(F.right(rest, F.lit(1))).alias(f"last_{side}")] for side, rest in (
+        ("a", F.col("c.rest")), ("b", F.expr("if(at = 0, substring(word, q + 1), substring(word, 1, at))")))}
+    # the first half stays at its place; the second moves right by what the other word is longer
     chunks = w.select(
-        F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"),
-        F.explode(F.expr("array(struct(substring(word, 1, half) AS gram, 0 AS at), struct(substring(word, half + 1) AS gram, half AS at))")).alias("c"))
-    chunks = chunks.select("a", "n_a", "size_a", F.col("c.gram").alias("gram"), F.explode(F.expr("array(0, 1)")).alias("shift"), F.col("c.at").alias("_at"))
-    chunks = chunks.select("a", "n_a", "size_a", "gram", "shift", (F.col("_at") + F.col("shift")).alias("at"))
+        F.col("word").alias("a"), F.col("n").alias("n_a"), F.explode(F.expr("""array(
+            struct(substring(word, 1, half) AS gram, 0 AS at, size AS size, substring(word, half + 1) AS rest),
+            struct(substring(word, 1, half) AS gram, 0 AS at, size + 1 AS size, substring(word, half + 1) AS rest),
+            struct(substring(word, half + 1) AS gram, half AS at, size AS size, substring(word, 1, half) AS rest),
+            struct(substring(word, half + 1) AS gram, half + 1 AS at, size + 1 AS size, substring(word, 1, half) AS rest))""")).alias("c"),
+        F.col("size").alias("size_a")).select("a", "n_a", "size_a", "c.gram", "c.at", "c.size", *ends["a"])
     # partners are as long or one shorter: their halves have size div 2 or one less (even size) or one more (odd size)
     grams = w.withColumn("q", F.explode(F.expr("array(half, half + if(size % 2 = 0, -1, 1))"))).filter("q > 0")
     grams = grams.withColumn("at", F.explode(F.expr("sequence(0, size - q)")))
-    grams = grams.select(F.expr("substring(word, at + 1, q)").alias("gram"), "at", F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"))
-    met = chunks.join(grams, ["gram", "at"]).filter(
-        "(size_a = size_b AND shift = 0 AND a < b) OR (size_a + 1 = size_b)")
-    return met.filter("levenshtein(a, b, 1) = 1").select("a", "n_a", "b", "n_b").distinct()
+    grams = grams.select(F.expr("substring(word, at + 1, q)").alias("gram"), "at", "size", F.col("word").alias("b"), F.col("n").alias("n_b"), *ends["b"])
+    # with the chunk equal, the words are near if what is left of both is; unless that is one letter, its first or last stays too
+    met = chunks.join(grams, ["gram", "at", "size"]).filter(
+        "(first_a = first_b OR last_a = last_b OR size - length(gram) < 2) AND (size_a < size OR a < b)")
+    left = [F.expr(f"if(at = 0, substring({x}, length(gram) + 1), substring({x}, 1, {n} - length(gram)))") for x, n in (("a", "size_a"), ("b", "size"))]
+    return met.filter(F.levenshtein(*left, 1) == 1).select("a", "n_a", "b", "n_b").distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
