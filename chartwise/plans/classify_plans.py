@@ -10,7 +10,7 @@ from chartwise.operators import metrics as mt
 from chartwise.operators import splits as sp
 from chartwise.operators.joins import materialise
 from chartwise.plans.catalog import query
-from chartwise.plans.split_plans import STRAT_SEED, STRAT_TEST
+from chartwise.plans.split_plans import _STRAT, STRAT_SEED, STRAT_TEST
 from chartwise.sources import fixtures as fx
 
 
@@ -40,6 +40,21 @@ def fit_certificates(t):
     return cl.certificates(cl.BalancedModels(train), train)
 
 
+@query("ensemble_votes", f"""WITH {_STRAT.strip()}
+SELECT label, count(*) AS support, count(*) AS voted, count(*) AS mean_of_three, count(*) AS majority_by_mean FROM strat WHERE split = 'test' GROUP BY label""",
+       ids="J4 D24 I2")
+def ensemble_votes(t):
+    """Per class of the test rows: how many there are, got one vote, have the models' mean as probability, and are voted by it."""
+    train, test = _data(t)
+    voted = cl.soft_vote(cl.BalancedModels(materialise(train)), test)
+    mean = (F.col("p_lr") + F.col("p_dt") + F.col("p_svc")) / 3
+    inside = F.col("p_lr").between(0, 1) & F.col("p_dt").between(0, 1) & F.col("p_svc").between(0, 1)
+    return voted.groupBy("label").agg(
+        F.count("*").alias("support"), F.count_distinct("id").alias("voted"),
+        F.count_if(inside & (F.abs(F.col("p_mean") - mean) < 1e-12)).alias("mean_of_three"),
+        F.count_if(F.col("pred") == (F.col("p_mean") > 0.5).cast("int")).alias("majority_by_mean"))
+
+
 @query("kernel_scale", """
 WITH v AS (SELECT unnest(embedding)::DOUBLE AS x, len(embedding) AS d FROM embeddings)
 SELECT round(1 / (max(d) * var_pop(x)), 6) AS gamma FROM v""", ids="J3")
