@@ -271,3 +271,13 @@ def test_library_stands_without_this_package(tmp_path):
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_entry_without_a_tokenizer_library():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = ("import sys, warnings; sys.modules['public_tokenizers'] = None; warnings.simplefilter('error');\n"
+            "import __spark_entry__ as e\n"
+            "try:\n    e.queries()\nexcept UserWarning as w:\n    print('warned', w)\n"
+            "warnings.simplefilter('ignore'); q = e.queries(); assert len(q) > 80 and not any(n.startswith('op') for n in q)")
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, check=True, capture_output=True, text=True)
+    assert "public_tokenizers" in out.stdout
