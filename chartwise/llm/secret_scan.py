@@ -11,7 +11,8 @@ models exceeds a threshold. So a long secret of which a pattern finds only
 a piece is found whole, and base findings stay as they are.
 
 Labelled samples: of the distinct values and words of all documents, those
-with the smallest hash, at most SAMPLE of each class. Half trains the models;
+with the smallest hash, at most SAMPLE of each class (only words of low hash
+are shuffled). Half trains the models;
 the threshold is the largest ratio of FALSE_SHARE of the other half's
 ordinary strings, at least 0.
 
@@ -34,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.llm.common import boxed, nz, save
+from chartwise.llm.common import boxed, drop, nz, save
 
 KINDS = ("assign", "access", "hex", "markov")
 # fixed patterns of the base findings
@@ -125,11 +126,26 @@ def samples(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     values = scanned.select(F.explode("base.v").alias("s")).filter(F.length("s") >= 8)
     words = docs.select(F.explode(F.regexp_extract_all(nz(), F.lit(WORD), F.lit(0))).alias("s"))
 
+    # only strings whose hash is low are told apart: about four times as many as are wanted, or all if that was too few
+    about = words.agg(F.approx_count_distinct("s")).first()[0]
+    known = values.distinct()
+    low = save(_low_hash(words, 4.0 * SAMPLE / max(1, about)).distinct().join(known, "s", "left_anti"))
+    if 4 * SAMPLE < about and low.count() < SAMPLE:
+        drop(low)
+        low = words.distinct().join(known, "s", "left_anti")
+
     def lowest_hash(strings, random):
         one = strings.distinct().orderBy(F.xxhash64("s"), "s").limit(SAMPLE)
         return one.select("s", F.lit(random).alias("random"), (F.pmod(F.xxhash64("s", F.lit(3)), F.lit(2)) == 0).alias("held"))
 
-    return lowest_hash(values, True).union(lowest_hash(words.join(values.distinct(), "s", "left_anti"), False))
+    return lowest_hash(values, True).union(lowest_hash(low, False))
+
+
+def _low_hash(strings: DataFrame, share: float) -> DataFrame:
+    """The strings whose hash is among the lowest ``share`` of all hashes."""
+    if share >= 1:
+        return strings
+    return strings.filter(F.xxhash64("s") < F.lit(int(-(1 << 63) + share * (1 << 64))))
 
 
 def train(sample: DataFrame) -> tuple[list[float], float]:
@@ -165,7 +181,9 @@ def _text(spans: Column) -> Column:
 def findings(docs: DataFrame) -> DataFrame:
     """(doc_id, _h, base, added): base findings and those the models add, per row of ``docs``."""
     scanned = save(scan(docs))
-    ratio, least = train(samples(docs, scanned))
+    sample = save(samples(docs, scanned))  # read twice; at most 2 * SAMPLE rows
+    ratio, least = train(sample)
+    drop(sample)
     # the base findings that meet a block of runs first, then those that meet a run: both are in order of their places
     outside = F.flatten(F.transform(_blocks(F.col("runs")), lambda block: _let(_meeting(F.col("base"), block), lambda near: F.transform(
         block, lambda x: _outside(x, near)))))

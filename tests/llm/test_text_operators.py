@@ -403,3 +403,18 @@ def test_findings_cost_in_proportion(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check_secrets(secret_scan.secrets(df).collect(), rows)
     assert secret_scan.redact(df).first().text == " ".join(["[SECRET]"] * 50000)
+
+
+@pytest.mark.parametrize("wanted", [5, 60, 100_000])
+def test_samples_are_the_strings_of_lowest_hash(spark, corpus, monkeypatch, wanted):
+    monkeypatch.setattr(secret_scan, "SAMPLE", wanted)
+    docs = spark.createDataFrame([(int(i), t) for i, t in zip(corpus.doc_id, corpus.text, strict=True)], "doc_id long, text string")
+    scanned = secret_scan.scan(docs)
+    got = {(r.s, r.random) for r in secret_scan.samples(docs, scanned).collect()}
+    values = {v["v"] for r in scanned.collect() for v in r.base if len(v["v"]) >= 8}
+    words = {w for t in corpus.text for w in re.findall(secret_scan.WORD, t)} - values
+    want = set()
+    for strings, random in ((values, True), (words, False)):
+        hashed = spark.createDataFrame([(s,) for s in strings], "s string").select("s", F.xxhash64("s").alias("h")).collect()
+        want |= {(r.s, random) for r in sorted(hashed, key=lambda r: (r.h, r.s))[:wanted]}
+    assert got == want
