@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -50,6 +51,20 @@ def test_bpe_edges(edge, nothing, coder):
     assert bpe.encode(nothing, RANK_FILE, P.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("shared", [bpe.SHARED, 1])  # one byte is seldom a token of both: such matches are folded whole
+def test_bpe_long_matches(spark, coder, monkeypatch, shared):
+    monkeypatch.setattr(bpe, "SHARED", shared)
+    r = random.Random(9)
+    letters = "etaoinshrdlu" * 4 + "qxzjkv"
+    made = ["".join(r.choice(letters) for _ in range(n)) for n in (511, 512, 513, 640, 641, 897, 3000)]
+    made += ["a" * 2500, "=" * 1025, "-=" * 700, "漢字カナ" * 300, "é" * 900, "the" * 500 + " " + "the" * 500, "ab" * 300 + "\n" * 900 + "x", " " * 1300 + "y"]
+    made += [made[-1], made[0] + " " + made[6] + " " + made[6] + "!" * 600 + made[2]]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(2)
+    got = {x.doc_id: x.ids for x in bpe.encode(docs, RANK_FILE, P.PATTERN).collect()}
+    for i, t in enumerate(made):
+        assert got[i] == coder.encode_ordinary(t), (i, t[:20])
+
+
 # ---- token counts
 
 def test_counts_query(spark, corpus):
