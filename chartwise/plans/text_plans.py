@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartwise.operators import text as tx
 from chartwise.operators import web
+from chartwise.operators.joins import spread
 from chartwise.plans.catalog import query
 from chartwise.sources import fixtures as fx
 
@@ -150,4 +151,4 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(
        ids="A9 H9")
 def page_ads(t):
     """Blocks of one class, in page order, from the stored web pages."""
-    return web.class_texts(t["pages"], "ad")
+    return web.class_texts(spread(t["pages"].select("page_id", "html"), "page_id"), "ad")

@@ -82,3 +82,9 @@ def test_variant_b_has_no_per_subject_window(spark):
     # stay numbers come from slice positions, not row_number() over each subject's stays
     assert "row_number() windowspecdefinition(subject_id" not in plan
     assert "lag(" not in plan
+
+
+@pytest.mark.parametrize("name", ["forecast_highs", "city_highs", "page_ads"])
+def test_pages_of_one_file_are_parsed_in_many_tasks(spark, name):
+    df = entry.queries()[name](spark, SF)
+    assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
