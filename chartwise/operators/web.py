@@ -110,6 +110,11 @@ def _once(expression: Column) -> Column:
     return F.explode(F.array(expression))
 
 
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def _has_class(cls: str) -> str:
     """A tag whose class attribute has ``cls`` among its tokens."""
     return rf"""(?si)^<[a-z].*?[\s"']class\s*=\s*(?:["'](?:[^"']*\s)?(?-i:{cls})(?:\s[^"']*)?["']|(?-i:{cls})[\s>])"""
@@ -123,21 +128,24 @@ def html_tokens(html: Column) -> Column:
 def class_elements(tokens: Column, classes) -> Column:
     """Elements that have one of ``classes``, in page order: first token, token after the last, numbers of their classes."""
     def tag(t: Column, i: Column) -> Column:
-        opens = t.rlike("(?i)^<[a-z]") & ~t.rlike(r"(?i)^<(?:script|style)\b")
-        found = F.array_compact(F.array(*[F.when(t.rlike(_has_class(c)), F.lit(k)) for k, c in enumerate(classes)]))
+        opens = t.rlike(r"(?i)^<(?!(?:script|style)\b)[a-z]")
+        # the name is looked for first, which is cheap; what does not open a tag has no class
+        found = F.array_compact(F.array(*[F.when(t.contains(c) & t.rlike(_has_class(c)), F.lit(k)) for k, c in enumerate(classes)]))
         return F.struct(
-            F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("tag"), i.alias("at"), opens.alias("opens"),
-            F.when(opens, found).otherwise(F.array().cast("array<int>")).alias("cls"))
+            F.lower(F.regexp_extract(t, "^</?([A-Za-z][A-Za-z0-9]*)", 1)).alias("tag"), i.alias("at"), opens.alias("opens"), found.alias("cls"))
 
     def step(state: Column, t: Column) -> Column:
         stack, done = state["stack"], state["done"]
         depth = F.size(stack)
-        up = F.array_position(F.reverse(F.transform(stack, lambda o: o["tag"])), t["tag"]).cast("int")
-        gone = F.filter(F.slice(stack, depth - up + 1, up), lambda o: F.size(o["cls"]) > 0)
-        ended = F.concat(done, F.transform(gone, lambda o: F.struct(o["at"].alias("start"), t["at"].alias("end"), o["cls"].alias("cls"))))
+        above = F.array_position(F.reverse(F.transform(stack, lambda o: o["tag"])), t["tag"]).cast("int")
+
+        def closed(up: Column) -> Column:
+            gone = F.filter(F.slice(stack, depth - up + 1, up), lambda o: F.size(o["cls"]) > 0)
+            ended = F.concat(done, F.transform(gone, lambda o: F.struct(o["at"].alias("start"), t["at"].alias("end"), o["cls"].alias("cls"))))
+            return F.when(up > 0, F.struct(F.slice(stack, F.lit(1), depth - up).alias("stack"), ended.alias("done"))).otherwise(state)
+
         opened = F.concat(stack, F.array(F.struct(t["tag"].alias("tag"), t["at"].alias("at"), t["cls"].alias("cls"))))
-        return F.when(t["opens"], F.struct(opened.alias("stack"), done.alias("done"))).when(
-            up > 0, F.struct(F.slice(stack, F.lit(1), depth - up).alias("stack"), ended.alias("done"))).otherwise(state)
+        return F.when(t["opens"], F.struct(opened.alias("stack"), done.alias("done"))).otherwise(_bind(above, closed))
 
     tags = F.filter(F.transform(tokens, tag), lambda t: (t["tag"] != "") & ~t["tag"].isin(*VOID_TAGS, "script", "style"))
     start = F.struct(F.array().cast(_STACK).alias("stack"), F.array().cast(_DONE).alias("done"))
@@ -169,7 +177,7 @@ def forecast_blocks(tokens: Column, found: Column) -> Column:
     """Array of (period, temp_text, description) in page order: the first element of each class inside a container."""
     def child(block: Column, k: int, sep: str) -> Column:
         inner = F.get(F.filter(found, lambda e: F.array_contains(e["cls"], k) & (e["start"] > block["start"]) & (e["end"] <= block["end"])), F.lit(0))
-        return F.when(inner.isNotNull(), _element_text(tokens, inner, sep))
+        return _bind(inner, lambda e: F.when(e.isNotNull(), _element_text(tokens, e, sep)))
 
     containers = F.filter(found, lambda e: F.array_contains(e["cls"], 0))
     return F.transform(containers, lambda b: F.struct(

@@ -739,3 +739,9 @@ def test_broadcast_follows_written_bytes(spark):
 
     wide = spark.range(200).selectExpr("id", "array_join(transform(sequence(1, 300), x -> uuid()), '') AS text")
     assert not Derived(wide, 1 << 20).fits and Derived(spark.range(10), 1 << 20).fits
+
+
+def test_class_names_match_whole_tokens_in_their_case(spark):
+    html = '<p CLASS="temp">a</p><p class="TEMP">b</p><p class="temperature">c</p><p class=temp>d</p><P id="temp">e</P><p class="x temp">f</p><script class="temp">g</script>'
+    out = web.class_texts(spark.createDataFrame([(1, html)], "page_id int, html string"), "temp")
+    assert rows(out, "pos", "text") == [(0, "a"), (1, "d"), (2, "f")]
