@@ -57,11 +57,14 @@ def _conf_bytes(spark, key: str, default: str) -> int:
     return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, default))
 
 
-def slice_count(df: DataFrame) -> int:
-    """Tasks for sorting or expanding ``df``: one per advisory partition of the tables it reads, at least the shuffle width."""
+def slice_count(df: DataFrame, expansion: int = 1) -> int:
+    """Tasks for sorting or expanding ``df``: one per advisory partition of the tables it reads, at least the shuffle width.
+
+    ``expansion``: bytes made of each byte read.
+    """
     spark = df.sparkSession
     advisory = _conf_bytes(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_read(df) // advisory))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_bytes_read(df) * expansion // advisory))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartwise.operators.joins import spread
+from chartwise.operators.joins import slice_count, spread
 from chartwise.sources.tables import Tables
 
 
@@ -29,6 +29,8 @@ EVENT_ITEM_DEFAULT = 999999
 EVENT_FEATURE = {"click": 0, "view": 1, "purchase": 2, "signup": 3}
 EVENT_FEATURE_DEFAULT = 4
 N_FEATURES = 5
+# How many bytes of predictions stand for a byte of events, about.
+EXPANDED = 128
 
 
 def patients(t: Tables) -> DataFrame:
@@ -150,32 +152,26 @@ def labels(t: Tables) -> DataFrame:
 def pred(t: Tables) -> DataFrame:
     """Long predictions: grid rows (seq 0) and after-update rows (seq 1).
 
-    The grid is generated per id with ``explode(sequence())`` — a per-row
-    generator, not a join — so it grows linearly with the ids.
+    One row per id holds its observed ticks and is dealt by id before it
+    is expanded by per-row generators, not joins, into its grid and its
+    after-update rows; so the rows grow linearly with the ids, and what
+    groups them by id and more needs no shuffle of the expanded rows.
     """
-    o = obs(t)
-    ks = F.explode(F.sequence(F.lit(0), F.lit(N_FEATURES - 1))).alias("k")
-    grid = (
-        o.select("id").distinct()
-        .select("id", F.explode(F.sequence(F.lit(0), F.lit(480))).alias("tick"))
-        .where(F.col("tick") % 7 != 0)
-        .select("id", "tick", F.lit(0).alias("seq"), ks)
-    )
-    after = (
-        o.where((F.col("tick") <= 400) & (F.col("tick") % 7 != 0))
-        .select("id", "tick", F.lit(1).alias("seq"), ks)
+    kept = (F.col("tick") <= 400) & (F.col("tick") % 7 != 0)
+    o = obs(t).select("id", "tick")
+    ids = o.repartition(slice_count(o, EXPANDED), "id").groupBy("id").agg(F.collect_list(F.when(kept, F.col("tick"))).alias("_seen"))
+    grid = F.filter(F.sequence(F.lit(0), F.lit(480)), lambda i: i % 7 != 0)
+    rows = F.concat(
+        F.transform(grid, lambda i: F.struct(i.alias("tick"), F.lit(0).alias("seq"))),
+        F.transform("_seen", lambda i: F.struct(i.alias("tick"), F.lit(1).alias("seq"))))
+    ticks = ids.select("id", F.inline(rows))
+    phase = F.col("id") + F.col("k") + F.col("tick") * F.lit(0.05)
+    return ticks.select("id", "tick", "seq", F.explode(F.sequence(F.lit(0), F.lit(N_FEATURES - 1))).alias("k")).select(
+        "id", "tick", "seq", "k",
+        (F.lit(100) + F.col("seq") + F.lit(50) * F.sin(phase)).alias("mean"),
+        (F.lit(1.0) + F.col("k").cast("double") / 2).alias("logvar"),
     )
 
-    def with_values(df, base):
-        phase = F.col("id") + F.col("k") + F.col("tick") * F.lit(0.05)
-        return df.select(
-            "id", "tick", "seq", "k",
-            (F.lit(base) + F.lit(50) * F.sin(phase)).alias("mean"),
-            (F.lit(1.0) + F.col("k").cast("double") / 2).alias("logvar"),
-        )
-
-    return with_values(grid, 100).unionByName(with_values(after, 101))
-
 
 def pred_obs(t: Tables) -> DataFrame:
     """Predictions at every observation, before (seq 0) and after (seq 1) its update, as training has them."""

@@ -84,6 +84,15 @@ def test_variant_b_has_no_per_subject_window(spark):
     assert "lag(" not in plan
 
 
+@pytest.mark.parametrize("name", ["pred_first", "pred_halves"])
+def test_expanded_predictions_are_not_shuffled(spark, name):
+    """Ids are dealt, to a stated number of tasks, before they become rows; the rows stay where they are made."""
+    df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.rindex("Generate")] and "REPARTITION_BY_NUM" in plan
+    assert df.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("name", ["forecast_highs", "city_highs", "page_ads"])
 def test_pages_of_one_file_are_parsed_in_many_tasks(spark, name):
     df = entry.queries()[name](spark, SF)
