@@ -292,6 +292,19 @@ def test_shards_merge_by_binary_search():
             assert [f.tolist()[: len(w)] for f, w in zip(got, want, strict=True)] == want
 
 
+def test_suffixes_in_order():
+    from chartwise.llm.suffixes import suffix_array
+
+    rng = np.random.default_rng(6)
+    for n, depth in ((1, 8), (9, 16), (300, 64), (4000, 512)):
+        for letters in (1, 2, 200):
+            raw = bytes(rng.integers(0, letters, n, dtype=np.uint8))
+            order = suffix_array(np.frombuffer(raw, np.uint8), depth).tolist()
+            assert sorted(order) == list(range(n))
+            heads = [raw[i: i + depth] for i in order]
+            assert heads == sorted(heads)
+
+
 def test_names_of_self_similar_texts_differ(spark):
     """Texts for which sums modulo a power of two collide whatever the base."""
     bits = [bin(i).count("1") & 1 for i in range(8192)]
