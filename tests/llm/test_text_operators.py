@@ -65,6 +65,28 @@ def test_bpe_long_matches(spark, coder, monkeypatch, shared):
         assert got[i] == coder.encode_ordinary(t), (i, t[:20])
 
 
+def test_bpe_narrow_pattern():
+    """Texts below U+0100 have the same matches by ``re`` and written-out classes; patterns of other signs have no such form."""
+    import regex
+
+    own, short = regex.compile(P.PATTERN).findall, re.compile(bpe.narrow(P.PATTERN)).findall
+    every = "".join(map(chr, range(256)))
+    assert own(every) == short(every)
+    r = random.Random(3)
+    signs = " \t\n\r\x1c\x1f\x85\xa0'stremvdl0\xb2\xbd\xaa\xe9_-." + every
+    for _ in range(2000):
+        t = "".join(r.choice(signs) for _ in range(40))
+        assert own(t) == short(t)
+    assert [bpe.narrow(x) for x in (r"\p{Lu}+", r"\d", "a{3}", r"\p{L}+(?i:s)", "a.b")] == [None] * 5
+
+
+def test_bpe_values_are_bound_once(spark):
+    """Binding takes no element of an array, which asks for the whole expression's type every time."""
+    plan = spark.range(2).select(bpe._bind(F.col("id") + 1, lambda v: v * v).alias("x"))
+    assert [x.x for x in plan.collect()] == [1, 4]
+    assert "transform(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 # ---- token counts
 
 def test_counts_query(spark, corpus):
